@@ -182,6 +182,12 @@ cte(
     + ", ".join(f"{e} AS {c}" for c, e in FEATURE_SQL.items())
     + f" FROM spine LEFT JOIN daily_feats USING (series, month) {WINDOWS}",
 )
+PROXY_FEATURES = (
+    "SELECT series, month, ng_spot, urea, dap, "
+    + ", ".join(f"{e} AS {c}" for c, e in FEATURE_SQL.items())
+    + " FROM {source} "
+    + WINDOWS
+)
 COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in FEATURE_COLS)
 TRAINABLE = COMPLETE + " AND " + " AND ".join(f"{c} IS NOT NULL" for c in TARGET_COLS)
 cte(

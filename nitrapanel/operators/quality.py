@@ -261,14 +261,20 @@ def perturb_last(panel: DataFrame, col: str, delta: float) -> DataFrame:
     return panel.join(last, KEY).withColumn(col, moved).drop("last_month").select(*panel.columns)
 
 
-def leakage_probe(
+def leakage_report(
     fn: Callable[[DataFrame], DataFrame], panel: DataFrame, col: str, delta: float, cols: list[str]
 ) -> DataFrame:
-    """Columns of ``fn(panel)`` whose earlier rows react to a change of the last one."""
+    """Per column of ``fn(panel)``: earlier rows that react to a change of the last one."""
     last = panel.groupBy(KEY).agg(F.max(MONTH).alias("last_month"))
 
     def earlier(df: DataFrame) -> DataFrame:
         return df.join(last, KEY).where(F.col(MONTH) < F.col("last_month")).drop("last_month")
 
-    report = parity(earlier(fn(panel)), earlier(fn(perturb_last(panel, col, delta))), cols, tol=0.0)
-    return report.where(F.col("diff_cells") > 0)
+    return parity(earlier(fn(panel)), earlier(fn(perturb_last(panel, col, delta))), cols, tol=0.0)
+
+
+def leakage_probe(
+    fn: Callable[[DataFrame], DataFrame], panel: DataFrame, col: str, delta: float, cols: list[str]
+) -> DataFrame:
+    """Only the columns that leak."""
+    return leakage_report(fn, panel, col, delta, cols).where(F.col("diff_cells") > 0)
