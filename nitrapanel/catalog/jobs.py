@@ -114,14 +114,14 @@ def stored_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def regressor(spark: SparkSession, sf: str) -> DataFrame:
     rows = stored_rows(spark, sf).where("horizon = 3")
-    train = boosted.assembled(boosted.weighted(rows.where("role = 'train'")))
+    train = boosted.assembled(rows.where("role = 'train'"))
     model = boosted.fit_regressor(train, TREE_ITERATIONS).setPredictionCol("pred")
     return model.transform(boosted.assembled(rows.where("role = 'test'"))).select(KEY, MONTH, "target", "pred")
 
 
 def classifier(spark: SparkSession, sf: str) -> DataFrame:
     rows = stored_rows(spark, sf).where("horizon = 3")
-    train = boosted.assembled(boosted.weighted(rows.where("role = 'train'")))
+    train = boosted.assembled(rows.where("role = 'train'"))
     model = boosted.fit_classifier(train, TREE_ITERATIONS)
     scored = model.transform(boosted.assembled(rows.where("role = 'test'")))
     return scored.select(KEY, MONTH, "label", boosted.vector_to_array("probability")[1].alias("prob_up"))
@@ -131,7 +131,7 @@ case("k08_train_regressor", regressor)
 case("k09_train_classifier", classifier)
 case(
     "k10_cross_validate",
-    lambda s, sf: boosted.cv_residuals(boosted.cross_validate(stored_rows(s, sf), 1, TREE_ITERATIONS)),
+    lambda s, sf: boosted.cv_residuals(boosted.cross_validate(stored_rows(s, sf), (1,), TREE_ITERATIONS)),
 )
 case(
     "k10_fold_sizes",

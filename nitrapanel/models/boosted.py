@@ -7,8 +7,12 @@ are measured before the final refit on all trainable rows.
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+from typing import NamedTuple, TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -30,6 +34,21 @@ TREES = {"maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubset
 MIN_ROWS_PER_LEAF = 2
 
 
+# Recency weights over the training rows, and over all rows for the final refit.
+TRAIN_WEIGHT, FULL_WEIGHT = "weight_train", "weight_all"
+# Fits are driven side by side: each one is a chain of short jobs.
+PARALLEL_FITS = 8
+
+R = TypeVar("R")
+
+
+def side_by_side(spark: SparkSession, jobs: list[Callable[[], R]]) -> list[R]:
+    """Results of independent driver-side fits, in order; the first failure is raised."""
+    target = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
+        return [f.result() for f in [pool.submit(target(job)) for job in jobs]]
+
+
 class Models(NamedTuple):
     regressors: dict[int, GBTRegressionModel]
     classifiers: dict[int, GBTClassificationModel]
@@ -45,15 +64,12 @@ def assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURE_COLS, outputCol="features").transform(rows)
 
 
-def weighted(rows: DataFrame) -> DataFrame:
-    """Recency weights over the months of the pooled rows of each series."""
-    return recency_weight(rows, [KEY, "horizon"])
-
-
-def fit_regressor(rows: DataFrame, iterations: int = ITERATIONS, seed: int = SEED) -> GBTRegressionModel:
+def fit_regressor(
+    rows: DataFrame, iterations: int = ITERATIONS, seed: int = SEED, weight: str = TRAIN_WEIGHT
+) -> GBTRegressionModel:
     gbt = GBTRegressor(
         labelCol="target",
-        weightCol="weight",
+        weightCol=weight,
         maxIter=iterations,
         seed=seed,
         minInstancesPerNode=MIN_ROWS_PER_LEAF,
@@ -62,14 +78,22 @@ def fit_regressor(rows: DataFrame, iterations: int = ITERATIONS, seed: int = SEE
     return gbt.fit(rows)
 
 
-def fit_classifier(rows: DataFrame, iterations: int = ITERATIONS, seed: int = SEED) -> GBTClassificationModel:
-    gbt = GBTClassifier(labelCol="label", weightCol="weight", maxIter=iterations, seed=seed, **TREES)
+def fit_classifier(
+    rows: DataFrame, iterations: int = ITERATIONS, seed: int = SEED, weight: str = TRAIN_WEIGHT
+) -> GBTClassificationModel:
+    gbt = GBTClassifier(labelCol="label", weightCol=weight, maxIter=iterations, seed=seed, **TREES)
     return gbt.fit(rows)
 
 
 def training_rows(features: DataFrame, holdout_start: str = HOLDOUT_START) -> DataFrame:
-    """Labelled rows of all horizons with their role, stored once for all the fits."""
-    return materialize(labelled(features, holdout_start), "training_rows")
+    """Labelled rows of all horizons with role and both weights.
+
+    Stored once: every fit is then a filtered scan without a shuffle.
+    """
+    rows = labelled(features, holdout_start)
+    keys = [KEY, "horizon"]
+    rows = recency_weight(rows, keys, F.col("role") == "train", TRAIN_WEIGHT)
+    return materialize(recency_weight(rows, keys, name=FULL_WEIGHT), "training_rows")
 
 
 def scored(regressor: GBTRegressionModel, classifier: GBTClassificationModel, rows: DataFrame) -> DataFrame:
@@ -82,36 +106,45 @@ def scored(regressor: GBTRegressionModel, classifier: GBTClassificationModel, ro
     )
 
 
-def holdout_scores(rows: DataFrame, horizon: int, iterations: int, seed: int) -> DataFrame:
-    """Both models fitted on the training rows of a horizon, scored on its holdout."""
-    mine = rows.where(F.col("horizon") == horizon)
-    train = assembled(weighted(mine.where(F.col("role") == "train")))
-    test = assembled(mine.where(F.col("role") == "test"))
-    return scored(fit_regressor(train, iterations, seed), fit_classifier(train, iterations, seed), test)
+def holdout_scores(rows: DataFrame, seeds: list[int], iterations: int = ITERATIONS) -> DataFrame:
+    """Per horizon and seed, both models fitted on the training rows and scored on the holdout."""
+
+    def one(horizon: int, seed: int) -> DataFrame:
+        mine = rows.where(F.col("horizon") == horizon)
+        train = assembled(mine.where(F.col("role") == "train"))
+        test = assembled(mine.where(F.col("role") == "test"))
+        models = fit_regressor(train, iterations, seed), fit_classifier(train, iterations, seed)
+        return scored(*models, test).withColumn("seed", F.lit(seed))
+
+    jobs = [partial(one, h, seed) for seed in seeds for h in HORIZONS]
+    return union_all(side_by_side(rows.sparkSession, jobs))
 
 
-def cross_validate(rows: DataFrame, horizon: int, iterations: int = ITERATIONS, seed: int = SEED) -> DataFrame:
+def cross_validate(
+    rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, iterations: int = ITERATIONS, seed: int = SEED
+) -> DataFrame:
     """Validation predictions of the walk-forward folds inside the training rows."""
-    pool = weighted(rows.where((F.col("horizon") == horizon) & (F.col("role") == "train")))
+    pool = rows.where(F.col("horizon").isin(*horizons) & (F.col("role") == "train"))
     folds = materialize(walk_forward(pool, [KEY, "horizon"]), "folds")
-    parts = []
-    for fold in range(FOLDS):
-        mine = assembled(folds.where(F.col("fold") == fold))
-        model = fit_regressor(mine.where(F.col("fold_role") == "train"), iterations, seed)
-        model.setPredictionCol("pred")
+
+    def one(horizon: int, fold: int) -> DataFrame:
+        mine = assembled(folds.where((F.col("horizon") == horizon) & (F.col("fold") == fold)))
+        model = fit_regressor(mine.where(F.col("fold_role") == "train"), iterations, seed).setPredictionCol("pred")
         valid = model.transform(mine.where(F.col("fold_role") == "valid"))
-        parts.append(valid.select(KEY, MONTH, "horizon", "fold", "target", "pred"))
-    return union_all(parts)
+        return valid.select(KEY, MONTH, "horizon", "fold", "target", "pred")
+
+    jobs = [partial(one, h, fold) for h in horizons for fold in range(FOLDS)]
+    return union_all(side_by_side(rows.sparkSession, jobs))
 
 
 def refit(rows: DataFrame, iterations: int = ITERATIONS, seed: int = SEED) -> Models:
     """Models of all horizons on every trainable row."""
-    regressors, classifiers = {}, {}
-    for h in HORIZONS:
-        mine = assembled(weighted(rows.where(F.col("horizon") == h)))
-        regressors[h] = fit_regressor(mine, iterations, seed)
-        classifiers[h] = fit_classifier(mine, iterations, seed)
-    return Models(regressors, classifiers)
+    mine = {h: assembled(rows.where(F.col("horizon") == h)) for h in HORIZONS}
+    jobs = [partial(fit_regressor, mine[h], iterations, seed, FULL_WEIGHT) for h in HORIZONS]
+    jobs += [partial(fit_classifier, mine[h], iterations, seed, FULL_WEIGHT) for h in HORIZONS]
+    fitted = side_by_side(rows.sparkSession, jobs)
+    n = len(HORIZONS)
+    return Models(dict(zip(HORIZONS, fitted[:n])), dict(zip(HORIZONS, fitted[n:])))
 
 
 def train(
@@ -123,8 +156,8 @@ def train(
 ) -> Trained:
     """Evaluate on the holdout, cross-validate, then refit on everything."""
     rows = training_rows(features, holdout_start)
-    scores = union_all([holdout_scores(rows, h, iterations, seed) for h in HORIZONS])
-    folds = union_all([cross_validate(rows, h, iterations, seed) for h in HORIZONS])
+    scores = holdout_scores(rows, [seed], iterations)
+    folds = cross_validate(rows, HORIZONS, iterations, seed)
     return Trained(refit(rows, iterations, seed), evaluate(scores, shock_start), cv_residuals(folds))
 
 
@@ -166,12 +199,8 @@ def seed_sweep(
 ) -> DataFrame:
     """Spread of the pre-shock holdout metrics over refits with different seeds."""
     rows = training_rows(features, holdout_start)
-    parts = [
-        holdout_scores(rows, h, iterations, seed).withColumn("seed", F.lit(seed))
-        for seed in range(n_seeds)
-        for h in HORIZONS
-    ]
-    per_seed = evaluate(union_all(parts), shock_start, keys=["seed"])
+    scores = holdout_scores(rows, list(range(n_seeds)), iterations)
+    per_seed = evaluate(scores, shock_start, keys=["seed"])
     return seed_spread(per_seed.where(F.col("bucket") == "preshock"), keys=[])
 
 

@@ -51,12 +51,17 @@ def chrono_split(rows: DataFrame, holdout_start: str = HOLDOUT_START) -> DataFra
     return rows.withColumn("role", split_role(F.col("horizon"), holdout_start))
 
 
-def recency_weight(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Weight from 1.0 (oldest month of the key) to 1.5 (newest)."""
+def recency_weight(rows: DataFrame, keys: list[str], within: Column | None = None, name: str = "weight") -> DataFrame:
+    """Weight from 1.0 (oldest month of the key) to 1.5 (newest).
+
+    With ``within`` only those rows span the range; the others have no weight.
+    """
     k = Window.partitionBy(*keys)
-    first, last = F.min(MONTH).over(k), F.max(MONTH).over(k)
-    age = ratio(F.datediff(F.col(MONTH), first).cast("double"), F.datediff(last, first).cast("double"))
-    return rows.withColumn("weight", F.lit(1.0) + F.lit(0.5) * F.coalesce(age, F.lit(0.0)))
+    counted = F.col(MONTH) if within is None else F.when(within, F.col(MONTH))
+    first, last = F.min(counted).over(k), F.max(counted).over(k)
+    age = ratio(F.datediff(counted, first).cast("double"), F.datediff(last, first).cast("double"))
+    weight = F.when(counted.isNotNull(), F.lit(1.0) + F.lit(0.5) * F.coalesce(age, F.lit(0.0)))
+    return rows.withColumn(name, weight)
 
 
 def walk_forward(rows: DataFrame, keys: list[str], n_splits: int = FOLDS, gap: int = GAP) -> DataFrame:
