@@ -57,13 +57,13 @@ def strength(r: Column) -> Column:
     return F.when(size > 0.7, "Strong").when(size > 0.4, "Moderate").when(r.isNotNull(), "Weak")
 
 
-def sorted_quantile(values: Column, q: float, shape) -> Column:
+def sorted_quantile(values: Column, q: float | Column, shape) -> Column:
     """Linear-interpolated quantile of ``shape(v)`` over an ascending array.
 
     ``shape`` must be non-decreasing, so order statistics map one to one and only
     the two neighbours of the quantile are evaluated.
     """
-    pos = (F.size(values) - 1) * F.lit(float(q))
+    pos = (F.size(values) - 1) * (q if isinstance(q, Column) else F.lit(float(q)))
     low = F.floor(pos)
     frac = pos - low
     a = shape(F.element_at(values, (low + 1).cast("int")))

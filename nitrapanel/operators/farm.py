@@ -21,8 +21,12 @@ from nitrapanel.constants import (
 from nitrapanel.functions.clean import ratio
 from nitrapanel.functions.stats import chance_above
 from nitrapanel.operators.simulate import bands
+from nitrapanel.session import materialize
 
 CROP_KEY = ["user_id", "crop_key", "season", "year"]
+# A crop row with more additions than this, and than its share of all of them, is hot.
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 50_000
 GAS_ALERT = 0.05
 BADGE_BREAK = 70
 
@@ -50,17 +54,45 @@ def crop_state(log: DataFrame) -> DataFrame:
 
     ``add`` creates a row or adds acres to it (crop names match without case and the
     first spelling stays), ``set`` replaces the acres of an existing row, ``delete``
-    removes it. Both passes are aggregations with map-side merging, so a user with
-    most of the log is never gathered in one task.
+    removes it.
+
+    One aggregation finds the last delete and set of each row, a second one sums the
+    additions after them. Rows with very many additions meet their facts by a
+    broadcast join and are merged map-side, so none of them is gathered in one task.
     """
-    seq, action = F.col("seq"), F.col("action")
     keyed = log.withColumn("crop_key", F.lower("crop_name"))
-    resets = keyed.where(action.isin("set", "delete")).groupBy(*CROP_KEY).agg(
+    facts = _crop_facts(keyed)
+    adds = keyed.where(F.col("action") == "add")
+    hot = facts.where(_is_hot(facts)).drop("n_adds")
+    if hot.isEmpty():
+        return _fold_adds(adds.join(facts, CROP_KEY))
+    # At most MAX_HOT_KEYS rows by the choice of the limit.
+    few = F.broadcast(hot)
+    cold = facts.where(~_is_hot(facts)).drop("n_adds")
+    rest = adds.join(few.select(*CROP_KEY), CROP_KEY, "left_anti").join(cold, CROP_KEY)
+    return _fold_adds(adds.join(few, CROP_KEY).select(*rest.columns).unionByName(rest))
+
+
+def _crop_facts(keyed: DataFrame) -> DataFrame:
+    """Per crop row: last delete, last set with its acres, number of additions; stored."""
+    seq, action = F.col("seq"), F.col("action")
+    is_set = action == "set"
+    facts = keyed.groupBy(*CROP_KEY).agg(
         F.max(F.when(action == "delete", seq)).alias("deleted"),
-        F.max(F.when(action == "set", seq)).alias("last_set"),
-        F.max_by(F.when(action == "set", F.col("acres")), F.when(action == "set", seq)).alias("set_acres"),
+        F.max(F.when(is_set, seq)).alias("last_set"),
+        F.max_by(F.when(is_set, F.col("acres")), F.when(is_set, seq)).alias("set_acres"),
+        F.count_if(action == "add").alias("n_adds"),
     )
-    adds = keyed.where(action == "add").join(resets, CROP_KEY, "left")
+    return materialize(facts.where(F.col("n_adds") > 0), "crop_facts")
+
+
+def _is_hot(facts: DataFrame) -> Column:
+    total = facts.agg(F.sum("n_adds").alias("n")).scalar()
+    return F.col("n_adds") > F.greatest(F.lit(float(HOT_ROWS)), F.coalesce(total, F.lit(0)) / F.lit(float(MAX_HOT_KEYS)))
+
+
+def _fold_adds(adds: DataFrame) -> DataFrame:
+    seq = F.col("seq")
     alive = F.col("deleted").isNull() | (seq > F.col("deleted"))
     after_set = F.col("last_set").isNotNull() & (seq > F.col("last_set"))
     folded = (

@@ -75,12 +75,13 @@ def simulate_paths(
     return paths.withColumn("sim", sim)
 
 
-def path_bands(paths: DataFrame, sample: bool = False) -> DataFrame:
+def path_bands(paths: DataFrame, sample_of: tuple[int, ...] = ()) -> DataFrame:
     """Bands per series and horizon by aggregating explicit paths."""
     q = F.percentile("sim", [p / 100.0 for p in QUANTILES])
     above = {k: F.avg((F.col("sim") > F.col("current") * F.lit(m)).cast("double")) for k, m in JUMPS.items()}
-    thinned = F.collect_list(F.when(F.col("path_id") % THIN == 0, F.struct("path_id", "sim")))
-    extra = {"sim_sample": F.transform(F.sort_array(thinned), lambda p: p["sim"])} if sample else {}
+    wanted = (F.col("path_id") % THIN == 0) & F.col("horizon").isin(*sample_of)
+    thinned = F.collect_list(F.when(wanted, F.struct("path_id", "sim")))
+    extra = {"sim_sample": F.transform(F.sort_array(thinned), lambda p: p["sim"])} if sample_of else {}
     return (
         paths.groupBy(KEY, "horizon")
         .agg(
@@ -107,15 +108,16 @@ def bands(
     seed: int = SEED,
     low: float = SIM_FLOOR,
     high: float = SIM_CEILING,
-    sample: bool = False,
+    sample_of: tuple[int, ...] = (),
     stream: Column | None = None,
 ) -> DataFrame:
     """Bands per series and horizon; forecast rows carry pred, current and residuals.
 
-    ``sample`` adds every tenth simulated price, in path order, as an array.
+    For the horizons in ``sample_of`` every tenth simulated price, in path order, is
+    added as an array.
     """
     if n > MAX_TABLE_DRAWS:
-        made = path_bands(simulate_paths(forecast, n, seed, low, high, stream), sample)
+        made = path_bands(simulate_paths(forecast, n, seed, low, high, stream), sample_of)
         return forecast.join(made, [KEY, "horizon"])
 
     zs, current = F.col("zs"), F.col("current")
@@ -124,13 +126,24 @@ def bands(
     def shape(z: Column) -> Column:
         return _price(F.col("pred"), F.col("residual_mean"), std, z, low, high)
 
-    made = {f"p{p}": sorted_quantile(zs, p / 100.0, shape) for p in QUANTILES}
-    made["mean"] = clipped_mean(zs, F.col("z_run"), base, std, low, high)
-    made |= {k: sorted_share_above(zs, current * F.lit(m), shape) for k, m in JUMPS.items()}
-    if sample:
-        made["sim_sample"] = F.transform("z_sample", shape)
-    return with_draws(forecast, n, seed, stream).select(
-        *forecast.columns, F.lit(n).cast("bigint").alias("n_simulations"), *[c.alias(k) for k, c in made.items()]
+    # One expression per family, evaluated over the array of levels.
+    levels = F.array(*[F.lit(p / 100.0) for p in QUANTILES])
+    jumps = F.array(*[F.lit(m) for m in JUMPS.values()])
+    families = {
+        "q": F.transform(levels, lambda q: sorted_quantile(zs, q, shape)),
+        "above": F.transform(jumps, lambda m: sorted_share_above(zs, current * m, shape)),
+        "mean": clipped_mean(zs, F.col("z_run"), base, std, low, high),
+    }
+    if sample_of:
+        families["sim_sample"] = F.when(F.col("horizon").isin(*sample_of), F.transform("z_sample", shape))
+    made = with_draws(forecast, n, seed, stream).select(*forecast.columns, *[c.alias(k) for k, c in families.items()])
+    return made.select(
+        *forecast.columns,
+        F.lit(n).cast("bigint").alias("n_simulations"),
+        *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate(QUANTILES)],
+        "mean",
+        *[F.col("above")[i].alias(k) for i, k in enumerate(JUMPS)],
+        *(["sim_sample"] if sample_of else []),
     )
 
 
@@ -140,7 +153,7 @@ def with_residuals(forecast: DataFrame, residuals: DataFrame) -> DataFrame:
 
 def monte_carlo(forecast: DataFrame, n: int = DRAWS, seed: int = SEED) -> DataFrame:
     """One row per series: bands of all horizons, probabilities and sample of t2."""
-    b = bands(forecast, n, seed, sample=True)
+    b = bands(forecast, n, seed, sample_of=(2,))
 
     def at(h: int, c: str) -> Column:
         return F.max(F.when(F.col("horizon") == h, F.col(c)))
@@ -153,7 +166,8 @@ def monte_carlo(forecast: DataFrame, n: int = DRAWS, seed: int = SEED) -> DataFr
         kept = QUANTILES if h < 3 else (10, 50, 90)
         aggs += [at(h, f"p{p}").alias(f"p{p}_t{h}") for p in kept]
     aggs += [at(2, k).alias(f"{k}_t2") for k in JUMPS]
-    aggs.append(at(2, "sim_sample").alias("sim_t2_distribution"))
+    sampled = F.when(F.col("horizon") == 2, F.col("sim_sample"))
+    aggs.append(F.any_value(sampled, True).alias("sim_t2_distribution"))
     return b.groupBy(KEY).agg(*aggs)
 
 

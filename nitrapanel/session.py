@@ -49,8 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/nitrapanel/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, grouped by application for later removal."""
+    return f"{shared_dir(spark).rstrip('/')}/nitrapanel/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:

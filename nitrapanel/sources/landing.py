@@ -77,9 +77,14 @@ def scan(spark: SparkSession, path: str, cols: list[str]) -> DataFrame:
     return df.select(*[F.nanvl(c, F.lit(None).cast("double")).alias(c) if c in floats else F.col(c) for c in cols])
 
 
-def write_feature_store(features: DataFrame, path: str) -> None:
-    """Feature store partitioned by series, one file per series and task."""
-    features.write.mode("overwrite").partitionBy(KEY).parquet(path)
+def write_feature_store(features: DataFrame, path: str, by_series: bool = False) -> None:
+    """Feature store as Parquet.
+
+    Features leave their window sorted by series, so file statistics already prune by
+    series. A directory per series (``by_series``) only suits a handful of series.
+    """
+    writer = features.write.mode("overwrite")
+    (writer.partitionBy(KEY) if by_series else writer).parquet(path)
 
 
 def read_feature_store(spark: SparkSession, path: str) -> DataFrame:

@@ -29,8 +29,9 @@ def brute_fold(log):
     return {k: (n, round(a, 6)) for k, (n, a) in state.items()}
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_crop_state_equals_sequential_application(spark, seed):
+@pytest.mark.parametrize("seed,hot_rows", [(0, 10**6), (1, 10**6), (2, 3), (3, 0)])
+def test_crop_state_equals_sequential_application(spark, monkeypatch, seed, hot_rows):
+    monkeypatch.setattr(farm, "HOT_ROWS", hot_rows)
     rnd = random.Random(seed)
     log = [
         (

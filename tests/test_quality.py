@@ -47,6 +47,8 @@ def test_preview_is_cut_per_column(spark):
     rows = [("a", D(2000 + i, 1, 1), float(i), 0.0) for i in range(30)]
     left = spark.createDataFrame(rows, T)
     got = rows_of(quality.parity_preview(left, left.withColumn("urea", F.col("urea") + 1), ["urea", "dap"]), "rn")
+    plan = quality.first_n(left, "series", ["month"], 10)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
     assert len(got) == 10 and got[0]["month"] == D(2000, 1, 1)
 
 

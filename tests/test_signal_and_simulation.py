@@ -80,8 +80,8 @@ def test_same_seed_same_result_and_echoed_count(spark):
 @pytest.mark.parametrize("scale", [1.0, 0.0, 3.0, 30.0])
 def test_table_form_equals_path_form(spark, scale):
     f = forecast(spark, scale)
-    fast = rows_of(simulate.bands(f, 1500, 42, sample=True), "series", "horizon")
-    slow = rows_of(simulate.path_bands(simulate.simulate_paths(f, 1500, 42), sample=True), "series", "horizon")
+    fast = rows_of(simulate.bands(f, 1500, 42, sample_of=(1, 2, 3)), "series", "horizon")
+    slow = rows_of(simulate.path_bands(simulate.simulate_paths(f, 1500, 42), sample_of=(1, 2, 3)), "series", "horizon")
     for x, y in zip(fast, slow, strict=True):
         for k in ("p10", "p25", "p50", "p75", "p90", "mean", "prob_rising", "prob_10pct_increase"):
             assert x[k] == pytest.approx(y[k], rel=1e-12), k

@@ -104,8 +104,9 @@ def test_view_and_stored_model(spark, tmp_path):
 
 def test_feature_store_round_trip(spark, panel, tmp_path):
     path = str(tmp_path / "fs")
-    landing.write_feature_store(panel, path)
-    assert landing.read_feature_store(spark, path).where("series = 'b'").count() == 36
+    for by_series in (False, True):
+        landing.write_feature_store(panel, path, by_series)
+        assert landing.read_feature_store(spark, path).where("series = 'b'").count() == 36
 
 
 def test_contract_check(spark):
