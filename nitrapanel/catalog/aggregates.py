@@ -214,7 +214,7 @@ cte(
 )
 cte(
     "crop_state",
-    """SELECT user_id, any_value(first_name) AS crop_name, season, year, sum(acres) AS acres FROM (
+    """SELECT user_id, any_value(first_name) AS crop_name, season, year, sum(acres) AS acres, any_value(born) AS created FROM (
       SELECT *, max(sets) OVER k AS last_sets, max(CASE WHEN seq = born THEN crop_name END) OVER k AS first_name
       FROM crop_sets WINDOW k AS (PARTITION BY user_id, lower(crop_name), season, year))
       WHERE sets = last_sets AND action IN ('add', 'set') GROUP BY user_id, lower(crop_name), season, year""",
@@ -251,8 +251,9 @@ case(
 )
 cte(
     "crop_costs",
-    f"""SELECT user_id, crop_name, cost, coalesce(cost / nullif(sum(cost) OVER (PARTITION BY user_id), 0), 0) * 100 AS cost_pct
-      FROM (SELECT user_id, crop_name, sum(coalesce({N_LBS}, 100) * acres * {LB_COST}) AS cost FROM crop_state GROUP BY 1, 2)""",
+    f"""SELECT user_id, crop_name, cost, created, coalesce(cost / nullif(sum(cost) OVER (PARTITION BY user_id), 0), 0) * 100 AS cost_pct
+      FROM (SELECT user_id, crop_name, sum(coalesce({N_LBS}, 100) * acres * {LB_COST}) AS cost, min(created) AS created
+        FROM crop_state GROUP BY 1, 2)""",
 )
 case(
     "a17_crop_cost_share",
@@ -266,9 +267,9 @@ cte(
     "crop_cards",
     f"""SELECT a.user_id, a.crop_name AS top_crop, a.cost AS top_cost, a.cost_pct AS top_pct,
       b.crop_name AS top_n_crop, b.n_lbs AS top_n_lbs
-      FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cost DESC, crop_name) AS rn FROM crop_costs) a
+      FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cost DESC, created) AS rn FROM crop_costs) a
       JOIN (SELECT user_id, crop_name, coalesce({N_LBS}, 0) AS n_lbs,
-              row_number() OVER (PARTITION BY user_id ORDER BY coalesce({N_LBS}, 0) DESC, crop_name) AS rn FROM crop_costs) b
+              row_number() OVER (PARTITION BY user_id ORDER BY coalesce({N_LBS}, 0) DESC, created) AS rn FROM crop_costs) b
       ON a.user_id = b.user_id AND a.rn = 1 AND b.rn = 1""",
 )
 case(

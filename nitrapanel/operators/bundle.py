@@ -61,13 +61,16 @@ def forecast_band(mc: DataFrame) -> DataFrame:
 
 
 def data_through(history: DataFrame) -> DataFrame:
-    """Newest month named by the last label of either history."""
+    """Newest month named by the last label of either history, else the as-of month."""
 
     def newest(c: str) -> Column:
         labels = F.col(f"{c}.labels")
         return label_month(F.try_element_at(labels, F.lit(-1)))
 
-    return history.select(KEY, month_iso(F.greatest(newest("urea_history"), newest("natgas_history"))).alias("data_through"))
+    through = month_iso(F.greatest(newest("urea_history"), newest("natgas_history")))
+    if "as_of_date" in history.columns:
+        through = F.coalesce(through, F.col("as_of_date"))
+    return history.select(KEY, through.alias("data_through"))
 
 
 STATS = [
@@ -128,10 +131,11 @@ WINDOW_SUFFIX = {"preshock": "", "full": "_full", "shock": "_shock"}
 HOLDOUT_METRICS = ("rmse", "mae", "dir_acc", "clf_acc")
 
 
-def metadata_from_metrics(metrics: DataFrame, training: DataFrame) -> DataFrame:
+def metadata_from_metrics(metrics: DataFrame, training: DataFrame, cv: DataFrame | None = None) -> DataFrame:
     """One row per series: training window plus every metric per window and horizon.
 
     Pre-shock metrics carry the plain name; shock metrics are NULL without shock rows.
+    ``cv`` adds the residual statistics of the walk-forward folds.
     """
 
     def at(window: str, h: int, c: str) -> Column:
@@ -144,7 +148,15 @@ def metadata_from_metrics(metrics: DataFrame, training: DataFrame) -> DataFrame:
         aggs += [at("preshock", h, m).alias(f"{m}_t{h}") for m in ("residual_mean", "residual_std")]
         for window in ("preshock", "shock"):
             aggs.append(F.coalesce(at(window, h, "n"), F.lit(0)).alias(f"n_test_{window}_t{h}"))
-    return training.join(metrics.groupBy(KEY).agg(*aggs), KEY)
+    out = training.join(metrics.groupBy(KEY).agg(*aggs), KEY)
+    if cv is None:
+        return out
+    folds = [
+        F.max(F.when(F.col("horizon") == h, F.col(c))).alias(f"{c}_t{h}")
+        for h in HORIZONS
+        for c in ("cv_residual_mean", "cv_residual_std")
+    ]
+    return out.join(cv.groupBy(KEY).agg(*folds), KEY, "left")
 
 
 def training_window(rows: DataFrame, holdout_start: str, shock_start: str) -> DataFrame:

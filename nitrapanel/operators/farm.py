@@ -54,7 +54,7 @@ def crop_state(log: DataFrame) -> DataFrame:
 
     ``add`` creates a row or adds acres to it (crop names match without case and the
     first spelling stays), ``set`` replaces the acres of an existing row, ``delete``
-    removes it.
+    removes it. ``seq`` is a number; the result carries the one that created the row.
 
     One aggregation finds the last delete and set of each row, a second one sums the
     additions after them. Rows with very many additions meet their facts by a
@@ -95,11 +95,11 @@ def _fold_adds(adds: DataFrame) -> DataFrame:
     seq = F.col("seq")
     alive = F.col("deleted").isNull() | (seq > F.col("deleted"))
     after_set = F.col("last_set").isNotNull() & (seq > F.col("last_set"))
-    folded = (
+    # Per spelling first: all buffers are numbers there, so the log is hash-aggregated.
+    per_spelling = (
         adds.where(alive)
-        .groupBy(*CROP_KEY)
+        .groupBy(*CROP_KEY, "crop_name")
         .agg(
-            F.min_by("crop_name", seq).alias("crop_name"),
             F.min(seq).alias("created"),
             F.sum("acres").alias("added"),
             F.sum(F.when(after_set, F.col("acres"))).alias("added_after_set"),
@@ -107,10 +107,18 @@ def _fold_adds(adds: DataFrame) -> DataFrame:
             F.max("set_acres").alias("set_acres"),
         )
     )
+    folded = per_spelling.groupBy(*CROP_KEY).agg(
+        F.min_by("crop_name", "created").alias("crop_name"),
+        F.min("created").alias("created"),
+        F.sum("added").alias("added"),
+        F.sum("added_after_set").alias("added_after_set"),
+        F.max("last_set").alias("last_set"),
+        F.max("set_acres").alias("set_acres"),
+    )
     # A set before the row exists touches nothing.
     replaced = F.col("last_set").isNotNull() & (F.col("last_set") > F.col("created"))
     acres = F.when(replaced, F.col("set_acres") + F.coalesce("added_after_set", F.lit(0.0))).otherwise(F.col("added"))
-    return folded.select("user_id", "crop_name", "season", "year", acres.alias("acres"))
+    return folded.select("user_id", "crop_name", "season", "year", acres.alias("acres"), "created")
 
 
 def select_crops(crops: DataFrame, seasons: list[str], year: int) -> DataFrame:
@@ -145,7 +153,9 @@ def fertilizer_totals(crops: DataFrame, price: Column) -> DataFrame:
 def crop_costs(crops: DataFrame, price: Column) -> DataFrame:
     """Cost per user and crop with its percentage of the user's total."""
     lbs = n_intensity(F.col("crop_name")) * F.col("acres")
-    per_crop = crops.groupBy("user_id", "crop_name").agg(F.sum(lbs * cost_per_lb_n(price)).alias("cost"))
+    per_crop = crops.groupBy("user_id", "crop_name").agg(
+        F.sum(lbs * cost_per_lb_n(price)).alias("cost"), F.min("created").alias("created")
+    )
     total = F.sum("cost").over(Window.partitionBy("user_id"))
     return per_crop.withColumn("cost_pct", F.coalesce(ratio(F.col("cost"), total), F.lit(0.0)) * 100)
 
@@ -153,16 +163,13 @@ def crop_costs(crops: DataFrame, price: Column) -> DataFrame:
 def farm_summary(crops: DataFrame, price: Column, gas_move: Column | None = None) -> DataFrame:
     """One row per user: totals, dearest crop, hungriest crop and gas alert.
 
-    Ties go to the alphabetically first crop.
+    Ties go to the crop entered first.
     """
     costs = crop_costs(crops, price)
     intensity = n_intensity(F.col("crop_name"), 0)
-    # Highest value first, then the lowest name.
     cards = costs.groupBy("user_id").agg(
-        F.min_by(F.struct("crop_name", "cost", "cost_pct"), F.struct(-F.col("cost"), F.col("crop_name"))).alias("top"),
-        F.min_by(
-            F.struct(F.col("crop_name"), intensity.alias("n_lbs")), F.struct(-intensity, F.col("crop_name"))
-        ).alias("hungry"),
+        F.min_by(F.struct("crop_name", "cost", "cost_pct"), F.struct(-F.col("cost"), F.col("created"))).alias("top"),
+        F.min_by(F.struct(F.col("crop_name"), intensity.alias("n_lbs")), F.struct(-intensity, F.col("created"))).alias("hungry"),
     )
     out = fertilizer_totals(crops, price).join(cards, "user_id").select(
         "user_id",

@@ -32,7 +32,7 @@ def storage_months(backbone: DataFrame) -> DataFrame:
     """Storage backbone as one gap-free run of months, empty months included."""
     value, period = F.col("value"), F.col("period")
     monthly = backbone.groupBy(KEY, month_start(period).alias(MONTH)).agg(
-        F.max_by(value, F.when(value.isNotNull(), F.struct(period, value))).alias("value")
+        F.max_by(value, F.when(value.isNotNull(), period)).alias("value")
     )
     return reindex_months(monthly, end_rule="rows")
 

@@ -33,11 +33,18 @@ def period_mean(feed: DataFrame, value: str = "value", period: str = "period") -
 
 
 def monthly_last(feed: DataFrame, value: str = "value", period: str = "period") -> DataFrame:
-    """Last observation of each month."""
-    return (
+    """Last observation of each month; of several on one date the highest.
+
+    Two hash aggregations: a single one would have to order by (date, value), which
+    sorts the whole feed first.
+    """
+    per_period = (
         observed(feed, period, value)
-        .groupBy(KEY, month_start(F.col(period)).alias(MONTH))
-        .agg(F.max_by(value, F.struct(period, value)).alias("value"))
+        .groupBy(KEY, F.col(period).alias("period"))
+        .agg(F.max(value).alias("value"))
+    )
+    return per_period.groupBy(KEY, month_start(F.col("period")).alias(MONTH)).agg(
+        F.max_by("value", "period").alias("value")
     )
 
 

@@ -88,7 +88,9 @@ def refresh(
         point = boosted.predict(boosted.load(spark, path("models")), latest_complete(features))
         mc = monte_carlo(with_residuals(boosted.forecast_long(point), residual_stats(metrics)))
         facts = metadata_from_metrics(
-            metrics, training_window(complete_rows(features, True), holdout_start, shock_start)
+            metrics,
+            training_window(complete_rows(features, True), holdout_start, shock_start),
+            read(path("cv_residuals")),
         )
         bundle = build_bundle(
             mc, history_payload(read(path("panel")), history_start), facts, F.current_timestamp().cast("string")

@@ -6,6 +6,7 @@ commodities, so that the fixed clip ranges and thresholds are meaningful.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,8 @@ SEGMENT_CROP = {
     "HOUSEHOLD": "Barley",
 }
 REGION_SERIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+# Digits of the largest bigint event id.
+ID_DIGITS = 19
 CROP_BY_CODE = ["Corn", "Wheat", "Cotton", "Sorghum", "Soybeans", "Rice"]
 
 
@@ -209,7 +212,12 @@ def crop_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(kind == "click", F.lower(crop)).otherwise(crop).alias("crop_name"),
             F.when(F.floor(code / 6) % 2 == 0, "Spring").otherwise("Fall").alias("season"),
             F.year("ts").alias("year"),
-            F.struct("ts", "event_id").alias("seq"),
+            # Order by time, then by id, as one number.
+            (
+                F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), "ts").cast("decimal(38,0)")
+                * F.lit(Decimal(10) ** ID_DIGITS)
+                + F.col("event_id")
+            ).cast("decimal(38,0)").alias("seq"),
             F.when(kind == "purchase", "set").when(kind == "error", "delete").otherwise("add").alias("action"),
             F.col("value").alias("acres"),
         )

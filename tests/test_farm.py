@@ -51,9 +51,29 @@ def test_crop_state_equals_sequential_application(spark, monkeypatch, seed, hot_
     } == brute_fold(log)
 
 
+def test_the_log_is_hash_aggregated(spark):
+    log = spark.createDataFrame([(1, "Corn", "Fall", 2025, 1, "add", 1.0)], LOG)
+    adds = log.withColumn("crop_key", F.lower("crop_name")).selectExpr("*", "1L deleted", "1L last_set", "1D set_acres")
+    plan = farm._fold_adds(adds)._jdf.queryExecution().executedPlan().toString()
+    first = plan.split("== Initial Plan ==")[-1].strip().splitlines()[-5:]
+    assert any("HashAggregate" in x for x in first) and not any("SortAggregate" in x for x in first)
+
+
 def crops(spark):
     rows = [(1, "Corn", "Spring", 2025, 100.0), (1, "Corn", "Fall", 2025, 50.0), (1, "Rice", "Fall", 2025, 10.0), (1, "corn", "Fall", 2024, 1.0), (2, "Hay", "Fall", 2025, 0.0)]
-    return spark.createDataFrame(rows, "user_id long, crop_name string, season string, year int, acres double")
+    return numbered(spark, rows)
+
+
+def numbered(spark, rows):
+    """Crop rows in the order they were entered."""
+    rows = [(*r, i) for i, r in enumerate(rows)]
+    return spark.createDataFrame(rows, "user_id long, crop_name string, season string, year int, acres double, created long")
+
+
+def test_ties_go_to_the_crop_entered_first(spark):
+    rows = [(2, "Hay", "Fall", 2025, 0.0), (2, "Clover", "Fall", 2025, 0.0), (3, "Yam", "Fall", 2025, 1.0), (3, "Fig", "Fall", 2025, 1.0)]
+    got = {r["user_id"]: r for r in rows_of(farm.farm_summary(numbered(spark, rows), F.lit(440.0)))}
+    assert got[2]["top_crop"] == "Hay" and got[3]["top_crop"] == got[3]["top_n_crop"] == "Yam"
 
 
 def test_totals_use_defaults_and_exact_names(spark):

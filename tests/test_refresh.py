@@ -23,7 +23,8 @@ def test_refresh_writes_a_bundle(spark, tmp_path):
     assert done == ["land", "stage", "features", "train", "bundle"]
     got = spark.read.json(str(tmp_path / "bundle"))
     assert got.count() == 5 and bundle.check_contract(got) is got
-    row = got.select("forecast.months", "signal.signal", "monte_carlo.n_simulations").first()
+    row = got.select("forecast.months", "signal.signal", "monte_carlo.n_simulations", "model_metadata.cv_residual_std_t2").first()
+    assert row.cv_residual_std_t2 > 0
     assert row.months == ["2001-08", "2001-09", "2001-10"] and row.n_simulations == 10_000
     with pytest.raises(ValueError):
         refresh(spark, {"daily": registry["daily"]}, str(tmp_path))
