@@ -237,7 +237,7 @@ def bundle(spark: SparkSession, sf: str) -> DataFrame:
     p = materialize(spine_panel(f), "spine")
     feats = materialize(build_features(p, daily_features(f.daily)), "features")
     return bundle_from(
-        p, feats, F.lit("2002-01-01 00:00:00").cast("timestamp"), t.HOLDOUT_START, t.SHOCK_START, t.HISTORY_START
+        p, feats, F.lit("2002-01-01 00:00:00Z").cast("timestamp"), t.HOLDOUT_START, t.SHOCK_START, t.HISTORY_START
     )
 
 

@@ -228,13 +228,12 @@ case(
 )
 case(
     "x07_fraction_grid",
-    lambda s, sf: t.table(s, sf, "nation").select(
-        "n_name",
+    lambda s, sf: t.table(s, sf, "supplier").select(
+        "s_suppkey",
         F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(200)), lambda i: i / F.lit(200.0))).alias("step", "f"),
     ),
-    "SELECT n_name, i AS step, i / 200e0 AS f FROM nation CROSS JOIN (SELECT unnest(range(201)) AS i)",
-    keep="n_name",
-    ints="step",
+    "SELECT s_suppkey, i AS step, i / 200e0 AS f FROM supplier CROSS JOIN (SELECT unnest(range(201)) AS i)",
+    ints="s_suppkey step",
     nums="f",
 )
 case(

@@ -54,5 +54,10 @@ def label_month(c: Column) -> Column:
     return F.to_date(c, "MMM yyyy")
 
 
+def iso_utc(ts: Column) -> Column:
+    """Timestamp as ISO text in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high)))

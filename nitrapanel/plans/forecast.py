@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nitrapanel.constants import DRAWS, HOLDOUT_START, SEED, SHOCK_TARGET_START
+from nitrapanel.functions.clean import iso_utc
 from nitrapanel.models.baseline import holdout_predictions, labelled, latest_forecast
 from nitrapanel.models.metrics import evaluate, residual_stats
 from nitrapanel.operators.bundle import (
@@ -77,7 +78,7 @@ def bundle_from(
     metrics = materialize(baseline_metrics(features, holdout_start, shock_start), "metrics")
     mc = monte_carlo(with_residuals(latest_forecast(features), residual_stats(metrics)))
     trained = training_window(complete_rows(features, True), holdout_start, shock_start)
-    written = F.date_format(F.current_timestamp() if generated_at is None else generated_at, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    written = iso_utc(F.current_timestamp() if generated_at is None else generated_at)
     return build_bundle(
         materialize(mc, "monte_carlo"), history_payload(panel, history_start), metadata_from_metrics(metrics, trained), written
     )

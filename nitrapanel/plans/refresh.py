@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nitrapanel.constants import HOLDOUT_START, SHOCK_TARGET_START
+from nitrapanel.functions.clean import iso_utc
 from nitrapanel.models import boosted
 from nitrapanel.models.metrics import residual_stats
 from nitrapanel.operators.bundle import (
@@ -93,7 +94,7 @@ def refresh(
             read(path("cv_residuals")),
         )
         bundle = build_bundle(
-            mc, history_payload(read(path("panel")), history_start), facts, F.current_timestamp().cast("string")
+            mc, history_payload(read(path("panel")), history_start), facts, iso_utc(F.current_timestamp())
         )
         write_bundle(bundle, path("bundle"))
 
