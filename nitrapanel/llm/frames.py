@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from nitrapanel.session import ship_package
 
 BATCH_ROWS = 256  # rows a task works on at a time
 BATCH_CHARS = 400_000  # code points after which such a batch ends early
@@ -61,3 +64,9 @@ def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
         cut = int(span * (most + 8 * most**0.5 + 64) / total) + 1
         rows = rows.where(draw < cut)
     return rows.orderBy(draw, key).limit(most)
+
+
+def arrow_map(rows: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` with this package on the workers."""
+    ship_package(rows.sparkSession)
+    return rows.mapInArrow(run, schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nitrapanel.llm.frames import hash_sample, record_batch, small_batches
+from nitrapanel.llm.frames import arrow_map, hash_sample, record_batch, small_batches
 from nitrapanel.llm.signs import LETTER, slices, sums, tables
 from nitrapanel.llm.tokens import _arrow
 
@@ -101,7 +101,7 @@ def counted(rows: DataFrame, text_col: str, label_col: str) -> list[tuple[str, n
             yield record_batch(schema, {"label": labels, "buckets": [r[0] for r in raw], "counts": [r[1] for r in raw]})
 
     some = rows.select(F.col(label_col).alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    got = some.mapInArrow(run, COUNTS).collect()
+    got = arrow_map(some, run, COUNTS).collect()
     return [(r["label"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<i4").astype(np.float64)) for r in got]
 
 
@@ -203,4 +203,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
             got = score_texts(sent.value, texts)
             yield record_batch(schema, dict(zip(schema.names, [*kept, *got])))
 
-    return source.mapInArrow(run, fields).withColumnsRenamed({f"k_{i}": c for i, c in enumerate(names)})
+    return arrow_map(source, run, fields).withColumnsRenamed({f"k_{i}": c for i, c in enumerate(names)})

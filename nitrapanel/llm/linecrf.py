@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nitrapanel.llm.frames import hash_sample, record_batch, small_batches
+from nitrapanel.llm.frames import arrow_map, hash_sample, record_batch, small_batches
 from nitrapanel.llm.signs import BLANK, DIGIT, LETTER, SYMBOL, UPPER, slices, sums, tables
 from nitrapanel.llm.tokens import _arrow
 
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             parts = np.split(measures.astype("<f4"), np.cumsum(sizes)[:-1])
             yield record_batch(schema, {"label": own, "measures": [p.tobytes() for p in parts]})
 
-    got = sorted((r["label"], bytes(r["measures"])) for r in rows.select("label", "text").mapInArrow(run, EXAMPLES).collect())
+    got = sorted((r["label"], bytes(r["measures"])) for r in arrow_map(rows.select("label", "text"), run, EXAMPLES).collect())
     all_measures = np.frombuffer(b"".join(m for _, m in got), "<f4").reshape(-1, 10).astype(np.float64)
     sizes = np.array([len(m) // 40 for _, m in got], dtype=np.int64)
     return train(np.array([label for label, _ in got], dtype=np.int64), sizes, all_measures)
@@ -270,4 +270,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
         for *kept, texts in small_batches(batches, *columns, "text"):
             yield record_batch(schema, dict(zip(schema.names, [*kept, *score_texts(model, texts)])))
 
-    return source.mapInArrow(run, fields).withColumnsRenamed({f"k_{i}": c for i, c in enumerate(names)})
+    return arrow_map(source, run, fields).withColumnsRenamed({f"k_{i}": c for i, c in enumerate(names)})

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from nitrapanel.llm.coder import coder
-from nitrapanel.llm.frames import crc, id_and_text, record_batch, small_batches
+from nitrapanel.llm.frames import arrow_map, crc, id_and_text, record_batch, small_batches
 from nitrapanel.llm.tokens import _arrow
 
 TIERS = (2048, 1024, 512, 256)
@@ -186,4 +186,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] =
                     yield from rows(groups)
         yield from rows(packer.finish())
 
-    return id_and_text(docs, id_col, text_col).sortWithinPartitions("doc_id").mapInArrow(run, PIECES)
+    return arrow_map(id_and_text(docs, id_col, text_col).sortWithinPartitions("doc_id"), run, PIECES)

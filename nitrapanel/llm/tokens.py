@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nitrapanel.llm.coder import coder
-from nitrapanel.llm.frames import crc, id_and_text, record_batch, small_batches
+from nitrapanel.llm.frames import arrow_map, crc, id_and_text, record_batch, small_batches
 
 MAGIC = b"TIDS"
 HEAD = struct.Struct("<4sHHQII")
@@ -148,7 +148,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
 
     ordered = id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    ordered.mapInArrow(encode, SEGMENTS).write.parquet(f"{path}/segments")
+    arrow_map(ordered, encode, SEGMENTS).write.parquet(f"{path}/segments")
     # One row for each task of the write: bounded by the number of partitions, not by the data.
     totals = spark.read.parquet(f"{path}/segments").groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
     rows, base = [], 0
@@ -183,7 +183,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for doc_id, start, ids in _documents(batches):
             yield record_batch(schema, {"doc_id": [doc_id], "start": [start], "ids": [ids.astype(np.int32)]})
 
-    return segments(spark, path).select("base", "doc_ids", "lengths", "image").mapInArrow(decode, TOKENS)
+    return arrow_map(segments(spark, path).select("base", "doc_ids", "lengths", "image"), decode, TOKENS)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -200,7 +200,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
         if rows:
             yield record_batch(schema, dict(zip(schema.names, map(list, zip(*rows)))))
 
-    return segments(spark, path).select("base", "doc_ids", "lengths", "image").mapInArrow(decode, DIGESTS)
+    return arrow_map(segments(spark, path).select("base", "doc_ids", "lengths", "image"), decode, DIGESTS)
 
 
 def read_range(spark: SparkSession, path: str, start: int, stop: int) -> np.ndarray:
