@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nitrapanel.llm import fingerprints, packing, rules, secrets, sharding, tokens
+from nitrapanel.llm import fingerprints, langid, linecrf, mixing, packing, rules, secrets, sharding, simhash, tokens
 from nitrapanel.llm.coder import tokenizer_path
-from nitrapanel.llm.frames import fold  # noqa: F401
+from nitrapanel.llm.frames import fold
 from nitrapanel.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +30,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_digests(spark, path)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", fold("doc_id", 4) == 2)
+    model = langid.fit(docs.where("NOT held_out"))
+    return langid.predict(docs, model, keep=["doc_id", "held_out"])
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.ledger(_documents(spark, sf_dir), keep=["doc_id"])
     judged = rules.apply_policy(rows, rules.POLICIES["prose", 1])
@@ -63,6 +69,39 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Shares of the tokens that each domain is to have; the domains come from the table of labels.
+TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """``doc_id, domain`` of labelled documents; a document labelled twice has the worse domain."""
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", kind.alias("domain")).where("domain IS NOT NULL").groupBy("doc_id").agg(F.max("domain").alias("domain"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = mixing.fit(docs.join(domains(_labels(spark, sf_dir)), "doc_id"))
+    members = mixing.memberships(docs, model)
+    plan = mixing.fit_rates(members, model.domains, TARGETS)
+    names = F.array(*map(F.lit, model.domains))
+    best = F.array_position("posterior", F.array_max("posterior")).cast("int")
+    return mixing.with_rates(members, plan).select(
+        "doc_id", "tokens", F.element_at(names, best).alias("domain"), "posterior", "rate", "copies",
+    )
+
+
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", fold("doc_id", 3) == 1)
+    model = linecrf.fit(docs, _labels(spark, sf_dir).where(fold("doc_id", 3) != 1))
+    return linecrf.score(docs, model, keep=["doc_id", "held_out"])
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(_documents(spark, sf_dir))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def _spans_of(kind: int) -> Column:
     return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
 
@@ -82,6 +121,12 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP3_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
@@ -129,7 +174,10 @@ SELECT doc_id, {names}, sha256(coalesce(base, '')) AS base_sha256, coalesce(span
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_files, op3_quality_rules, op4_packing, op5_fingerprints, op9_secrets, op10_shards]
+    own = [
+        op1_token_files, op2_language, op3_quality_rules, op4_packing, op5_fingerprints,
+        op6_mixing, op7_line_quality, op8_simhash, op9_secrets, op10_shards, pipeline,
+    ]
     return {f.__name__: f for f in own}
 
 
