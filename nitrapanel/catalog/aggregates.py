@@ -15,7 +15,7 @@ from nitrapanel.models.metrics import evaluate, seed_spread
 from nitrapanel.models.splits import direction
 from nitrapanel.operators import farm, lag, quality, staging
 from nitrapanel.operators.bundle import data_through, history_payload
-from nitrapanel.operators.simulate import histogram, monte_carlo, path_bands, simulate_paths
+from nitrapanel.operators.simulate import bands, histogram, monte_carlo
 from nitrapanel.sources import landing
 from nitrapanel.sources import tables as t
 
@@ -81,7 +81,7 @@ case(
 )
 case(
     "a08_exact_percentiles",
-    lambda s, sf: path_bands(simulate_paths(c.forecast_rows(s, sf))),
+    lambda s, sf: bands(c.forecast_rows(s, sf)),
     "SELECT * FROM bands",
     keep="series",
     ints="horizon n_simulations",
@@ -90,7 +90,7 @@ case(
 )
 case(
     "a09_chance_above",
-    lambda s, sf: path_bands(simulate_paths(c.forecast_rows(s, sf))),
+    lambda s, sf: bands(c.forecast_rows(s, sf)),
     "SELECT * FROM bands",
     keep="series",
     ints="horizon",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nitrapanel.catalog.base import cte
 from nitrapanel.constants import FEATURE_COLS, TARGET_COLS
-from nitrapanel.functions.draws import MODULUS, MULTIPLIER, ROUNDS, SEED_STRIDE
+from nitrapanel.functions.draws import LOW_BITS, MODULUS, MULTIPLIER, ROUNDS, seed_words
 from nitrapanel.models.baseline import holdout_predictions, labelled, latest_forecast
 from nitrapanel.models.metrics import evaluate, residual_stats
 from nitrapanel.operators.simulate import with_residuals
@@ -234,8 +234,8 @@ cte("train_line", line("train_rows"))
 cte(
     "holdout",
     """SELECT *, CAST(pred > urea AS INTEGER) AS label_pred FROM (
-      SELECT s.*, y_mean + slope * (urea - x_mean) AS pred
-      FROM split s JOIN train_line USING (series, horizon) WHERE role = 'test')""",
+      SELECT s.*, coalesce(y_mean + slope * (urea - x_mean), urea) AS pred
+      FROM split s LEFT JOIN train_line USING (series, horizon) WHERE role = 'test')""",
 )
 
 
@@ -253,26 +253,38 @@ def metrics(source: str, keys: str = "series", shock: str = t.SHOCK_START) -> st
 cte("holdout_metrics", metrics("holdout"))
 cte(
     "residuals",
-    """SELECT series, horizon, residual_mean, residual_std FROM holdout_metrics WHERE bucket = 'preshock'""",
+    """SELECT series, horizon, n, residual_mean, residual_std FROM holdout_metrics WHERE bucket = 'preshock'""",
+)
+cte(
+    "pooled",
+    """SELECT horizon, sum(n * residual_mean) / sum(n) AS pm, sqrt(greatest(sum(n * (residual_std * residual_std
+      + residual_mean * residual_mean)) / sum(n) - pow(sum(n * residual_mean) / sum(n), 2), 0)) AS ps FROM residuals GROUP BY 1""",
 )
 cte("all_rows", weighted("by_horizon"))
 cte("all_line", line("all_rows"))
 cte(
     "forecast",
     """SELECT l.series, l.month, h.horizon, CAST(l.month + to_months(h.horizon) AS DATE) AS target_month,
-      l.urea AS current, l.ng_spot, l.ng_mom_1m, y_mean + slope * (l.urea - x_mean) AS pred
+      l.urea AS current, l.ng_spot, l.ng_mom_1m, coalesce(y_mean + slope * (l.urea - x_mean), l.urea) AS pred
       FROM latest l CROSS JOIN (SELECT unnest([1, 2, 3]) AS horizon) h
-      JOIN all_line a ON a.series = l.series AND a.horizon = h.horizon""",
+      LEFT JOIN all_line a ON a.series = l.series AND a.horizon = h.horizon""",
 )
 
 # Draws and simulation --------------------------------------------------------------
 
 
+def _mix(s: str) -> str:
+    """The mixing rounds; each value is bound to a name once."""
+    for k in range(ROUNDS):
+        s = f"list_transform([({s} * {MULTIPLIER} + 11) % {MODULUS}], lambda v{k}: xor(v{k}, v{k} >> 15))[1]"
+    return s
+
+
 def uniform(counter: str, seed: int) -> str:
-    s = f"(({counter} + {seed * SEED_STRIDE + 1}) % {MODULUS})"
-    for _ in range(ROUNDS):
-        s = f"(({s} * {MULTIPLIER} + 11) % {MODULUS})"
-        s = f"xor({s}, {s} >> 15)"
+    a, b, w = seed_words(seed)
+    n = f"CAST({counter} AS BIGINT)"
+    stride = f"({_mix(f'((({n} >> {LOW_BITS}) * {a} + {b}) % {MODULUS})')} % {MODULUS - 1} + 1)"
+    s = _mix(f"((({n} & {(1 << LOW_BITS) - 1}) * {stride} + {w}) % {MODULUS})")
     return f"((({s} * {MULTIPLIER} + 11) % {MODULUS}) + 0.5e0) / {MODULUS}e0"
 
 
@@ -289,9 +301,11 @@ def draws(n: int = 10_000, seed: int = 42) -> str:
 cte("draws", draws())
 cte(
     "paths",
-    """SELECT f.*, r.residual_mean, r.residual_std, path_id,
-      least(greatest(pred + (residual_mean + residual_std * z), 100e0), 2000e0) AS sim
-      FROM forecast f JOIN residuals r USING (series, horizon) JOIN draws d ON d.stream = f.horizon""",
+    """SELECT f.*, path_id, CASE WHEN pred + (residual_mean + residual_std * z) IS NOT NULL
+        THEN least(greatest(pred + (residual_mean + residual_std * z), 100e0), 2000e0) END AS sim
+      FROM (SELECT f.*, coalesce(r.residual_mean, p.pm) AS residual_mean, coalesce(r.residual_std, p.ps) AS residual_std
+            FROM forecast f LEFT JOIN residuals r USING (series, horizon) LEFT JOIN pooled p USING (horizon)) f
+      JOIN draws d ON d.stream = f.horizon""",
 )
 cte(
     "bands",

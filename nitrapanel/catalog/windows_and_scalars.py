@@ -180,8 +180,11 @@ case(
 over_spine("x02_quarter_dummies", {f"season_q{q}": (F.quarter(MONTH) == q).cast("int") for q in (1, 2, 3, 4)})
 case(
     "x03_clip",
-    lambda s, sf: t.table(s, sf, "customer").select("c_custkey", clean.clip(F.col("c_acctbal"), 100, 2000).alias("clipped")),
-    "SELECT c_custkey, least(greatest(c_acctbal, 100), 2000) AS clipped FROM customer",
+    lambda s, sf: t.table(s, sf, "customer").select(
+        "c_custkey", clean.clip(F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal")), 100, 2000).alias("clipped")
+    ),
+    """SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' AND c_acctbal IS NOT NULL
+       THEN least(greatest(c_acctbal, 100), 2000) END AS clipped FROM customer""",
     ints="c_custkey",
     nums="clipped",
 )

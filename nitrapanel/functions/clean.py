@@ -60,4 +60,5 @@ def iso_utc(ts: Column) -> Column:
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high)))
+    """``c`` held between the bounds; a missing value stays missing."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high))))

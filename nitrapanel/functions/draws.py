@@ -1,7 +1,7 @@
 """Counter-based random numbers in integer column arithmetic.
 
 A draw depends only on its counter and the seed, so the same row gets the same
-value under any partitioning, retry or engine.
+value under any partitioning, retry or engine. Counters may go up to 2^60.
 """
 
 from __future__ import annotations
@@ -14,20 +14,48 @@ from pyspark.sql import functions as F
 # Modulus and multiplier of the congruential step.
 MODULUS = 2147483647
 MULTIPLIER = 48271
-SEED_STRIDE = 1000003
 ROUNDS = 3
+LOW_BITS = 30  # of a counter; the rest chooses the sequence
+
+
+def mixed(s: int) -> int:
+    """The mixing rounds on a plain number."""
+    for _ in range(ROUNDS):
+        s = (s * MULTIPLIER + 11) % MODULUS
+        s ^= s >> 15
+    return s
+
+
+def seed_words(seed: int) -> tuple[int, int, int]:
+    """Three words of a seed, each from its own rounds."""
+    first = mixed(seed % MODULUS)
+    second = mixed((first + 1) % MODULUS)
+    return first % (MODULUS - 1) + 1, second, mixed((second + 1) % MODULUS)
 
 
 def _step(s: Column) -> Column:
     return (s * F.lit(MULTIPLIER) + F.lit(11)) % F.lit(MODULUS)
 
 
-def uniform(counter: Column, seed: int) -> Column:
-    """Uniform in (0, 1) for a non-negative bigint counter."""
-    s = (counter.cast("bigint") + F.lit(seed * SEED_STRIDE + 1)) % F.lit(MODULUS)
+def _mix(s: Column) -> Column:
     for _ in range(ROUNDS):
         s = _step(s)
         s = s.bitwiseXOR(F.shiftright(s, 15))
+    return s
+
+
+def uniform(counter: Column, seed: int) -> Column:
+    """Uniform in (0, 1) for a non-negative bigint counter.
+
+    The high word of the counter and the seed choose a multiplier, the low word runs
+    through the sequence it makes, so neither seeds nor far counters are shifted copies
+    of each other.
+    """
+    a, b, c = seed_words(seed)
+    n = counter.cast("bigint")
+    high, low = F.shiftright(n, LOW_BITS), n.bitwiseAND(F.lit((1 << LOW_BITS) - 1).cast("bigint"))
+    stride = _mix((high * F.lit(a) + F.lit(b)) % F.lit(MODULUS)) % F.lit(MODULUS - 1) + F.lit(1)
+    s = _mix((low * stride + F.lit(c)) % F.lit(MODULUS))
     return (_step(s) + F.lit(0.5)) / F.lit(float(MODULUS))
 
 

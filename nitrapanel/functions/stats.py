@@ -57,56 +57,25 @@ def strength(r: Column) -> Column:
     return F.when(size > 0.7, "Strong").when(size > 0.4, "Moderate").when(r.isNotNull(), "Weak")
 
 
-def sorted_quantile(values: Column, q: float | Column, shape) -> Column:
-    """Linear-interpolated quantile of ``shape(v)`` over an ascending array.
+def sorted_count_above(values: Column, above) -> Column:
+    """Number of entries of an ascending array for which ``above`` holds, by bisection.
 
-    ``shape`` must be non-decreasing, so order statistics map one to one and only
-    the two neighbours of the quantile are evaluated.
+    ``above`` must be false up to some entry and true from there on.
     """
-    pos = (F.size(values) - 1) * (q if isinstance(q, Column) else F.lit(float(q)))
-    low = F.floor(pos)
-    frac = pos - low
-    a = shape(F.element_at(values, (low + 1).cast("int")))
-    b = shape(F.element_at(values, F.least(low + 2, F.size(values).cast("bigint")).cast("int")))
-    return a + frac * (b - a)
-
-
-def sorted_count_above(values: Column, level: Column, shape) -> Column:
-    """Number of ``shape(v) > level`` over an ascending array, by bisection."""
     n = F.size(values)
 
     def halve(acc: Column, _: Column) -> Column:
         mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
         unsettled = acc["lo"] < acc["hi"]
-        above = shape(F.element_at(values, F.least(mid + 1, n))) > level
-        lo = F.when(unsettled & ~above, mid + 1).otherwise(acc["lo"])
-        hi = F.when(unsettled & above, mid).otherwise(acc["hi"])
+        hit = F.coalesce(above(F.element_at(values, F.least(mid + 1, n))), F.lit(False))
+        lo = F.when(unsettled & ~hit, mid + 1).otherwise(acc["lo"])
+        hi = F.when(unsettled & hit, mid).otherwise(acc["hi"])
         return F.struct(lo.alias("lo"), hi.alias("hi"))
 
-    # 20 halvings settle an array of up to a million values.
+    # As many halvings as the size needs.
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int") + 1)
     start = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
-    return n - F.aggregate(F.sequence(F.lit(1), F.lit(20)), start, halve, lambda acc: acc["hi"])
-
-
-def sorted_share_above(values: Column, level: Column, shape) -> Column:
-    return sorted_count_above(values, level, shape).cast("double") / F.size(values)
-
-
-def clipped_mean(zs: Column, run: Column, base: Column, std: Column, low: float, high: float) -> Column:
-    """Mean of clip(base + std * z) from ascending draws and their running sums."""
-
-    def price(z: Column) -> Column:
-        return base + std * z
-
-    n = F.size(zs)
-    over_low = sorted_count_above(zs, F.lit(float(low)), price)
-    over_high = sorted_count_above(zs, F.lit(float(high)), price)
-
-    def run_to(count: Column) -> Column:
-        return F.when(count > 0, F.element_at(run, F.greatest(count, F.lit(1)))).otherwise(0.0)
-
-    inside = std * (run_to(n - over_high) - run_to(n - over_low)) + base * (over_low - over_high)
-    return ((n - over_low) * F.lit(float(low)) + over_high * F.lit(float(high)) + inside) / n
+    return n - F.aggregate(steps, start, halve, lambda acc: acc["hi"])
 
 
 def histogram_bin(x: Column, low: Column, high: Column, bins: int) -> Column:

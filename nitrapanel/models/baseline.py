@@ -46,8 +46,9 @@ def weighted_line(rows: DataFrame, x: str = "urea", y: str = "target") -> DataFr
 
 
 def apply_line(rows: DataFrame, line: DataFrame, x: str = "urea") -> DataFrame:
-    pred = F.col("y_mean") + F.col("slope") * (F.col(x) - F.col("x_mean"))
-    scored = rows.join(line, LINE_KEYS).withColumn("pred", pred).drop("x_mean", "y_mean", "slope")
+    """Every row with ``pred``; a series without a line keeps its last value."""
+    pred = F.coalesce(F.col("y_mean") + F.col("slope") * (F.col(x) - F.col("x_mean")), F.col(x))
+    scored = rows.join(line, LINE_KEYS, "left").withColumn("pred", pred).drop("x_mean", "y_mean", "slope")
     return scored.withColumn("label_pred", direction(F.col("pred"), F.col("urea")))
 
 

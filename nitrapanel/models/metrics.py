@@ -43,7 +43,9 @@ def evaluate(
 def residual_stats(metrics: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Residual mean and spread that feed the simulation: pre-shock holdout only."""
     keys = [KEY] if keys is None else keys
-    return metrics.where(F.col("bucket") == "preshock").select(*keys, "horizon", "residual_mean", "residual_std")
+    return metrics.where(F.col("bucket") == "preshock").select(
+        *keys, "horizon", "n", "residual_mean", "residual_std"
+    )
 
 
 def cv_residuals(predictions: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -148,7 +148,7 @@ def metadata_from_metrics(metrics: DataFrame, training: DataFrame, cv: DataFrame
         aggs += [at("preshock", h, m).alias(f"{m}_t{h}") for m in ("residual_mean", "residual_std")]
         for window in ("preshock", "shock"):
             aggs.append(F.coalesce(at(window, h, "n"), F.lit(0)).alias(f"n_test_{window}_t{h}"))
-    out = training.join(metrics.groupBy(KEY).agg(*aggs), KEY)
+    out = training.join(metrics.groupBy(KEY).agg(*aggs), KEY, "left")
     if cv is None:
         return out
     folds = [
