@@ -50,9 +50,7 @@ def legacy_panel(spark: SparkSession, sf: str) -> DataFrame:
     daily = materialize(t.order_days(spark, sf), "order_days")
     days = materialize(t.ship_days(spark, sf), "ship_days")
     f = t.feeds_of(daily, days)
-    return ingest_legacy(
-        f.daily, f.backbone, f.weekly_bcf, f.storage_backbone, t.quoted_sheet_of(days), start="1996-01-01"
-    )
+    return ingest_legacy(f.daily, f.backbone, f.weekly_bcf, f.storage_backbone, t.quoted_sheet_of(days), start=None)
 
 
 def overlay_sql(local: str, live: str) -> str:
@@ -72,8 +70,9 @@ cte("old_sheet", f"SELECT series, month, {fill_two('urea')}, {fill_two('dap')} F
 cte(
     "old_panel",
     """SELECT k.series, k.month, n.value AS ng_spot, s.urea, s.dap, g.value AS storage_mmcf FROM (
-      SELECT series, CAST(unnest(generate_series(DATE '1996-01-01', hi, INTERVAL 1 MONTH)) AS DATE) AS month FROM (
-        SELECT series, least((SELECT max(month) FROM old_ng n WHERE n.series = x.series AND value IS NOT NULL),
+      SELECT series, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS month FROM (
+        SELECT series, least((SELECT min(month) FROM old_ng n WHERE n.series = x.series),
+          (SELECT min(month) FROM old_storage n WHERE n.series = x.series), min(month)) AS lo, least((SELECT max(month) FROM old_ng n WHERE n.series = x.series AND value IS NOT NULL),
           (SELECT max(month) FROM old_storage n WHERE n.series = x.series AND value IS NOT NULL),
           max(month) FILTER (urea IS NOT NULL), max(month) FILTER (dap IS NOT NULL)) AS hi FROM old_sheet x GROUP BY 1)) k
       LEFT JOIN old_ng n ON n.series = k.series AND n.month = k.month
@@ -159,8 +158,9 @@ case(
 
 
 def refit_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    models = boosted.refit(stored_rows(spark, sf), TREE_ITERATIONS)
-    return boosted.predict(models, latest_complete(c.features(spark, sf)))
+    f = c.stored_features(spark, sf)
+    models = boosted.refit(boosted.training_rows(f, t.HOLDOUT_START), TREE_ITERATIONS)
+    return boosted.predict(models, latest_complete(f))
 
 
 case("k12_refit_all", refit_predictions)
@@ -358,9 +358,7 @@ def two_panels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     daily = materialize(t.order_days(spark, sf), "order_days")
     days = materialize(t.ship_days(spark, sf), "ship_days")
     f = t.feeds_of(daily, days)
-    old = ingest_legacy(
-        f.daily, f.backbone, f.weekly_bcf, f.storage_backbone, t.quoted_sheet_of(days), start="1996-01-01"
-    )
+    old = ingest_legacy(f.daily, f.backbone, f.weekly_bcf, f.storage_backbone, t.quoted_sheet_of(days), start=None)
     return materialize(panel_from(f), "panel"), materialize(old, "old_panel")
 
 
@@ -441,8 +439,8 @@ cte(
 case(
     "k28_exposure_table",
     lambda s, sf: farm.exposure_table(t.farms(s, sf), materialize(bands(c.forecast_rows(s, sf)), "bands")),
-    """SELECT farm_id, series, horizon, total_urea_mt, need AS remaining_mt, need * p50 AS cost_expected, need * p10 AS cost_low,
-       need * p90 AS cost_high, need * current AS cost_now FROM needs JOIN bands USING (series)""",
+    """SELECT farm_id, series, horizon, total_urea_mt, need AS remaining_mt, need * round(p50, 1) AS cost_expected,
+       need * round(p10, 1) AS cost_low, need * round(p90, 1) AS cost_high, need * round(current, 1) AS cost_now FROM needs JOIN bands USING (series)""",
     keep="series",
     ints="farm_id horizon",
     nums="total_urea_mt remaining_mt cost_expected cost_low cost_high cost_now",
@@ -471,17 +469,19 @@ case(
     hedges,
     """SELECT *, round(f_star * 100) AS pct_now, need * f_star AS mt_now, need * (1 - f_star) AS mt_wait,
          need * current AS cost_all_now, need * (f_star * current + (1 - f_star) * exp_price) AS exp_optimal,
+         need * (f_star * current + (1 - f_star) * p10_price) AS p10_optimal,
          need * (f_star * current + (1 - f_star) * p90_price) AS p90_optimal, need * exp_price AS exp_wait,
-         need * p10_price AS p10_wait,
+         need * p10_price AS p10_wait, need * p90_price AS p90_wait,
          need * exp_price - need * (f_star * current + (1 - f_star) * exp_price) AS saving_vs_wait FROM hedge_best""",
     keep="series risk",
     ints="farm_id horizon pct_now",
-    nums="f_star mt_now mt_wait cost_all_now exp_optimal p90_optimal exp_wait p10_wait saving_vs_wait",
+    nums="f_star mt_now mt_wait cost_all_now exp_optimal p10_optimal p90_optimal exp_wait p10_wait p90_wait saving_vs_wait",
     digits=3,
 )
 cte(
     "timing",
-    f"""SELECT series, 0 AS wait_days, current, current AS p10, current AS p50, current AS p90, NULL AS prob FROM mc
+    f"""WITH mc AS (SELECT * REPLACE (round(current, 1) AS current) FROM mc)
+      SELECT series, 0 AS wait_days, current, current AS p10, current AS p50, current AS p90, NULL AS prob FROM mc
       UNION ALL SELECT series, 30, current, p10_t1, p50_t1, p90_t1, CASE WHEN sd <= 0 THEN CAST(p50_t1 > current AS DOUBLE)
         ELSE 0.5e0 * (1e0 - ({ERF})) END FROM (
         SELECT *, residual_std_t1 AS sd, (current - p50_t1) / nullif(residual_std_t1 * sqrt(2e0), 0) AS x FROM mc)

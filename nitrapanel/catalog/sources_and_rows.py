@@ -15,7 +15,7 @@ from nitrapanel.operators.lag import aligned, lagged_pairs
 from nitrapanel.operators.simulate import simulate_paths
 from nitrapanel.operators.spine import reindex_months
 from nitrapanel.operators.states import share_of_max
-from nitrapanel.session import scratch_path
+from nitrapanel.session import materialize, scratch_path
 from nitrapanel.sources import feeds as readers
 from nitrapanel.sources import landing
 from nitrapanel.sources import tables as t
@@ -28,7 +28,7 @@ NUM_PANEL = " ".join(MEASURES)
 
 
 def api_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Every event as a one-row response page in JSON text, read back through the page schema."""
+    """Every event as a one-row response page on a line of JSON files, read through the page reader."""
     k = F.get_json_object("props", "$.k")
     row = F.struct(
         F.date_format("ts", "yyyy-MM-dd").alias("period"),
@@ -39,9 +39,9 @@ def api_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_type").alias("process"),
     )
     page = F.to_json(F.struct(F.struct(F.array(row).alias("data")).alias("response")))
-    text = t.table(spark, sf, "events").select(page.alias("page"))
-    pages = text.select(F.from_json("page", readers.PAGE_SCHEMA).alias("p")).select("p.*")
-    return readers.parse_api_pages(pages, {"process": "purchase"})
+    path = scratch_path(spark, "pages")
+    t.table(spark, sf, "events").select(page.alias("page")).write.text(path)
+    return readers.read_api_pages(spark, path, {"process": "purchase"}, one_file_each=False)
 
 
 case(
@@ -59,6 +59,13 @@ def quoted(spark: SparkSession, sf: str) -> DataFrame:
     return t.quoted_sheet_of(t.ship_days(spark, sf))
 
 
+def csv_file(df: DataFrame, name: str) -> str:
+    """``df`` written as a delimited sheet with a header; returns its path."""
+    path = f"{scratch_path(df.sparkSession, 'sheet')}/{name}"
+    df.write.option("header", True).csv(path)
+    return path
+
+
 def csv_text(spark: SparkSession, sf: str) -> DataFrame:
     price = F.coalesce(F.col("urea").cast("string"), F.lit(".."))
     return quoted(spark, sf).select(KEY, F.date_format(MONTH, "yyyy-MM").alias("Month"), price.alias("Price"))
@@ -71,16 +78,23 @@ def sheet_text(spark: SparkSession, sf: str) -> DataFrame:
     return quoted(spark, sf).select(KEY, code.alias("period"), price[0].alias("Urea "), price[1].alias("DAP"))
 
 
+def price_sheet(spark: SparkSession, sf: str) -> DataFrame:
+    """Two vintages of the sheet; the older one has other prices and must not be picked."""
+    now = sheet_text(spark, sf)
+    old = now.withColumn("DAP", F.lit("1.0")).withColumn("Urea ", F.lit("2.0"))
+    return readers.read_price_sheet(spark, [csv_file(now, "prices-2002-02"), csv_file(old, "prices-2001-11")])
+
+
 case(
     "c02_monthly_csv",
-    lambda s, sf: readers.parse_monthly_csv(csv_text(s, sf)),
+    lambda s, sf: readers.read_monthly_csv(s, csv_file(csv_text(s, sf), "monthly")),
     "SELECT series, month AS period, urea AS value FROM quoted WHERE urea IS NOT NULL",
     keep="series period",
     nums="value",
 )
 case(
     "c03_monthly_csv_filled",
-    lambda s, sf: legacy.filled_backbone(readers.parse_monthly_csv(csv_text(s, sf), keep_missing=True)),
+    lambda s, sf: legacy.filled_backbone(readers.read_monthly_csv(s, csv_file(csv_text(s, sf), "monthly"), keep_missing=True)),
     """SELECT series, month, last_value(urea IGNORE NULLS) OVER (PARTITION BY series ORDER BY month
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM quoted""",
     keep="series month",
@@ -88,7 +102,7 @@ case(
 )
 case(
     "c04_price_sheet",
-    lambda s, sf: readers.parse_price_sheet(sheet_text(s, sf)),
+    price_sheet,
     "SELECT series, month AS period, urea, dap FROM quoted WHERE urea IS NOT NULL",
     keep="series period",
     nums="urea dap",
@@ -119,22 +133,22 @@ def storage_text(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def daily_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily sheet text; Sundays carry an unreadable price."""
+    price = F.when(F.dayofweek("period") == 1, "..").otherwise(F.col("value").cast("string"))
+    return t.order_days(spark, sf).select(KEY, F.col("period").cast("string").alias("Date"), price.alias("Price"))
+
+
 case(
     "c06_storage_sheet",
-    lambda s, sf: readers.parse_storage_sheet(storage_text(s, sf)),
+    lambda s, sf: readers.read_storage_sheet(s, csv_file(storage_text(s, sf), "storage")),
     "SELECT series, period, value FROM storage_backbone",
     keep="series period",
     nums="value",
 )
 case(
     "c07_daily_sheet",
-    lambda s, sf: readers.parse_daily_sheet(
-        t.order_days(s, sf).select(
-            KEY,
-            F.col("period").cast("string").alias("Date"),
-            F.when(F.dayofweek("period") == 1, "..").otherwise(F.col("value").cast("string")).alias("Price"),
-        )
-    ),
+    lambda s, sf: readers.read_daily_sheet(s, csv_file(daily_text(s, sf), "daily")),
     "SELECT series, period, value FROM spot_daily WHERE dayofweek(period) <> 0",
     keep="series period",
     nums="value",
@@ -142,7 +156,7 @@ case(
 
 
 def land_report(spark: SparkSession, sf: str) -> DataFrame:
-    f = t.lazy_feeds(spark, sf)
+    f = t.landed_feeds(spark, sf)
     named = {"daily": f.daily, "backbone": f.backbone, "weekly": f.weekly_bcf}
     return quality.union_all([landing.report(name, df) for name, df in named.items()])
 
@@ -201,15 +215,22 @@ case(
     nums="urea ng_ma30_eom urea_zscore_24m storage_zscore target_urea_t3",
     digits=5,
 )
+def both_branches(spark: SparkSession, sf: str) -> DataFrame:
+    """Once the first source is missing, once it is there with half the prices."""
+    path = scratch_path(spark, "mart")
+    sources = {"mart": lambda: spark.read.parquet(path), "local": lambda: t.order_days(spark, sf)}
+    missing = materialize(resolve("auto", sources, say=lambda _: None), "fallback")
+    missing.withColumn("value", F.col("value") / 2).write.parquet(path)
+    present = resolve("auto", sources, say=lambda _: None)
+    return missing.withColumn("picked", F.lit("local")).unionByName(present.withColumn("picked", F.lit("mart")))
+
+
 case(
     "c12_source_fallback",
-    lambda s, sf: resolve(
-        "auto",
-        {"mart": lambda: s.read.parquet(f"{sf}/mart_panel.parquet"), "local": lambda: t.order_days(s, sf)},
-        say=lambda _: None,
-    ),
-    "SELECT series, period, value FROM spot_daily",
-    keep="series period",
+    both_branches,
+    """SELECT series, period, value, 'local' AS picked FROM spot_daily
+       UNION ALL SELECT series, period, value / 2, 'mart' FROM spot_daily""",
+    keep="series period picked",
     nums="value",
 )
 case(
@@ -326,7 +347,7 @@ def both_spines(spark: SparkSession, sf: str) -> DataFrame:
     """Gap-free quoted sheet under both end rules."""
     sheet = quoted(spark, sf)
     any_ = reindex_months(sheet, end_rule="any", shared=True).withColumn("rule", F.lit("any"))
-    shortest = reindex_months(sheet, start="1996-01-01", end_rule="shortest").withColumn("rule", F.lit("shortest"))
+    shortest = reindex_months(sheet, end_rule="shortest").withColumn("rule", F.lit("shortest"))
     return any_.unionByName(shortest)
 
 
@@ -338,8 +359,8 @@ case(
          FROM (SELECT DISTINCT series FROM quoted),
            (SELECT min(month) AS lo, max(month) FILTER (urea IS NOT NULL OR dap IS NOT NULL) AS hi FROM quoted)
          UNION ALL
-         SELECT 'shortest', series, CAST(unnest(generate_series(DATE '1996-01-01', hi, INTERVAL 1 MONTH)) AS DATE)
-         FROM (SELECT series, least(max(month) FILTER (urea IS NOT NULL), max(month) FILTER (dap IS NOT NULL)) AS hi
+         SELECT 'shortest', series, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE)
+         FROM (SELECT series, min(month) AS lo, least(max(month) FILTER (urea IS NOT NULL), max(month) FILTER (dap IS NOT NULL)) AS hi
                FROM quoted GROUP BY series)) k
        LEFT JOIN quoted q ON q.series = k.series AND q.month = k.month""",
     keep="rule series month",
@@ -366,7 +387,7 @@ def _local(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def one_sided(spark: SparkSession, sf: str) -> DataFrame:
-    live, local = _live(spark, sf), _local(spark, sf)
+    live, local = materialize(_live(spark, sf), "live"), materialize(_local(spark, sf), "local")
     a = quality.rows_only_in(live, local, [KEY, MONTH]).withColumn("side", F.lit("live"))
     return a.unionByName(quality.rows_only_in(local, live, [KEY, MONTH]).withColumn("side", F.lit("local")))
 
@@ -381,7 +402,7 @@ case("j05_one_sided_rows", one_sided, ONE_SIDED, keep="series month side", nums=
 
 def overlay(spark: SparkSession, sf: str) -> DataFrame:
     """Quoted urea as a backbone with holes, live gas prices over it."""
-    holes = quoted(spark, sf).where(F.col("urea").isNotNull() & (F.col(MONTH) <= "2000-06-01"))
+    holes = quoted(spark, sf).where(F.col("urea").isNotNull())
     return legacy.overlay_live(holes.select(KEY, MONTH, F.col("urea").alias("value")), _live(spark, sf))
 
 
@@ -389,11 +410,11 @@ case(
     "j06_overlay_live",
     overlay,
     """SELECT b.series, b.month, coalesce(l.value, b.value) AS value
-       FROM (SELECT series, month, urea AS value FROM quoted WHERE urea IS NOT NULL AND month <= DATE '2000-06-01') b
+       FROM (SELECT series, month, urea AS value FROM quoted WHERE urea IS NOT NULL) b
        LEFT JOIN live_ng l USING (series, month)
        UNION ALL
        SELECT l.series, l.month, l.value FROM live_ng l JOIN (SELECT series, max(month) AS m FROM quoted
-         WHERE urea IS NOT NULL AND month <= DATE '2000-06-01' GROUP BY 1) e ON e.series = l.series AND l.month > e.m""",
+         WHERE urea IS NOT NULL GROUP BY 1) e ON e.series = l.series AND l.month > e.m""",
     keep="series month",
     nums="value",
 )

@@ -374,7 +374,7 @@ case(
 c.cte("risks", "SELECT unnest(['Conservative', 'Balanced', 'Aggressive']) AS risk, unnest([0.75e0, 0.45e0, 0.15e0]) AS alpha")
 c.cte(
     "hedge_prices",
-    """SELECT series, horizon, current, avg(p) AS exp_price, quantile_cont(p, 0.1) AS p10_price, quantile_cont(p, 0.9) AS p90_price
+    """SELECT series, horizon, round(current, 1) AS current, avg(p) AS exp_price, quantile_cont(p, 0.1) AS p10_price, quantile_cont(p, 0.9) AS p90_price
       FROM (SELECT b.series, b.horizon, b.current, least(greatest(b.p50 + b.residual_std * d.z, 50e0), 2000e0) AS p
             FROM bands b JOIN draws d ON d.stream = 1) GROUP BY 1, 2, 3""",
 )

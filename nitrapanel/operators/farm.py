@@ -21,12 +21,10 @@ from nitrapanel.constants import (
 from nitrapanel.functions.clean import ratio
 from nitrapanel.functions.stats import chance_above
 from nitrapanel.operators.simulate import bands
-from nitrapanel.session import materialize
 
 CROP_KEY = ["user_id", "crop_key", "season", "year"]
-# A crop row with more additions than this, and than its share of all of them, is hot.
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 50_000
+# Pieces over which the additions of each crop row are dealt.
+SALTS = 32
 GAS_ALERT = 0.05
 BADGE_BREAK = 70
 
@@ -57,38 +55,27 @@ def crop_state(log: DataFrame) -> DataFrame:
     removes it. ``seq`` is a number; the result carries the one that created the row.
 
     One aggregation finds the last delete and set of each row, a second one sums the
-    additions after them. Rows with very many additions meet their facts by a
-    broadcast join and are merged map-side, so none of them is gathered in one task.
+    additions after them. The additions of every row are dealt over ``SALTS`` pieces and
+    its one fact row is repeated for each, so a row with a large share of the log meets
+    its facts in many tasks; the sums are merged map-side.
     """
     keyed = log.withColumn("crop_key", F.lower("crop_name"))
-    facts = _crop_facts(keyed)
-    adds = keyed.where(F.col("action") == "add")
-    hot = facts.where(_is_hot(facts)).drop("n_adds")
-    if hot.isEmpty():
-        return _fold_adds(adds.join(facts, CROP_KEY))
-    # At most MAX_HOT_KEYS rows by the choice of the limit.
-    few = F.broadcast(hot)
-    cold = facts.where(~_is_hot(facts)).drop("n_adds")
-    rest = adds.join(few.select(*CROP_KEY), CROP_KEY, "left_anti").join(cold, CROP_KEY)
-    return _fold_adds(adds.join(few, CROP_KEY).select(*rest.columns).unionByName(rest))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    adds = keyed.where(F.col("action") == "add").withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int"))
+    return _fold_adds(adds.join(_crop_facts(keyed).withColumn("salt", salt), [*CROP_KEY, "salt"]))
 
 
 def _crop_facts(keyed: DataFrame) -> DataFrame:
-    """Per crop row: last delete, last set with its acres, number of additions; stored."""
+    """Per crop row: last delete, last set with its acres."""
     seq, action = F.col("seq"), F.col("action")
     is_set = action == "set"
     facts = keyed.groupBy(*CROP_KEY).agg(
         F.max(F.when(action == "delete", seq)).alias("deleted"),
         F.max(F.when(is_set, seq)).alias("last_set"),
         F.max_by(F.when(is_set, F.col("acres")), F.when(is_set, seq)).alias("set_acres"),
-        F.count_if(action == "add").alias("n_adds"),
+        F.max(action == "add").alias("added_to"),
     )
-    return materialize(facts.where(F.col("n_adds") > 0), "crop_facts")
-
-
-def _is_hot(facts: DataFrame) -> Column:
-    total = facts.agg(F.sum("n_adds").alias("n")).scalar()
-    return F.col("n_adds") > F.greatest(F.lit(float(HOT_ROWS)), F.coalesce(total, F.lit(0)) / F.lit(float(MAX_HOT_KEYS)))
+    return facts.where("added_to").drop("added_to")
 
 
 def _fold_adds(adds: DataFrame) -> DataFrame:
@@ -204,14 +191,19 @@ def remaining_need(farms: DataFrame) -> DataFrame:
     )
 
 
+def published(price: str) -> Column:
+    """A price as it is published: one decimal."""
+    return F.round(price, 1).alias(price)
+
+
 def exposure_table(farms: DataFrame, price_bands: DataFrame) -> DataFrame:
-    """Cost per farm and horizon at the mean, low and high price, and at today's.
+    """Cost per farm and horizon at the published mean, low and high price, and at today's.
 
     ``price_bands`` has one row per series and horizon, far fewer rows than farms.
     """
     need = F.col("remaining_mt")
     return remaining_need(farms).join(
-        price_bands.select(KEY, "horizon", "current", "p10", "p50", "p90"), KEY
+        price_bands.select(KEY, "horizon", *map(published, ("current", "p10", "p50", "p90"))), KEY
     ).select(
         "farm_id",
         KEY,
@@ -245,7 +237,7 @@ def hedge_prices(price_bands: DataFrame, n: int = DRAWS, seed: int = SEED) -> Da
     return drawn.select(
         KEY,
         "horizon",
-        "current",
+        published("current"),
         F.col("mean").alias("exp_price"),
         F.col("p10").alias("p10_price"),
         F.col("p90").alias("p90_price"),
@@ -325,7 +317,7 @@ def hedge_split(farms: DataFrame, prices: DataFrame) -> DataFrame:
 
 def timing_choices(mc: DataFrame) -> DataFrame:
     """Three price scenarios per series: now, in 30 days, in 60 days."""
-    cur = F.col("current")
+    cur = published("current")
     none = F.lit(None).cast("double")
     options = F.array(
         F.struct(
@@ -346,7 +338,7 @@ def timing_choices(mc: DataFrame) -> DataFrame:
             F.col("prob_rising_t2").alias("prob_rising"),
         ),
     )
-    return mc.select(KEY, "current", F.explode(options).alias("o")).select(KEY, "current", "o.*")
+    return mc.select(KEY, cur, F.explode(options).alias("o")).select(KEY, "current", "o.*")
 
 
 def badge(days: Column, p50: Column, current: Column, delta_pct: Column, prob: Column) -> Column:

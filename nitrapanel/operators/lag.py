@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from nitrapanel.constants import KEY, MONTH
 from nitrapanel.functions.stats import correlation, strength
 from nitrapanel.functions.windows import by_series
+from nitrapanel.session import ship_package
 
 MAX_LAG = 12
 WINDOW, STEP = 36, 12
@@ -106,11 +108,11 @@ GRANGER_SCHEMA = "series string, lag int, f_stat double, p_value double, df_num
 def granger(panel: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
     """F-test per series and lag: do past gas prices help to predict urea?
 
-    Spark spreads the (series, lag) groups; one group is one monthly series, so its
-    size is bounded by the number of months.
+    Spark spreads the series; one group is one monthly series, so its size is bounded
+    by the number of months, and all its lags are tested where it is.
     """
-    pairs = aligned(panel).withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag))))
-    tested = pairs.groupBy(KEY, "lag").applyInPandas(_granger_group, GRANGER_SCHEMA)
+    ship_package(panel.sparkSession)
+    tested = aligned(panel).groupBy(KEY).applyInPandas(partial(_granger_group, max_lag=max_lag), GRANGER_SCHEMA)
     return tested.withColumn("verdict", verdict(F.col("p_value")))
 
 
@@ -118,12 +120,14 @@ def verdict(p: Column) -> Column:
     return F.when(p < 0.05, "YES").when(p < 0.10, "marginal").when(p.isNotNull(), "no")
 
 
-def _granger_group(pdf: pd.DataFrame) -> pd.DataFrame:
+def _granger_group(pdf: pd.DataFrame, max_lag: int) -> pd.DataFrame:
     pdf = pdf.sort_values(MONTH)
-    k = int(pdf["lag"].iloc[0])
-    f, p, denom = granger_f(pdf["urea"].to_numpy(float), pdf["ng_spot"].to_numpy(float), k)
-    row = {"series": pdf[KEY].iloc[0], "lag": k, "f_stat": f, "p_value": p, "df_num": k, "df_denom": denom}
-    return pd.DataFrame([row])
+    y, x = pdf["urea"].to_numpy(float), pdf["ng_spot"].to_numpy(float)
+    rows = []
+    for k in range(1, max_lag + 1):
+        f, p, denom = granger_f(y, x, k)
+        rows.append({"series": pdf[KEY].iloc[0], "lag": k, "f_stat": f, "p_value": p, "df_num": k, "df_denom": denom})
+    return pd.DataFrame(rows)
 
 
 def granger_f(y: np.ndarray, x: np.ndarray, k: int) -> tuple[float | None, float | None, int]:

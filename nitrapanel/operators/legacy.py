@@ -66,7 +66,7 @@ def ingest_legacy(
     weekly_bcf: DataFrame,
     storage_backbone: DataFrame,
     sheet_monthly: DataFrame,
-    start: str = "2018-01-01",
+    start: str | None = "2018-01-01",
     end: str | None = None,
     shared: bool = False,
 ) -> DataFrame:

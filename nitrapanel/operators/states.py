@@ -91,20 +91,3 @@ def ranking_table(exposure: DataFrame) -> DataFrame:
         F.format_string("%s$%.1fM", sign, F.abs("impact_m")).alias("impact"),
         "urea_mt",
     )
-
-
-def tooltip(exposure: DataFrame) -> DataFrame:
-    sign = F.when(F.col("price_chg_pct") >= 0, "▲").otherwise("▼")
-    text = F.concat(
-        F.format_string("<b>%s</b><br>Urea needed: ", "state"),
-        F.format_number(F.col("urea_mt") / 1000, 0),
-        F.format_string(
-            "K mt/yr<br>Current bill: $%.1fM<br>60-day forecast: $%.1fM<br>Impact: %s$%.1fM (%+.1f%%)",
-            F.col("current_cost_m"),
-            F.col("forecast_cost_m"),
-            sign,
-            F.abs("impact_m"),
-            F.col("price_chg_pct"),
-        ),
-    )
-    return exposure.withColumn("tooltip", text)

@@ -69,7 +69,9 @@ def refresh(
         return Feeds(*[read(table_path(raw, name)) for name in FEED_TABLES])
 
     def stage() -> None:
-        reindex_months(panel_from(feeds()), start, shared=True).write.mode("overwrite").parquet(path("panel"))
+        # Stored first: the reindexing reads the panel for its range, its keys and its rows.
+        panel_from(feeds()).write.mode("overwrite").parquet(path("panel_rows"))
+        reindex_months(read(path("panel_rows")), start, shared=True).write.mode("overwrite").parquet(path("panel"))
 
     def make_features() -> None:
         made = build_features(read(path("panel")), daily_features(feeds().daily))

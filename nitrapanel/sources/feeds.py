@@ -12,13 +12,15 @@ PAGE_SCHEMA = """response struct<data: array<struct<
     period: string, value: string, series: string, duoarea: string, process: string>>>"""
 
 
-def read_api_pages(spark: SparkSession, path: str, facets: dict[str, str] | None = None) -> DataFrame:
+def read_api_pages(
+    spark: SparkSession, path: str, facets: dict[str, str] | None = None, one_file_each: bool = True
+) -> DataFrame:
     """All rows of a directory of response pages, in (facets, period, value) form.
 
     ``facets`` keeps rows whose facet column has the given value; rows without a
-    readable value or period are dropped.
+    readable value or period are dropped. Pages are whole files, or lines of files.
     """
-    return parse_api_pages(spark.read.schema(PAGE_SCHEMA).json(path, multiLine=True), facets)
+    return parse_api_pages(spark.read.schema(PAGE_SCHEMA).json(path, multiLine=one_file_each), facets)
 
 
 def parse_api_pages(pages: DataFrame, facets: dict[str, str] | None = None) -> DataFrame:

@@ -27,25 +27,27 @@ def months(start: str, n: int) -> list[dt.date]:
     return [dt.date(y + (m - 1 + i) // 12, (m - 1 + i) % 12 + 1, 1) for i in range(n)]
 
 
-def walk(rng: np.random.Generator, level: float, step: float, scale: float, n: int) -> list[float]:
-    return [float(x) for x in level + rng.normal(0, step, n).cumsum() * scale]
+def swing(rng: np.random.Generator, level: float, volatility: float, yearly: float, n: int) -> np.ndarray:
+    """A price that drifts by percentages and has a yearly season."""
+    drift = np.cumsum(rng.standard_t(5, n) * volatility)
+    season = yearly * np.sin(2 * np.pi * (np.arange(n) + rng.integers(0, 12)) / 12)
+    return level * np.exp(drift + season)
 
 
-def panel_rows(series: str, n: int, seed: int, start: str = "2020-01") -> list[tuple]:
-    rng = np.random.default_rng(seed)
-    cols = [
-        walk(rng, 3.0, 0.4, 0.05, n),
-        walk(rng, 400.0, 20, 0.1, n),
-        walk(rng, 600.0, 15, 0.1, n),
-        walk(rng, 2500.0, 100, 0.2, n),
-    ]
-    return [(series, m, *vals) for m, *vals in zip(months(start, n), *cols)]
+def panel_rows(series: str, n: int, seed: int, start: str = "2019-07") -> list[tuple]:
+    """Gas, a urea price that follows gas two months later, DAP and storage."""
+    rng = np.random.default_rng([seed, 77])
+    gas = swing(rng, 4.6, 0.05, 0.12, n)
+    urea = swing(rng, 385.0, 0.02, 0.04, n) * (np.concatenate([gas[:1], gas[:1], gas])[:n] / gas.mean()) ** 0.4
+    dap = urea * 1.3 + rng.uniform(-30, 30, n)
+    storage = 3100.0 - 60.0 * (gas - gas.mean()) + 700.0 * np.cos(2 * np.pi * np.arange(n) / 12)
+    return [(series, m, *map(float, v)) for m, *v in zip(months(start, n), gas, urea, dap, storage)]
 
 
 @pytest.fixture(scope="session")
 def panel(spark):
-    """36 months of three series."""
-    rows = [r for i, s in enumerate(("a", "b", "c")) for r in panel_rows(s, 36, i)]
+    """Three series of unequal length."""
+    rows = [r for i, (s, n) in enumerate((("a", 38), ("b", 44), ("c", 31))) for r in panel_rows(s, n, i)]
     return spark.createDataFrame(rows, PANEL).cache()
 
 

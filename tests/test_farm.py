@@ -165,8 +165,6 @@ def test_fixed_state_table(spark):
     assert min(r["elevation"] for r in by_cost) >= 1000
     text = {r["state"]: r for r in rows_of(states.ranking_table(states.state_exposure(st, F.lit(440.0), F.lit(484.0))))}
     assert text["Iowa"]["corn"] == "12.9M ac" and text["Delaware"]["wheat"] == "100K ac" and text["Iowa"]["impact"].startswith("▲$")
-    tip = states.tooltip(states.state_exposure(st, F.lit(440.0), F.lit(400.0))).where("state = 'Iowa'").first().tooltip
-    assert tip.startswith("<b>Iowa</b><br>Urea needed: ") and "▼$" in tip
 
 
 def test_borrowers_follow_their_distributions(spark):
@@ -182,3 +180,10 @@ def test_stress_score(spark):
     got = rows_of(borrowers.stress_score(df, F.lit(0.0)))
     assert got[0]["stress_probability"] == 1.0 and got[0]["requires_intervention"] == 1
     assert got[1]["stress_probability"] == pytest.approx(0.1)
+
+
+def test_stress_of_an_unknown_crop_or_ratio_is_missing(spark):
+    rows = [("Quinoa", 0.5, 3), ("Wheat", None, 3), (None, 0.5, 3)]
+    df = spark.createDataFrame(rows, "crop_type string, current_ltv_ratio double, months_since_delinquency int")
+    got = rows_of(borrowers.stress_score(df, F.lit(0.0)))
+    assert [(r["stress_probability"], r["requires_intervention"]) for r in got] == [(None, None)] * 3

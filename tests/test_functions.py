@@ -44,24 +44,35 @@ def test_chance_above_is_a_step_without_spread(spark):
     assert [r.p for r in df.select(stats.chance_above(F.col("c"), F.col("m"), F.col("s")).alias("p")).collect()] == [1.0, 0.0, 0.0]
 
 
-@pytest.mark.parametrize("n", [1, 2, 7, 1000])
-@pytest.mark.parametrize("std", [0.0, 30.0, 900.0])
-def test_order_statistics_match_plain_arrays(spark, n, std):
-    z = np.sort(np.random.default_rng(n).normal(size=n))
-    prices = np.clip(500.0 + std * z, 100.0, 2000.0)
-    df = spark.createDataFrame([([float(v) for v in z], [float(v) for v in z.cumsum()])], "zs array<double>, run array<double>")
-
-    def shape(v):
-        return clean.clip(F.lit(500.0) + F.lit(std) * v, 100.0, 2000.0)
-
-    got = df.select(
-        *[stats.sorted_quantile(F.col("zs"), q, shape).alias(f"q{i}") for i, q in enumerate((0.1, 0.5, 0.9))],
-        stats.sorted_share_above(F.col("zs"), F.lit(520.0), shape).alias("share"),
-        stats.clipped_mean(F.col("zs"), F.col("run"), F.lit(500.0), F.lit(std), 100.0, 2000.0).alias("mean"),
-    ).first()
-    assert [got.q0, got.q1, got.q2] == pytest.approx(list(np.percentile(prices, [10, 50, 90])))
-    assert got.share == pytest.approx((prices > 520.0).mean())
-    assert got.mean == pytest.approx(prices.mean())
+@pytest.mark.parametrize("n", [1, 2, 7, 1000, 3_000_000])
+def test_count_above_by_bisection(spark, n):
+    df = spark.range(1).select(F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint")).alias("v"))
+    for level in {0, 1, n // 2, n - 1, n}:
+        got = df.select(stats.sorted_count_above(F.col("v"), lambda x, level=level: x > level).alias("c")).first().c
+        assert got == n - level
+
+
+def test_clip_keeps_missing_values(spark):
+    df = spark.createDataFrame([(None,), (5.0,), (50.0,), (5000.0,)], "x double")
+    assert [r.c for r in df.select(clean.clip(F.col("x"), 10, 100).alias("c")).collect()] == [None, 10.0, 50.0, 100.0]
+
+
+def test_draws_do_not_repeat_in_other_streams_or_far_away(spark):
+    n = F.col("id")
+    near = spark.range(4000).select(
+        draws.uniform(n, 7).alias("a"),
+        draws.uniform(n + 1_000_003, 7).alias("far"),
+        draws.uniform(n, 8).alias("next"),
+        draws.uniform(n + (1 << 31), 7).alias("high"),
+        draws.uniform(n + (1 << 31) - 1, 7).alias("period"),
+        draws.uniform(n + (1 << 45), 7).alias("higher"),
+    ).toPandas()
+    for c in near.columns[1:]:
+        assert (near.a == near[c]).mean() < 0.001 and abs(np.corrcoef(near.a, near[c])[0, 1]) < 0.06, c
+    assert near.to_numpy().min() > 0 and near.to_numpy().max() < 1
+    # No stream is a shifted copy of another one.
+    values = {c: set(near[c]) for c in near.columns}
+    assert all(len(values["a"] & values[c]) < 10 for c in near.columns[1:])
 
 
 def test_histogram_keeps_the_maximum_in_the_last_bin(spark):
