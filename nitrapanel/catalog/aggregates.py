@@ -102,15 +102,14 @@ def _by_horizon(df: DataFrame, **aggs) -> DataFrame:
     return df.groupBy(KEY, "horizon").agg(*[v.alias(k) for k, v in aggs.items()])
 
 
-Y, P = F.col("target"), F.col("pred")
 case(
     "a10_error_metrics",
     lambda s, sf: _by_horizon(
         c.holdout(s, sf),
-        rmse=rmse(Y, P),
-        mae=mae(Y, P),
-        residual_mean=F.avg(Y - P),
-        residual_std=F.stddev_pop(Y - P),
+        rmse=rmse(F.col("target"), F.col("pred")),
+        mae=mae(F.col("target"), F.col("pred")),
+        residual_mean=F.avg(F.col("target") - F.col("pred")),
+        residual_std=F.stddev_pop(F.col("target") - F.col("pred")),
     ),
     "SELECT * FROM holdout_metrics WHERE bucket = 'full'",
     keep="series",
@@ -120,7 +119,9 @@ case(
 )
 case(
     "a11_direction_accuracy",
-    lambda s, sf: _by_horizon(c.holdout(s, sf), dir_acc=direction_accuracy(Y, P, F.col("urea"))),
+    lambda s, sf: _by_horizon(
+        c.holdout(s, sf), dir_acc=direction_accuracy(F.col("target"), F.col("pred"), F.col("urea"))
+    ),
     "SELECT * FROM holdout_metrics WHERE bucket = 'full'",
     keep="series",
     ints="horizon",
@@ -154,8 +155,8 @@ def per_seed_metrics(spark: SparkSession, sf: str) -> DataFrame:
     noisy = (
         c.holdout(spark, sf)
         .withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))))
-        .withColumn("pred", P + jitter)
-        .withColumn("label_pred", direction(P, F.col("urea")))
+        .withColumn("pred", F.col("pred") + jitter)
+        .withColumn("label_pred", direction(F.col("pred"), F.col("urea")))
     )
     return evaluate(noisy, t.SHOCK_START, keys=[KEY, "seed"]).where("bucket = 'preshock'")
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import partial, reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nitrapanel.catalog import common as c
-from nitrapanel.catalog.aggregates import PRICE, check_results, crops
+from nitrapanel.catalog.aggregates import GRANGER_ONE, PRICE, check_results, crops
 from nitrapanel.catalog.base import case, cte
 from nitrapanel.catalog.sources_and_rows import N_LBS
 from nitrapanel.catalog.windows_and_scalars import ERF, TEXTS, exposure
-from nitrapanel.constants import FEATURE_COLS, KEY, MEASURES, MONTH, TARGET_COLS
+from nitrapanel.constants import FEATURE_COLS, HORIZONS, KEY, MEASURES, MONTH, TARGET_COLS
 from nitrapanel.models import boosted
 from nitrapanel.models.baseline import last_value, latest_forecast
 from nitrapanel.models.metrics import evaluate
@@ -26,8 +28,8 @@ from nitrapanel.plans.forecast import bundle_from, panel_from, spine_panel
 from nitrapanel.session import materialize, scratch_path
 from nitrapanel.sources import tables as t
 
-# Smoke setting of the boosted trees in registered queries; the library default is 100.
-TREE_ITERATIONS = 5
+# The sweep over seeds is registered with few and small models: see the README.
+SWEEP_SEEDS, SWEEP_ITERATIONS = 2, 5
 
 case(
     "k01_stage_priority",
@@ -111,38 +113,75 @@ def stored_rows(spark: SparkSession, sf: str) -> DataFrame:
     return boosted.training_rows(c.stored_features(spark, sf), t.HOLDOUT_START)
 
 
+def near(pred: Column, low: Column, high: Column) -> Column:
+    """Whether a prediction lies in the range of the training targets, a quarter of it beyond at most."""
+    margin = (high - low) / 4
+    return pred.between(low - margin, high + margin)
+
+
+def target_range(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("horizon").agg(F.min("target").alias("low"), F.max("target").alias("high"))
+
+
 def regressor(spark: SparkSession, sf: str) -> DataFrame:
-    rows = stored_rows(spark, sf).where("horizon = 3")
-    train = boosted.assembled(rows.where("role = 'train'"))
-    model = boosted.fit_regressor(train, TREE_ITERATIONS).setPredictionCol("pred")
-    return model.transform(boosted.assembled(rows.where("role = 'test'"))).select(KEY, MONTH, "target", "pred")
+    """Holdout predictions of all horizons, each by the model of its own training rows."""
+    rows = stored_rows(spark, sf)
+
+    def one(h: int) -> DataFrame:
+        mine = boosted.assembled(rows.where(F.col("horizon") == h))
+        model = boosted.fit_regressor(mine.where("role = 'train'")).setPredictionCol("pred")
+        return model.transform(mine.where("role = 'test'")).select(KEY, MONTH, "horizon", "target", "pred")
+
+    made = quality.union_all(boosted.side_by_side(spark, [partial(one, h) for h in HORIZONS]))
+    ranged = made.join(target_range(rows.where("role = 'train'")), "horizon")
+    return ranged.withColumn("plausible", near(F.col("pred"), F.col("low"), F.col("high")))
 
 
 def classifier(spark: SparkSession, sf: str) -> DataFrame:
-    rows = stored_rows(spark, sf).where("horizon = 3")
-    train = boosted.assembled(rows.where("role = 'train'"))
-    model = boosted.fit_classifier(train, TREE_ITERATIONS)
-    scored = model.transform(boosted.assembled(rows.where("role = 'test'")))
-    return scored.select(KEY, MONTH, "label", boosted.vector_to_array("probability")[1].alias("prob_up"))
+    rows = stored_rows(spark, sf)
 
+    def one(h: int) -> DataFrame:
+        mine = boosted.assembled(rows.where(F.col("horizon") == h))
+        model = boosted.fit_classifier(mine.where("role = 'train'"))
+        scored = model.transform(mine.where("role = 'test'"))
+        return scored.select(KEY, MONTH, "horizon", "label", boosted.vector_to_array("probability")[1].alias("prob_up"))
 
-case("k08_train_regressor", regressor)
-case("k09_train_classifier", classifier)
+    made = quality.union_all(boosted.side_by_side(spark, [partial(one, h) for h in HORIZONS]))
+    return made.withColumn("is_probability", F.col("prob_up").between(0, 1))
+
+
+HOLDOUT_ROWS = "SELECT *, TRUE AS plausible, TRUE AS is_probability FROM split WHERE role = 'test'"
+case(
+    "k08_train_regressor",
+    regressor,
+    HOLDOUT_ROWS,
+    keep="series month plausible",
+    ints="horizon",
+    nums="target",
+    digits=5,
+)
+case("k09_train_classifier", classifier, HOLDOUT_ROWS, keep="series month is_probability", ints="horizon label")
+FOLD_ROWS = """SELECT *, CASE WHEN pos < n - (5 - fold) * (n // 6) - 1 THEN 'train'
+    WHEN pos >= n - (5 - fold) * (n // 6) AND pos < n - (4 - fold) * (n // 6) THEN 'valid' END AS fold_role
+  FROM split JOIN (SELECT horizon, month, row_number() OVER (PARTITION BY horizon ORDER BY month) - 1 AS pos,
+      count(*) OVER (PARTITION BY horizon) AS n FROM (SELECT DISTINCT horizon, month FROM split WHERE role = 'train')) USING (horizon, month)
+  CROSS JOIN (SELECT unnest(range(5)) AS fold) WHERE role = 'train'"""
 case(
     "k10_cross_validate",
-    lambda s, sf: boosted.cv_residuals(boosted.cross_validate(stored_rows(s, sf), (1,), TREE_ITERATIONS)),
+    lambda s, sf: boosted.cv_residuals(boosted.cross_validate(stored_rows(s, sf))).withColumn(
+        "spread", F.col("cv_residual_std") > 0
+    ),
+    f"SELECT series, horizon, count(*) AS n, TRUE AS spread FROM ({FOLD_ROWS}) WHERE fold_role = 'valid' GROUP BY 1, 2",
+    keep="series spread",
+    ints="horizon n",
 )
 case(
     "k10_fold_sizes",
-    lambda s, sf: walk_forward(c.split(s, sf).where("role = 'train'"), [KEY, "horizon"])
+    lambda s, sf: walk_forward(c.split(s, sf).where("role = 'train'"), ["horizon"])
     .groupBy(KEY, "horizon", "fold", "fold_role")
     .agg(F.count("*").alias("n"), F.min(MONTH).alias("first_month"), F.max(MONTH).alias("last_month")),
-    """SELECT series, horizon, fold, fold_role, count(*) AS n, min(month) AS first_month, max(month) AS last_month FROM (
-       SELECT *, CASE WHEN pos < n - (5 - fold) * (n // 6) - 1 THEN 'train'
-           WHEN pos >= n - (5 - fold) * (n // 6) AND pos < n - (4 - fold) * (n // 6) THEN 'valid' END AS fold_role
-       FROM (SELECT series, horizon, month, row_number() OVER (PARTITION BY series, horizon ORDER BY month) - 1 AS pos,
-               count(*) OVER (PARTITION BY series, horizon) AS n FROM split WHERE role = 'train')
-       CROSS JOIN (SELECT unnest(range(5)) AS fold)) WHERE fold_role IS NOT NULL GROUP BY 1, 2, 3, 4""",
+    f"""SELECT series, horizon, fold, fold_role, count(*) AS n, min(month) AS first_month, max(month) AS last_month
+        FROM ({FOLD_ROWS}) WHERE fold_role IS NOT NULL GROUP BY 1, 2, 3, 4""",
     keep="series fold_role first_month last_month",
     ints="horizon fold n",
 )
@@ -157,24 +196,61 @@ case(
 )
 
 
-def refit_predictions(spark: SparkSession, sf: str) -> DataFrame:
+def refit_models(spark: SparkSession, sf: str) -> tuple[boosted.Models, DataFrame, DataFrame]:
+    """Models of all trainable rows, the rows, and the as-of row of each series."""
     f = c.stored_features(spark, sf)
-    models = boosted.refit(boosted.training_rows(f, t.HOLDOUT_START), TREE_ITERATIONS)
-    return boosted.predict(models, latest_complete(f))
+    rows = boosted.training_rows(f, t.HOLDOUT_START)
+    return boosted.refit(rows), rows, latest_complete(f)
 
 
-case("k12_refit_all", refit_predictions)
+def refit_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    models, rows, now = refit_models(spark, sf)
+    probable = [F.col(f"prob_up_t{h}").between(0, 1) for h in HORIZONS]
+    span = rows.agg(F.min("target").alias("low"), F.max("target").alias("high")).first()
+    close = [near(F.col(f"t{h}"), F.lit(span["low"]), F.lit(span["high"])) for h in HORIZONS]
+    return boosted.predict(models, now).withColumns(
+        {"plausible": reduce(Column.__and__, close), "is_probability": reduce(Column.__and__, probable)}
+    )
 
 
 def saved_models(spark: SparkSession, sf: str) -> DataFrame:
-    f = c.stored_features(spark, sf)
+    """Predictions of the fitted models and of the same models saved and loaded."""
+    models, _, now = refit_models(spark, sf)
     root = scratch_path(spark, "models")
-    boosted.save(boosted.refit(boosted.training_rows(f, t.HOLDOUT_START), TREE_ITERATIONS), root)
-    return boosted.predict(boosted.load(spark, root), latest_complete(f))
+    boosted.save(models, root)
+    made = [f"{x}_t{h}" if x else f"t{h}" for h in HORIZONS for x in ("", "prob_up")]
+    fitted, loaded = (boosted.predict(m, now).select(KEY, MONTH, *made) for m in (models, boosted.load(spark, root)))
+    pairs = fitted.join(loaded.withColumnsRenamed({x: f"{x}_again" for x in made}), [KEY, MONTH])
+    return pairs.withColumn("saved_equal", reduce(Column.__and__, [F.col(x) == F.col(f"{x}_again") for x in made]))
+
 
+def long_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    models, rows, now = refit_models(spark, sf)
+    made = boosted.forecast_long(boosted.predict(models, now)).join(target_range(rows), "horizon")
+    return made.withColumn("plausible", near(F.col("pred"), F.col("low"), F.col("high")))
 
-case("k13_saved_models", saved_models)
-case("k14_predict", lambda s, sf: boosted.forecast_long(refit_predictions(s, sf)))
+
+case(
+    "k12_refit_all",
+    refit_predictions,
+    "SELECT series, month, urea AS current, TRUE AS plausible, TRUE AS is_probability FROM latest",
+    keep="series month plausible is_probability",
+    nums="current",
+)
+case(
+    "k13_saved_models",
+    saved_models,
+    "SELECT series, month, TRUE AS saved_equal FROM latest",
+    keep="series month saved_equal",
+)
+case(
+    "k14_predict",
+    long_predictions,
+    "SELECT *, TRUE AS plausible FROM forecast",
+    keep="series month target_month plausible",
+    ints="horizon",
+    nums="current ng_spot",
+)
 case(
     "k15_baseline_line",
     lambda s, sf: latest_forecast(c.stored_features(s, sf)),
@@ -287,6 +363,52 @@ case(
 )
 
 
+def history_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Both history views, one row per label."""
+    b = bundle(spark, sf)
+    views = [bun.history_view(b, x).withColumn("commodity", F.lit(x)) for x in ("urea", "natgas")]
+    rows = quality.union_all(views).select(KEY, "commodity", F.explode(F.arrays_zip("labels", "values")).alias("h"))
+    return rows.select(KEY, "commodity", F.col("h.labels").alias("label"), F.col("h.values").alias("value"))
+
+
+case(
+    "k19_history_view",
+    history_view,
+    f"""WITH h AS (SELECT series, strftime(month, '%b %Y') AS label, urea, ng_spot FROM spine
+          WHERE urea IS NOT NULL AND ng_spot IS NOT NULL AND month >= DATE '{t.HISTORY_START}')
+        SELECT series, 'urea' AS commodity, label, round(urea, 2) AS value FROM h
+        UNION ALL SELECT series, 'natgas', label, round(ng_spot, 3) FROM h""",
+    keep="series commodity label",
+    nums="value",
+)
+case(
+    "k19_summary_view",
+    lambda s, sf: bun.summary_view(bundle(s, sf)).select(
+        KEY, "schema_version", "generated_at", "as_of_date", "signal.signal", "signal.urgency", "signal.best_month",
+        F.element_at("forecast.mean", 1).alias("mean_t1"), F.element_at("forecast.low", 3).alias("low_t3"),
+        F.element_at("forecast.high", 3).alias("high_t3"),
+    ),
+    """SELECT series, 1 AS schema_version, '2002-01-01T00:00:00Z' AS generated_at, strftime(month, '%Y-%m') AS as_of_date,
+         signal, urgency, best_month, round(p50_t1, 1) AS mean_t1, round(p10_t3, 1) AS low_t3, round(p90_t3, 1) AS high_t3
+       FROM signals""",
+    keep="series generated_at as_of_date signal urgency best_month",
+    ints="schema_version",
+    nums="mean_t1 low_t3 high_t3",
+    digits=4,
+)
+case(
+    "k19_monte_carlo_view",
+    lambda s, sf: bun.monte_carlo_view(bundle(s, sf)).select(
+        KEY, "monte_carlo.*", F.size("sim_t2_distribution").alias("n_sample")
+    ),
+    "SELECT *, 1000 AS n_sample FROM mc",
+    keep="series",
+    ints="n_simulations n_sample",
+    nums=" ".join(bun.STATS),
+    digits=5,
+)
+
+
 def bundle_file(spark: SparkSession, sf: str) -> DataFrame:
     """The bundle written as JSON documents and read back."""
     path = scratch_path(spark, "bundle")
@@ -415,7 +537,56 @@ case(
     ints="peak_lag",
     nums="peak_r",
 )
-case("k25_granger", lambda s, sf: lag.granger(c.spine(s, sf)))
+
+
+def orthogonal(source: str, pivot: str, others: list[str]) -> str:
+    """``source`` with the part along ``pivot`` taken out of the other columns, series by series."""
+    cleared = ", ".join(
+        f"{x} - coalesce(sum({x} * {pivot}) OVER k / nullif(sum({pivot} * {pivot}) OVER k, 0), 0) * {pivot} AS {x}" for x in others
+    )
+    return f"SELECT series, n, {pivot}, {cleared} FROM ({source}) WINDOW k AS (PARTITION BY series)"
+
+
+def granger_two() -> str:
+    """F of two lags: the residuals of urea after its own lags, and after those of gas as well."""
+    names = ["y", "y1", "y2", "x1", "x2"]
+    centred = ", ".join(f"{x} - avg({x}) OVER k AS {x}" for x in names)
+    step = f"""SELECT series, count(*) OVER k AS n, {centred} FROM (
+      SELECT a.series, a.urea AS y, b.urea AS y1, d.urea AS y2, b.ng_spot AS x1, d.ng_spot AS x2 FROM pairs a
+      JOIN pairs b ON b.series = a.series AND b.pos = a.pos - 1 JOIN pairs d ON d.series = a.series AND d.pos = a.pos - 2)
+      WINDOW k AS (PARTITION BY series)"""
+    step = orthogonal(step, "y1", ["y", "y2", "x1", "x2"])
+    step = orthogonal(step, "y2", ["y", "x1", "x2"])
+    own = f"SELECT *, y AS r FROM ({step})"
+    full = orthogonal(f"SELECT series, n, x1, y, x2, r FROM ({own})", "x1", ["y", "x2", "r"]).replace(
+        "r - coalesce(sum(r * x1) OVER k / nullif(sum(x1 * x1) OVER k, 0), 0) * x1 AS r", "r"
+    )
+    full = f"SELECT series, n, r, y - coalesce(sum(y * x2) OVER k / nullif(sum(x2 * x2) OVER k, 0), 0) * x2 AS u FROM ({full}) WINDOW k AS (PARTITION BY series)"
+    return f"""SELECT series, 2 AS lag, (sum(r * r) - sum(u * u)) / 2 / (sum(u * u) / (any_value(n) - 5)) AS f_stat,
+      any_value(n) - 5 AS df_denom FROM ({full}) GROUP BY 1"""
+
+
+def granger_p(spark: SparkSession, sf: str) -> DataFrame:
+    """All lags with their degrees of freedom; F of the first two and p of the second, which SQL can follow."""
+    rows = lag.granger(c.spine(spark, sf))
+    known = F.when(F.col("lag") <= 2, F.col("f_stat"))
+    p = F.when(F.col("lag") == 2, F.col("p_value"))
+    sound = F.col("p_value").between(0, 1) & (F.col("f_stat") >= 0)
+    return rows.withColumns({"f_low": known, "p_two": p, "sound": sound})
+
+
+case(
+    "k25_granger",
+    granger_p,
+    f"""SELECT g.series, g.lag, g.n - g.lag - 2 * g.lag - 1 AS df_denom, f.f_stat AS f_low, TRUE AS sound,
+        CASE WHEN g.lag = 2 THEN pow(1 + 2 * f.f_stat / f.df_denom, -f.df_denom / 2e0) END AS p_two
+        FROM (SELECT series, lag, max(n) AS n FROM pairs CROSS JOIN (SELECT unnest(range(1, 13)) AS lag) GROUP BY 1, 2) g
+        LEFT JOIN (({GRANGER_ONE}) UNION ALL ({granger_two()})) f ON f.series = g.series AND f.lag = g.lag""",
+    keep="series sound",
+    ints="lag df_denom",
+    nums="f_low p_two",
+    digits=5,
+)
 case(
     "k26_block_summary",
     lambda s, sf: lag.window_summary(lag.rolling_corr(c.spine(s, sf))),
@@ -426,7 +597,9 @@ case(
 )
 case(
     "k27_seed_sweep",
-    lambda s, sf: boosted.seed_sweep(c.stored_features(s, sf), 2, t.HOLDOUT_START, t.SHOCK_START, TREE_ITERATIONS),
+    lambda s, sf: boosted.seed_sweep(c.stored_features(s, sf), SWEEP_SEEDS, t.HOLDOUT_START, t.SHOCK_START, SWEEP_ITERATIONS),
+    f"SELECT DISTINCT horizon, {SWEEP_SEEDS} AS n_seeds FROM holdout_metrics WHERE bucket = 'preshock'",
+    ints="horizon n_seeds",
 )
 
 # Farms -----------------------------------------------------------------------------

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nitrapanel.catalog import common as c
@@ -30,37 +32,61 @@ from nitrapanel.operators.signal import generate_signal
 from nitrapanel.operators.simulate import bands, monte_carlo
 from nitrapanel.sources import tables as t
 
-NG, UREA, STORAGE = F.col("ng_spot"), F.col("urea"), F.col("storage_mmcf")
-W = win.by_series()
-
 
-def over_spine(name: str, made: dict, digits: int = 6) -> None:
+def over_spine(name: str, keys: list[str], made: Callable[[], list[Column]], digits: int = 6) -> None:
     """A query of window expressions over the spine, checked against the feature SQL."""
-    sql = ", ".join(f"{c.FEATURE_SQL[k]} AS {k}" for k in made)
+    sql = ", ".join(f"{c.FEATURE_SQL[k]} AS {k}" for k in keys)
     case(
         name,
-        lambda s, sf: c.spine(s, sf).select(KEY, MONTH, *[v.alias(k) for k, v in made.items()]),
+        lambda s, sf: c.spine(s, sf).select(KEY, MONTH, *[v.alias(k) for k, v in zip(keys, made(), strict=True)]),
         f"SELECT series, month, {sql} FROM spine {c.WINDOWS}",
         keep="series month",
-        nums=" ".join(made),
+        nums=" ".join(keys),
         digits=digits,
     )
 
 
-over_spine("w01_lag", {f"ng_lag{k}": F.lag(NG, k).over(W) for k in (1, 2, 3, 4, 5, 6, 9, 12)})
-over_spine("w02_lead_targets", {f"target_urea_t{h}": F.lead(UREA, h).over(W) for h in HORIZONS})
-over_spine("w03_rolling_mean", {f"ng_rolling_mean_{n}m": win.rolling_mean(NG, W, n) for n in (3, 6, 12)})
-over_spine("w04_rolling_std", {f"ng_rolling_std_{n}m": win.rolling_std(NG, W, n) for n in (3, 6, 12)})
+def ng() -> Column:
+    return F.col("ng_spot")
+
+
+def urea() -> Column:
+    return F.col("urea")
+
+
+LAGS, SPANS = (1, 2, 3, 4, 5, 6, 9, 12), (3, 6, 12)
+over_spine("w01_lag", [f"ng_lag{k}" for k in LAGS], lambda: [F.lag(ng(), k).over(win.by_series()) for k in LAGS])
+over_spine(
+    "w02_lead_targets",
+    [f"target_urea_t{h}" for h in HORIZONS],
+    lambda: [F.lead(urea(), h).over(win.by_series()) for h in HORIZONS],
+)
+over_spine(
+    "w03_rolling_mean",
+    [f"ng_rolling_mean_{n}m" for n in SPANS],
+    lambda: [win.rolling_mean(ng(), win.by_series(), n) for n in SPANS],
+)
+over_spine(
+    "w04_rolling_std",
+    [f"ng_rolling_std_{n}m" for n in SPANS],
+    lambda: [win.rolling_std(ng(), win.by_series(), n) for n in SPANS],
+)
 over_spine(
     "w05_rolling_extremes",
-    {
-        "urea_vs_12m_high": clean.ratio(UREA, win.rolling_max(UREA, W, 12)),
-        "urea_vs_12m_low": clean.ratio(UREA, win.rolling_min(UREA, W, 12)),
-    },
-)
-over_spine("w06_change", {**{f"ng_mom_{k}m": win.change(NG, W, k) for k in (1, 3, 6)}, "urea_mom_3m": win.change(UREA, W, 3)})
-over_spine("w07_rolling_zscore", {f"urea_zscore_{n}m": win.rolling_zscore(UREA, W, n) for n in (12, 24)})
-over_spine("w08_expanding_zscore", {"storage_zscore": win.expanding_zscore(STORAGE, W)})
+    ["urea_vs_12m_high", "urea_vs_12m_low"],
+    lambda: [clean.ratio(urea(), f(urea(), win.by_series(), 12)) for f in (win.rolling_max, win.rolling_min)],
+)
+over_spine(
+    "w06_change",
+    [*(f"ng_mom_{k}m" for k in (1, 3, 6)), "urea_mom_3m"],
+    lambda: [*(win.change(ng(), win.by_series(), k) for k in (1, 3, 6)), win.change(urea(), win.by_series(), 3)],
+)
+over_spine(
+    "w07_rolling_zscore",
+    [f"urea_zscore_{n}m" for n in (12, 24)],
+    lambda: [win.rolling_zscore(urea(), win.by_series(), n) for n in (12, 24)],
+)
+over_spine("w08_expanding_zscore", ["storage_zscore"], lambda: [win.expanding_zscore(F.col("storage_mmcf"), win.by_series())])
 case(
     "w09_daily_averages",
     lambda s, sf: daily_averages(t.order_days(s, sf)),
@@ -177,7 +203,11 @@ case(
     keep="label iso ahead behind parsed",
     ints="o_orderkey",
 )
-over_spine("x02_quarter_dummies", {f"season_q{q}": (F.quarter(MONTH) == q).cast("int") for q in (1, 2, 3, 4)})
+over_spine(
+    "x02_quarter_dummies",
+    [f"season_q{q}" for q in (1, 2, 3, 4)],
+    lambda: [(F.quarter(MONTH) == q).cast("int") for q in (1, 2, 3, 4)],
+)
 case(
     "x03_clip",
     lambda s, sf: t.table(s, sf, "customer").select(
@@ -188,16 +218,15 @@ case(
     ints="c_custkey",
     nums="clipped",
 )
-BAL = F.col("c_acctbal")
 case(
     "x04_sign_and_round",
     lambda s, sf: t.table(s, sf, "customer").select(
         "c_custkey",
-        F.signum(BAL).alias("sign"),
-        F.abs(BAL).alias("size"),
-        F.sqrt(F.abs(BAL)).alias("root"),
-        F.pow(BAL / 1013, F.lit(2.0)).alias("square"),
-        *[F.round(BAL / 1013, d).alias(f"r{d}") for d in (0, 1, 2, 3, 4)],
+        F.signum(F.col("c_acctbal")).alias("sign"),
+        F.abs(F.col("c_acctbal")).alias("size"),
+        F.sqrt(F.abs(F.col("c_acctbal"))).alias("root"),
+        F.pow(F.col("c_acctbal") / 1013, F.lit(2.0)).alias("square"),
+        *[F.round(F.col("c_acctbal") / 1013, d).alias(f"r{d}") for d in (0, 1, 2, 3, 4)],
     ),
     """SELECT c_custkey, sign(c_acctbal) AS sign, abs(c_acctbal) AS size, sqrt(abs(c_acctbal)) AS root,
        pow(c_acctbal / 1013, 2) AS square, """

@@ -32,6 +32,8 @@ ITERATIONS = 100
 # Tree settings.
 TREES = {"maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
 MIN_ROWS_PER_LEAF = 2
+# Lets one model tell the pooled series apart.
+SERIES_CODE, SERIES_CODES = "series_code", 10_007
 
 
 # Recency weights over the training rows, and over all rows for the final refit.
@@ -61,7 +63,12 @@ class Trained(NamedTuple):
 
 
 def assembled(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=FEATURE_COLS, outputCol="features").transform(rows)
+    """Rows with their feature vector: the contract's features and a code of the series.
+
+    The code follows from the series alone, so it needs no table of known series.
+    """
+    coded = rows.withColumn(SERIES_CODE, F.pmod(F.crc32(F.col(KEY)), F.lit(SERIES_CODES)).cast("double"))
+    return VectorAssembler(inputCols=[*FEATURE_COLS, SERIES_CODE], outputCol="features").transform(coded)
 
 
 def fit_regressor(
@@ -107,14 +114,18 @@ def scored(regressor: GBTRegressionModel, classifier: GBTClassificationModel, ro
 
 
 def holdout_scores(rows: DataFrame, seeds: list[int], iterations: int = ITERATIONS) -> DataFrame:
-    """Per horizon and seed, both models fitted on the training rows and scored on the holdout."""
+    """Per horizon and seed, both models fitted on the training rows and scored on the holdout.
+
+    The scores of each pair are written when it is ready, so the union of many seeds is
+    a union of small stored tables.
+    """
 
     def one(horizon: int, seed: int) -> DataFrame:
         mine = rows.where(F.col("horizon") == horizon)
         train = assembled(mine.where(F.col("role") == "train"))
         test = assembled(mine.where(F.col("role") == "test"))
         models = fit_regressor(train, iterations, seed), fit_classifier(train, iterations, seed)
-        return scored(*models, test).withColumn("seed", F.lit(seed))
+        return materialize(scored(*models, test).withColumn("seed", F.lit(seed)), "scores")
 
     jobs = [partial(one, h, seed) for seed in seeds for h in HORIZONS]
     return union_all(side_by_side(rows.sparkSession, jobs))
@@ -125,7 +136,7 @@ def cross_validate(
 ) -> DataFrame:
     """Validation predictions of the walk-forward folds inside the training rows."""
     pool = rows.where(F.col("horizon").isin(*horizons) & (F.col("role") == "train"))
-    folds = materialize(walk_forward(pool, [KEY, "horizon"]), "folds")
+    folds = materialize(walk_forward(pool, ["horizon"]), "folds")
 
     def one(horizon: int, fold: int) -> DataFrame:
         mine = assembled(folds.where((F.col("horizon") == horizon) & (F.col("fold") == fold)))

@@ -67,13 +67,17 @@ def recency_weight(rows: DataFrame, keys: list[str], within: Column | None = Non
 def walk_forward(rows: DataFrame, keys: list[str], n_splits: int = FOLDS, gap: int = GAP) -> DataFrame:
     """Rows repeated per fold with role train or valid.
 
-    Validation blocks are the last ``n_splits`` blocks of n // (n_splits + 1) rows;
-    training is everything more than ``gap`` rows before the block.
+    Validation blocks are the last ``n_splits`` blocks of n // (n_splits + 1) months;
+    training is everything more than ``gap`` months before the block. Months are those
+    of all rows of a key together, so with a key that pools several series no training
+    row of one series lies after a validation row of another.
     """
     k = Window.partitionBy(*keys)
-    numbered = rows.withColumn("pos", F.row_number().over(k.orderBy(MONTH)) - 1).withColumn(
-        "n", F.count("*").over(k)
+    months = rows.select(*keys, MONTH).distinct()
+    months = months.select(
+        *keys, MONTH, (F.row_number().over(k.orderBy(MONTH)) - 1).alias("pos"), F.count("*").over(k).alias("n")
     )
+    numbered = rows.join(months, [*keys, MONTH])
     block = F.floor(F.col("n") / (n_splits + 1))
     start = F.col("n") - (n_splits - F.col("fold")) * block
     role = F.when(F.col("pos") < start - gap, "train").when(

@@ -93,8 +93,8 @@ def test_daily_features_match_pandas(spark):
 
 def test_latest_complete_row(features):
     got = rows_of(latest_complete(features).select("series", "month"), "series")
-    assert [r["month"] for r in got] == [dt.date(2022, 12, 1)] * 3
-    assert complete_rows(features, True).agg(F.max("month")).first()[0] == dt.date(2022, 9, 1)
+    assert [r["month"] for r in got] == [dt.date(2022, 8, 1), dt.date(2023, 2, 1), dt.date(2022, 1, 1)]
+    assert complete_rows(features, True).agg(F.max("month")).first()[0] == dt.date(2022, 11, 1)
     assert set(TARGET_COLS) <= set(features.columns)
 
 

@@ -47,6 +47,17 @@ def test_folds_match_the_expanding_split(spark, n):
         assert sorted(mine[mine.fold_role == "valid"].pos) == list(range(start, start + size))
 
 
+def test_pooled_folds_are_cut_by_calendar(spark):
+    """A young series never puts rows behind another one's validation months."""
+    old, young = months("2000-01", 60), months("2003-06", 19)
+    df = spark.createDataFrame([("o", 1, m) for m in old] + [("y", 1, m) for m in young], "series string, horizon int, month date")
+    got = splits.walk_forward(df, ["horizon"]).toPandas()
+    assert set(got.series) == {"o", "y"}
+    for _, mine in got.groupby("fold"):
+        valid = mine[mine.fold_role == "valid"]
+        assert mine[mine.fold_role == "train"].month.max() < valid.month.min() and len(set(valid.month)) == 10
+
+
 def test_recency_weight_spans_one_to_one_and_a_half(spark):
     ms = months("2000-01", 5)
     df = spark.createDataFrame([("a", m) for m in ms] + [("b", ms[0])], "series string, month date")
@@ -102,7 +113,7 @@ def test_boosted_training_and_saved_models(spark, features, tmp_path):
     bare = boosted.load(spark, str(tmp_path / "n"))
     assert bare.classifiers == {}
     assert "prob_up_t1" not in boosted.predict(bare, now).columns
-    assert got.models.regressors[1].numFeatures == len(FEATURE_COLS)
+    assert got.models.regressors[1].numFeatures == len(FEATURE_COLS) + 1
 
 
 def test_labels_follow_the_price_move(features):
