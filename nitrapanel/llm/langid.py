@@ -160,7 +160,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     picked = hash_sample(rows.select(F.col(id_col).alias("_picked")), "_picked", most)
     texts = rows.join(F.broadcast(picked), F.col(id_col) == F.col("_picked"), "left_semi")
-    examples = counted(texts, text_col, label_col)
+    # A repeated id gives one example, so the bound holds for rows as well.
+    texts = texts.groupBy(id_col).agg(F.max(F.struct(F.col(label_col).alias("label"), F.col(text_col).alias("text"))).alias("x"))
+    examples = counted(texts.select("x.*"), "text", "label")
     return train(sorted(examples, key=lambda e: (e[0], e[1].tobytes(), e[2].tobytes())))
 
 

@@ -239,6 +239,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = hash_sample(known.groupBy("_id").agg(F.max("label").alias("label")), "_id", most)
     # ``picked`` has at most ``most`` rows.
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "_id")
+    # A repeated id gives one example, so the bound holds for rows as well.
+    rows = rows.groupBy("_id", "label").agg(F.max("text").alias("text"))
     schema = _arrow(docs.sparkSession, EXAMPLES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

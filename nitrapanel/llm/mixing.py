@@ -126,7 +126,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
             words = [sorted({w.lower() for w in set(f)}) for f in found]
             yield record_batch(schema, {"label": labels, "words": words, "shape": [shape(t, f) for t, f in zip(texts, found)]})
 
-    some = rows.join(F.broadcast(picked), "_id", "left_semi").select("label", "text")
+    # A repeated id gives one example, so the bound holds for rows as well.
+    some = rows.join(F.broadcast(picked), "_id", "left_semi").groupBy("_id").agg(F.max(F.struct("label", "text")).alias("x"))
+    some = some.select("x.label", "x.text")
     measured = materialize(arrow_map(some, run, kinds), "labelled")
     # Words met in one labelled text only cannot tell domains apart; they stay out of the driver.
     common = measured.select(F.explode("words").alias("w")).groupBy("w").count().where("count >= 3").select("w")
