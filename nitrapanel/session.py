@@ -11,9 +11,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", app: str = "nitrapanel", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and the bench; a cluster brings its own settings."""
-    spark = (
+def local_session(
+    cores: int | str = "*", app: str = "nitrapanel", shuffle_partitions: int = 8, scratch: str | None = None
+) -> SparkSession:
+    """A session for tests and the bench; a cluster brings its own settings.
+
+    ``scratch`` becomes ``spark.checkpoint.dir``.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -22,8 +27,10 @@ def local_session(cores: int | str = "*", app: str = "nitrapanel", shuffle_parti
         .config("spark.driver.memory", os.environ.get("NITRAPANEL_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if scratch is not None:
+        builder = builder.config("spark.checkpoint.dir", scratch)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -55,6 +62,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/nitrapanel/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the tables that this application wrote below the shared folder; call it at its end."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    own = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/nitrapanel/{context.applicationId}")
+    own.getFileSystem(context._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read on from there.
 

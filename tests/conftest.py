@@ -15,10 +15,11 @@ PANEL = "series string, month date, ng_spot double, urea double, dap double, sto
 
 @pytest.fixture(scope="session")
 def spark():
-    from nitrapanel.session import local_session
+    from nitrapanel.session import drop_scratch, local_session
 
     session = local_session(8, "tests", 4)
     yield session
+    drop_scratch(session)
     session.stop()
 
 

@@ -6,6 +6,7 @@ By default a selection over all families; NITRAPANEL_ALL_QUERIES=1 runs every qu
 from __future__ import annotations
 
 import os
+import subprocess
 import sys
 
 import pytest
@@ -43,6 +44,12 @@ def test_query_matches_sql(spark, con, name):
     assert compare(normal(df.columns, [tuple(r) for r in df.collect()]), want) is None
 
 
+def test_queries_can_be_listed_without_a_session():
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and int(done.stdout.split()[0]) >= 140
+
+
 def test_registration_is_complete():
     import __spark_entry__ as entry
 
