@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -112,7 +111,11 @@ def granger(panel: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
     by the number of months, and all its lags are tested where it is.
     """
     ship_package(panel.sparkSession)
-    tested = aligned(panel).groupBy(KEY).applyInPandas(partial(_granger_group, max_lag=max_lag), GRANGER_SCHEMA)
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _granger_group(pdf, max_lag)
+
+    tested = aligned(panel).groupBy(KEY).applyInPandas(each, GRANGER_SCHEMA)
     return tested.withColumn("verdict", verdict(F.col("p_value")))
 
 

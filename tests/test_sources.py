@@ -106,7 +106,7 @@ def test_feature_store_round_trip(spark, panel, tmp_path):
     path = str(tmp_path / "fs")
     for by_series in (False, True):
         landing.write_feature_store(panel, path, by_series)
-        assert landing.read_feature_store(spark, path).where("series = 'b'").count() == 36
+        assert landing.read_feature_store(spark, path).where("series = 'b'").count() == 44
 
 
 def test_contract_check(spark):
@@ -118,8 +118,8 @@ def test_contract_check(spark):
 def test_history_payload_and_data_through(spark, panel):
     h = bundle.history_payload(panel.where("series = 'a'"), "2022-01-01")
     row = h.first()
-    assert row.urea_history.labels[0] == "Jan 2022" and len(row.natgas_history["values"]) == 12
-    assert bundle.data_through(h).first().data_through == "2022-12"
+    assert row.urea_history.labels[0] == "Jan 2022" and len(row.natgas_history["values"]) == 8
+    assert bundle.data_through(h).first().data_through == "2022-08"
 
 
 def test_job_stops_at_the_first_failure():
