@@ -11,7 +11,7 @@ from nitrapanel.catalog import common as c
 from nitrapanel.catalog.aggregates import PRICE, crops
 from nitrapanel.catalog.base import case
 from nitrapanel.catalog.sources_and_rows import limited, quoted
-from nitrapanel.constants import HORIZONS, KEY, MONTH
+from nitrapanel.constants import FEATURE_COLS, HORIZONS, KEY, MONTH
 from nitrapanel.functions import clean
 from nitrapanel.functions import windows as win
 from nitrapanel.functions.draws import normal
@@ -131,7 +131,8 @@ case(
     lambda s, sf: latest_complete(c.features(s, sf)),
     "SELECT * FROM latest",
     keep="series month",
-    nums="urea ng_spot dap ng_mom_1m urea_zscore_24m",
+    nums=" ".join([*FEATURE_COLS, "storage_mmcf"]),
+    digits=5,
 )
 case(
     "w15_recency_weight",
