@@ -1,6 +1,9 @@
 from __future__ import annotations
 
-from nitrapanel.session import materialize, scratch_path, shared_dir
+import pytest
+from pyspark.errors import AnalysisException
+
+from nitrapanel.session import materialize, scratch_path, shared_dir, ship_package
 
 
 def test_shared_folder_is_the_one_the_session_names(spark):
@@ -17,3 +20,22 @@ def test_materialize_cuts_lineage_and_keeps_types(spark):
     assert stored.schema.simpleString() == df.schema.simpleString()
     assert stored.orderBy("id").collect() == df.orderBy("id").collect()
     assert "Range" not in stored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scratch_folder_is_removed_with_its_application(spark):
+    from nitrapanel.session import drop_scratch
+
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    drop_scratch(spark)
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+
+
+def test_package_is_shipped_once(spark):
+    ship_package(spark)
+    before = list(spark.sparkContext.listFiles)
+    ship_package(spark)
+    assert list(spark.sparkContext.listFiles) == before
+    assert any("nitrapanel" in f for f in before)
