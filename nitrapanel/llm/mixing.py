@@ -84,20 +84,13 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(labels: list[str], words: list[list[str]], shapes: np.ndarray, rounds: int = 300) -> Classifier:
-    """Choose telling words, then fit a softmax by gradient ascent (Adam) with a ridge."""
+    """Fit a softmax over the shapes and the words' presence by gradient ascent (Adam) with a ridge."""
     domains = sorted(set(labels))
     n = max(1, len(labels))
     if len(domains) < 2:
         return Classifier(domains or ["all"], {}, np.zeros((SHAPES, max(1, len(domains)))))
     truth = np.array([domains.index(x) for x in labels])
-    share = np.bincount(truth, minlength=len(domains)) / n
-    seen: dict[str, np.ndarray] = {}
-    for own, label in zip(words, truth):
-        for w in own:
-            seen.setdefault(w, np.zeros(len(domains)))[label] += 1
-    # How far a word's domains are from the shares, in standard deviations.
-    odd = {w: float(np.max(np.abs(c - c.sum() * share) / np.sqrt(c.sum() * share * (1 - share) + 1))) for w, c in seen.items() if c.sum() >= 3}
-    chosen = {w: i for i, w in enumerate(sorted(odd, key=lambda w: (-odd[w], w))[:VOCABULARY])}
+    chosen = {w: i for i, w in enumerate(sorted({w for own in words for w in own}))}
     x = np.zeros((n, SHAPES + len(chosen)))
     x[:, :SHAPES] = shapes
     for i, own in enumerate(words):
@@ -130,8 +123,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     some = rows.join(F.broadcast(picked), "_id", "left_semi").groupBy("_id").agg(F.max(F.struct("label", "text")).alias("x"))
     some = some.select("x.label", "x.text")
     measured = materialize(arrow_map(some, run, kinds), "labelled")
-    # Words met in one labelled text only cannot tell domains apart; they stay out of the driver.
-    common = measured.select(F.explode("words").alias("w")).groupBy("w").count().where("count >= 3").select("w")
+    # Only the most telling words reach the driver: at most VOCABULARY.
+    sizes = {r["label"]: r["count"] for r in measured.groupBy("label").count().collect()}
+    common = _telling(measured, sizes)
     told = measured.withColumn("row", F.xxhash64("label", "words", "shape"))
     kept = told.select("row", F.explode("words").alias("w")).join(common, "w", "left_semi").groupBy("row").agg(F.sort_array(F.collect_set("w")).alias("words"))
     got = told.select("row", "label", "shape").join(kept, "row", "left").select("label", "shape", F.coalesce("words", F.array().cast("array<string>")).alias("words")).collect()
@@ -140,6 +134,19 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     return train([r["label"] for r in got], [r["words"] for r in got], shapes)
 
 
+def _telling(measured: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """The words (``w``) whose domains are farthest from the domains' shares, in standard deviations."""
+    seen, n = F.col("seen"), max(1, sum(sizes.values()))
+    each = measured.select("label", F.explode("words").alias("w")).groupBy("w")
+    named = {f"d{i}": label for i, label in enumerate(sorted(sizes))}
+    counts = each.agg(F.count("*").alias("seen"), *[F.count_if(F.col("label") == v).alias(k) for k, v in named.items()])
+    odd = [
+        F.abs(F.col(k) - seen * (sizes[v] / n)) / F.sqrt(seen * (sizes[v] / n * (1 - sizes[v] / n)) + 1) for k, v in named.items()
+    ]
+    far = F.array_max(F.array(*odd)) if odd else F.lit(0.0)
+    return counts.where("seen >= 3").orderBy(far.desc(), "w").limit(VOCABULARY).select("w")
+
+
 def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, tokens, posterior``, written to the shared folder: texts are read once."""
     kinds = "doc_id long, tokens long, posterior array<double>"
