@@ -1,0 +1,95 @@
+"""Near-duplicates by exact Jaccard index: brute force over edited texts, tiles, rows that share an id."""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pytest
+
+import corpus_pipeline as cp
+from nitrapanel.llm import jaccard, simhash
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingles(text):
+    words = re.findall("[^\\x20\\x09-\\x0D]+", (text or "").lower())
+    return frozenset(" ".join(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([" ".join(words)] if words else [])
+
+
+def alike(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def roots(sets):
+    forest = simhash.Forest(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                forest.join(i, j)
+    return [forest.find(i) for i in range(len(sets))]
+
+
+def edited(seed, families, each, most):
+    """Families of texts in which some words of an ancestor or of a sibling are replaced."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for f in range(families):
+        own = [[f"w{x}" for x in rng.integers(0, 5000, rng.integers(60, 300))]]
+        for _ in range(each - 1):
+            words = list(own[rng.integers(0, len(own))])
+            for at in rng.integers(0, len(words), max(1, int(len(words) * rng.uniform(0, most)))):
+                words[at] = f"w{rng.integers(0, 5000)}"
+            own.append(words)
+        out += [" ".join(w) for w in own]
+    return [out[i] for i in rng.permutation(len(out))]
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+
+
+def kept(spark, rows):
+    return sorted((r["doc_id"], r["text"]) for r in cp.near_dedup(spark, table(spark, rows), "").collect())
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return edited(3, 60, 8, 0.05)
+
+
+def test_every_near_copy_is_linked_and_no_other(spark, texts):
+    sets = [shingles(t) for t in texts]
+    shares = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a & b]
+    assert sum(0.8 <= s < 0.9 for s in shares) > 50 and sum(0.6 <= s < 0.8 for s in shares) > 200
+    root = roots(sets)
+    assert [i for i, _ in kept(spark, enumerate(texts))] == sorted(set(root))
+    found = {r["first"]["doc_id"]: r["component"]["doc_id"] for r in jaccard.near_duplicates(table(spark, enumerate(texts))).collect()}
+    assert found == {i: root[i] for i in found} and len(found) == len(set(sets))
+
+
+def test_tiles_of_a_large_bucket(spark, texts, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 3)
+    assert [i for i, _ in kept(spark, enumerate(texts))] == sorted(set(roots([shingles(t) for t in texts])))
+
+
+def test_bands_miss_none_of_the_pairs():
+    rng = np.random.default_rng(9)
+    for share in (0.8, 0.85):
+        for _ in range(200):
+            size = int(rng.integers(40, 900))
+            both = int(np.ceil(2 * size * share / (1 + share)))
+            pool = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, 2 * size - both))
+            a, b = pool[rng.permutation(len(pool))][:size], None
+            b = np.concatenate([a[:both], np.setdiff1d(pool, a)])
+            keys = jaccard.band_keys([np.unique(a), np.unique(b)])
+            assert (keys[0] == keys[1]).any()
+
+
+def test_odd_texts(spark):
+    texts = [None, "", " \n", "one", "ONE", "one two", "word " * 60_000, "word " * 50_000, "a" * 300_000]
+    assert [i for i, _ in kept(spark, enumerate(texts))] == [0, 3, 5, 6, 8]
+    assert kept(spark, [(None, "one"), (None, "one"), (4, "one")][2:]) == [(4, "one")]
+    assert cp.near_dedup(spark, table(spark, [(None, "one"), (None, "one"), (4, "one")]), "").count() == 3
+    assert cp.near_dedup(spark, table(spark, [(1, "x")]).limit(0), "").count() == 0
