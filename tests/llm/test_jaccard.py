@@ -69,6 +69,20 @@ def test_every_near_copy_is_linked_and_no_other(spark, texts):
     assert found == {i: root[i] for i in found} and len(found) == len(set(sets))
 
 
+def test_less_alike_texts_both_stay(spark):
+    rng = np.random.default_rng(5)
+    pairs = []
+    for _ in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        other = list(words)
+        for at in range(10, 390, 25):
+            other[at] = "other"
+        pairs += [" ".join(words), " ".join(other)]
+    shares = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in zip(pairs[::2], pairs[1::2])]
+    assert 0.6 < min(shares) <= max(shares) < 0.8
+    assert len(kept(spark, enumerate(pairs))) == len(pairs)
+
+
 def test_tiles_of_a_large_bucket(spark, texts, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE", 3)
     assert [i for i, _ in kept(spark, enumerate(texts))] == sorted(set(roots([shingles(t) for t in texts])))
