@@ -107,3 +107,10 @@ def test_odd_texts(spark):
     assert kept(spark, [(None, "one"), (None, "one"), (4, "one")][2:]) == [(4, "one")]
     assert cp.near_dedup(spark, table(spark, [(None, "one"), (None, "one"), (4, "one")]), "").count() == 3
     assert cp.near_dedup(spark, table(spark, [(1, "x")]).limit(0), "").count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    first, second, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    # Two texts of id 7: both stay.  Id 8: a copy of an earlier text goes, the text that is its own stays.
+    rows = [(1, first), (7, second), (7, third), (7, third), (8, first), (8, "only here")]
+    assert kept(spark, rows) == sorted([(1, first), (7, second), (7, third), (8, "only here")])
