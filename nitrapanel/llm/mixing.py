@@ -4,7 +4,11 @@ Method: a classifier trained on a table of labelled documents gives every docume
 posterior over domains (soft membership).  Rates, one for each document and none
 negative, are fitted by accelerated projected-gradient least squares so that the
 expected token totals of the domains, the sum of rate x tokens x posterior, match the
-targets; a small ridge keeps rates near one.
+targets; a small ridge keeps rates near one.  Residuals are weighed by the inverse of
+the domains' Gram matrix, so a rare domain counts as much as a large one, and the ridge is
+lowered by the largest cut that a target asks for.  Steps end when every target is met
+within its tolerance or when the misses no longer fall; the plan says which
+(``converged``) and gives the totals that were reached.
 
 Each gradient step needs the domains' totals under the present rates: one aggregation
 over the stored posteriors that returns one number for each domain.  A document's rate
@@ -36,9 +40,10 @@ from nitrapanel.session import materialize
 
 TRAIN_ROWS = 4_000
 VOCABULARY = 2_000  # words whose presence tells most about a domain
-STEPS = 40
 RIDGE = 1e-4
-CLOSE = 1e-4  # largest share by which a domain may miss its target when the steps end early
+CLOSE = 1e-4  # largest share of all tokens by which a domain may miss its target
+MISS = 1e-3  # and largest part of the target itself
+PATIENCE, FALL = 20, 0.75  # steps end if the last so many have not brought the largest miss down to this part
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -171,6 +176,7 @@ class Plan(NamedTuple):
     ridge: float
     totals: np.ndarray  # shares of the domains' expected tokens under the last rates
     targets: np.ndarray
+    converged: bool  # whether every target is met within its tolerance
 
 
 def follow(posteriors: np.ndarray, residuals: list[np.ndarray], step: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
@@ -206,18 +212,29 @@ def _summed(members: DataFrame, width: int, values: Callable) -> np.ndarray:
     return np.array([got[i] for i in sorted(got)])
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], steps: int = STEPS, ridge: float = RIDGE) -> Plan:
-    """Residuals of the projected-gradient steps; each step aggregates one number for each domain."""
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], steps: int | None = None, ridge: float = RIDGE) -> Plan:
+    """Residuals of the projected-gradient steps; each step aggregates one number for each domain.
+
+    Without ``steps`` the number of steps is bounded only by the misses, which have to fall.
+    """
     k = len(domains)
     want = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     want = want / want.sum() if want.sum() else np.full(k, 1 / k)
     first = _summed(members, k, lambda t, p: np.concatenate([[t.sum()], ((p * t[:, None]).T @ p).ravel()]))
     if not len(first) or not first[0]:
-        return Plan(domains, [], 1.0, ridge, np.zeros(k), want)
+        return Plan(domains, [], 1.0, ridge, np.zeros(k), want, False)
     total = first[0]
-    step = 1.0 / (float(np.linalg.eigvalsh(first[1:].reshape(k, k) / total)[-1]) + ridge)
+    gram = first[1:].reshape(k, k) / total
+    share = gram.sum(axis=1)  # posteriors sum to one
+    asked = (want > 0) & (share > 0)
+    ridge = ridge * float(np.min(np.minimum(1.0, want[asked] / share[asked]), initial=1.0))
+    # In the metric of the inverse Gram matrix the steepest direction has curvature one.
+    inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
+    step = 1.0 / (1.0 + ridge)
+    allowed = np.where(want > 0, np.minimum(CLOSE, MISS * want), CLOSE)
     residuals: list[np.ndarray] = []
-    for _ in range(steps):
+    reached, misses = [], []
+    while True:
         past = list(residuals)
 
         def both(t: np.ndarray, p: np.ndarray, past: list = past) -> np.ndarray:
@@ -225,12 +242,15 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
             return np.concatenate([(t * rates) @ p, (t * ahead) @ p])
 
         sums = _summed(members, k, both) / total
-        if past and np.abs(sums[:k] - want).max() <= CLOSE:
+        reached.append(sums[:k])
+        misses.append(float((np.abs(sums[:k] - want) / allowed).max()))
+        n = len(misses) - 1
+        stalled = n >= PATIENCE and min(misses[-PATIENCE:]) > FALL * min(misses[:-PATIENCE])
+        if misses[-1] <= 1 or stalled or n == steps:
             break
-        residuals.append(sums[k:] - want)
-    last = list(residuals)
-    totals = _summed(members, k, lambda t, p: (t * follow(p, last, step, ridge)[0]) @ p) / total
-    return Plan(domains, residuals, step, ridge, totals, want)
+        residuals.append(inverse @ (sums[k:] - want))
+    best = int(np.argmin(misses))
+    return Plan(domains, residuals[:best], step, ridge, reached[best], want, misses[best] <= 1)
 
 
 def with_rates(members: DataFrame, plan: Plan, seed: int = 17) -> DataFrame:

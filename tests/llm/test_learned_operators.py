@@ -156,6 +156,27 @@ def test_rates_reach_the_constrained_optimum(spark):
     assert np.allclose(plan.totals, (t * rates) @ p / t.sum())
 
 
+@pytest.mark.parametrize("share", [1e-2, 1e-3, 1e-4])
+def test_a_rare_domain_meets_its_target(spark, share):
+    rng = np.random.default_rng(12)
+    rare = max(2, int(20_000 * share))
+    p = np.full((20_000, 2), [0.9999, 0.0001])
+    p[:rare] = [0.02, 0.98]
+    p[rare : 2 * rare] = rng.dirichlet([0.5, 0.5], rare)
+    members = spark.createDataFrame([(i, 50, x.tolist()) for i, x in enumerate(p)], "doc_id long, tokens long, posterior array<double>")
+    for want in (0.01, 0.3):
+        plan = mixing.fit_rates(members, ["common", "rare"], {"common": 1 - want, "rare": want})
+        rates = np.array([r["rate"] for r in mixing.with_rates(members, plan).orderBy("doc_id").collect()])
+        assert plan.converged and np.allclose(plan.totals, rates @ p / len(p))
+        assert plan.totals == pytest.approx([1 - want, want], rel=2e-3)
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    members = spark.createDataFrame([(i, 10, [0.6, 0.4]) for i in range(50)], "doc_id long, tokens long, posterior array<double>")
+    plan = mixing.fit_rates(members, ["a", "b"], {"a": 0.1, "b": 0.9})
+    assert not plan.converged and abs(plan.totals[0] - 0.1) > 0.01
+
+
 def test_mixing_of_odd_texts(spark, edge):
     model = mixing.fit(edge.withColumn("domain", F.lit(None).cast("string")))
     members = mixing.memberships(edge, model)
