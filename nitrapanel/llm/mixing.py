@@ -212,6 +212,12 @@ def _summed(members: DataFrame, width: int, values: Callable) -> np.ndarray:
     return np.array([got[i] for i in sorted(got)])
 
 
+def shares(members: DataFrame, domains: list[str]) -> dict[str, float]:
+    """Present shares of the domains' expected tokens; zero without tokens."""
+    sums = _summed(members, len(domains), lambda t, p: t @ p)
+    return dict(zip(domains, (sums / sums.sum()).tolist() if len(sums) and sums.sum() else [0.0] * len(domains)))
+
+
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], steps: int | None = None, ridge: float = RIDGE) -> Plan:
     """Residuals of the projected-gradient steps; each step aggregates one number for each domain.
 

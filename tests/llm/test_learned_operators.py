@@ -309,3 +309,21 @@ def test_pipeline_stage_by_stage(spark, documents, labels):
     assert packed.agg(F.sum("length")).first()[0] == sum(
         r["n"] for r in packed.where("start = 0").groupBy("doc_id", "doc_tokens").count().select((F.col("doc_tokens") * F.col("count")).alias("n")).collect()
     )
+
+
+@pytest.mark.parametrize("toxic", [0, 2, 100])
+def test_mixing_never_raises_toxic_text(spark, monkeypatch, toxic):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 9) for i in range(2000)], "doc_id long, text string, lang string, source string, n_chars long")
+    members = docs.select(
+        "doc_id", F.lit(50).cast("long").alias("tokens"),
+        F.when(F.col("doc_id") < toxic, F.array(F.lit(0.01), F.lit(0.99))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).alias("posterior"),
+    )
+    model = mixing.Classifier(["clean", "toxic"], {}, np.zeros((mixing.SHAPES, 2)))
+    monkeypatch.setattr(mixing, "fit", lambda labelled: model)
+    monkeypatch.setattr(mixing, "memberships", lambda docs, model: members)
+    monkeypatch.setattr(cp, "_labels", lambda spark, sf_dir: docs.select("doc_id", F.lit(0).alias("toxic")))
+    copies = {r["doc_id"]: r["count"] for r in cp.mix(spark, docs, "").groupBy("doc_id").count().collect()}
+    assert all(i in copies for i in range(toxic, 2000))
+    assert sum(copies.get(i, 0) for i in range(toxic)) <= (toxic if toxic < 10 else 40)
