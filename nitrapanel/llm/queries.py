@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline, and their SQL."""
+"""The registered queries of the thirteen operators and of the pipeline, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nitrapanel.llm import fingerprints, langid, linecrf, mixing, packing, rules, secrets, sharding, simhash, tokens
+from nitrapanel.llm import (
+    fingerprints, hardneg, langid, linecrf, linededup, mixing, packing, rules, secrets, sharding, simhash, tokens, whitening,
+)
 from nitrapanel.llm.coder import tokenizer_path
 from nitrapanel.llm.frames import fold
 from nitrapanel.session import scratch_path
@@ -24,6 +26,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokens.write_tokens(_documents(spark, sf_dir), path, tokenizer_path(TOKENIZER), end_id=2)
@@ -121,6 +127,20 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.drop_lines(_documents(spark, sf_dir), least=10, keep=["doc_id"])
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_embeddings(spark, sf_dir))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(_embeddings(spark, sf_dir), label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -173,13 +193,41 @@ SELECT doc_id, {names}, sha256(coalesce(base, '')) AS base_sha256, coalesce(span
 """
 
 
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM d),
+k AS (SELECT r, doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+o AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (o.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN o USING (key) GROUP BY r
+"""
+
+OP13_SQL = """
+WITH e AS (SELECT row_number() OVER () AS r, coalesce(vec_id, 9223372036854775807) AS id, vec_id,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.r AS ar, a.id AS aid, b.r, b.id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id, r) <= 5),
+m AS (SELECT p.aid, p.vec_id AS pid, n.vec_id AS nid, p.score AS ps, n.score AS ns,
+    row_number() OVER (PARTITION BY p.ar, p.r ORDER BY n.score DESC, n.id, n.r) AS rank
+  FROM p JOIN s n ON n.ar = p.ar AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT aid AS anchor_id, pid AS positive_id, CAST(rank AS INTEGER) AS rank, nid AS negative_id, ps AS positive_score, ns AS negative_score
+FROM m WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_token_files, op2_language, op3_quality_rules, op4_packing, op5_fingerprints,
-        op6_mixing, op7_line_quality, op8_simhash, op9_secrets, op10_shards, pipeline,
+        op6_mixing, op7_line_quality, op8_simhash, op9_secrets, op10_shards,
+        op11_line_dedup, op12_whitening, op13_hard_negatives, pipeline,
     ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op9_secrets": _op9_sql()}
+    return {"op3_quality_rules": OP3_SQL, "op9_secrets": _op9_sql(), "op11_line_dedup": OP11_SQL, "op13_hard_negatives": OP13_SQL}
