@@ -1,22 +1,34 @@
 """Whole texts to token ids with a public tokenizer, at the speed of a dictionary.
 
 ``word_bpe_49k`` drops white space before it splits a text, so the ids of a text are
-the ids of its blank-separated chunks one after the other.  A worker therefore keeps
-the ids of the chunks it has met and asks the tokenizers library only for new ones.
-The cache is bounded; what it does not hold is encoded anew, so a result never
-depends on it.
+the ids of its blank-separated chunks one after the other.  Arrow splits the texts,
+finds the distinct chunks of a part and their lower-case words; a worker keeps the ids of
+the words it has met and asks the tokenizers library only for new ones; numpy lays the
+ids out.  What is kept is bounded: there are two generations, a full young one becomes
+the old one, and a word that is met again moves to the young one.  What is forgotten is encoded anew, so a result
+never depends on it.
+
+Strings of special tokens in a text are what the library makes of them by default: their
+ids.
 """
 
 from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-CACHE_CHUNKS = 250_000  # distinct chunks a worker remembers
-LONGEST_CACHED = 48  # code points; longer chunks are encoded but not remembered
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+GENERATION = 250_000  # distinct words of a generation, exceeded by those of one part at most
+PART_BYTES = 4 << 20  # of texts that are encoded together; a longer text is a part of its own
+LONGEST_KEPT = 48  # code points; longer words are encoded but not kept
 MARKS = ".,!?;:*$%&#|"  # a run of these after a letter is split off by the tokenizer too
-LATIN_END = "\u0250"  # letters below it keep their number of code points in lower case, bar U+0130
+# Letters that keep their number of code points in lower case; U+0130 does not.
+LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +44,12 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions ``start, start + 1, ...`` of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class TextCoder:
     """Token ids of whole texts.  ``None`` counts as the empty text.
 
@@ -45,11 +63,10 @@ class TextCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size()
-        # No string of a text may turn into a special token.
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.known: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         trial = ["Where", "Él", "straße", "x", "le", "***", "b.,"]
         if self._plain([" ".join(trial) + "\n"])[0] != b"".join(self._plain(trial)):
             raise ValueError("this tokenizer does not drop white space")
@@ -66,46 +83,87 @@ class TextCoder:
             word = word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def _learn(self, chunks: set[str]) -> tuple[list[str], list[str]]:
-        """Add the ids of new chunks to ``known``; returns what may stay and what must go."""
-        known, odd, keep, drop = self.known, [], [], []
-        room = CACHE_CHUNKS - len(known)
-        for chunk in chunks:
-            word = chunk.rstrip(MARKS)
-            if not (word.isalpha() and max(word) < LATIN_END and "\u0130" not in word):
-                odd.append(chunk)
-                continue
-            low = word.lower()
-            ids = known.get(low)
+    def _kept(self, pieces: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of distinct pieces; what neither generation has is made."""
+        out = list(map(self.young.get, pieces))
+        missing = []
+        for i, ids in enumerate(out):
             if ids is None:
-                ids = known[low] = self._word(low)
-                (keep if room > len(keep) and len(low) <= LONGEST_CACHED else drop).append(low)
-            if len(word) < len(chunk):
-                marks = chunk[len(word) :]
-                tail = known.get(marks)
-                if tail is None:
-                    tail = known[marks] = self._plain([marks])[0]
-                    drop.append(marks)
-                ids += tail
-            if chunk != low:
-                known[chunk] = ids
-                (keep if room > len(keep) and len(chunk) <= LONGEST_CACHED else drop).append(chunk)
-        for chunk, ids in zip(odd, self._plain(odd)):
-            known[chunk] = ids
-            (keep if room > len(keep) and len(chunk) <= LONGEST_CACHED else drop).append(chunk)
-        return keep, drop
+                out[i] = ids = self.old.get(pieces[i])
+                if ids is None:
+                    missing.append(i)
+                else:
+                    self.young[pieces[i]] = ids
+        for i, ids in zip(missing, make([pieces[i] for i in missing])):
+            out[i] = ids
+            if len(pieces[i]) <= LONGEST_KEPT:
+                self.young[pieces[i]] = ids
+        if len(self.young) >= GENERATION:
+            self.old, self.young = self.young, {}
+        return out
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids one after the other) of distinct chunks.
+
+        A chunk of Latin letters and marks is the lower-case word and the marks; few words
+        and fewer marks stand behind many chunks.  All others go to the tokenizer whole.
+        """
+        word = pc.utf8_rtrim(chunks, MARKS)
+        latin = pc.match_substring_regex(word, LATIN)
+        first = pc.if_else(latin, pc.utf8_lower(word), chunks)
+        parts = [first.filter(latin), first.filter(pc.invert(latin)), chunks.filter(latin)]
+        low, odd = parts[0].dictionary_encode(), parts[1]
+        # What follows the word: as long as the difference in code points.
+        cut = pc.subtract(pc.utf8_length(chunks), pc.utf8_length(word)).filter(latin).to_numpy()
+        there = np.flatnonzero(cut)
+        tails = [c[-k:] for c, k in zip(parts[2].take(pa.array(there)).to_pylist(), cut[there].tolist())]
+        marks = sorted(set(tails))
+        number = {m: i for i, m in enumerate(marks)}
+        each = [
+            self._kept(low.dictionary.to_pylist(), lambda words: list(map(self._word, words))),
+            self._kept(odd.to_pylist(), self._plain),
+            [b"", *self._kept(marks, self._plain)],
+        ]
+        sizes = [np.fromiter(map(len, x), np.int64, len(x)) // 4 for x in each]
+        flat = np.frombuffer(b"".join(b"".join(x) for x in each), "<u4")
+        starts = np.cumsum(np.concatenate(sizes)) - np.concatenate(sizes)
+        # Two pieces a chunk: the word or the odd chunk, and the marks (or none).
+        piece = np.zeros((len(chunks), 2), np.int64)
+        plain = latin.to_numpy(zero_copy_only=False)
+        piece[plain, 0] = low.indices.to_numpy()
+        piece[~plain, 0] = len(each[0]) + np.arange(len(odd))
+        tail = np.zeros(len(cut), np.int64)
+        tail[there] = [1 + number[t] for t in tails]
+        piece[:, 1] = len(each[0]) + len(odd)
+        piece[plain, 1] += tail
+        n = np.concatenate(sizes)[piece]
+        return n.sum(axis=1), flat[runs(starts[piece].ravel(), n.ravel())]
+
+    def _part(self, column: pa.Array) -> list[bytes]:
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        sizes, flat = self._chunks(coded.dictionary)
+        index = coded.indices.to_numpy()
+        n = sizes[index]
+        raw = flat[runs((np.cumsum(sizes) - sizes)[index], n)].tobytes()
+        # Every text has a chunk at least, if an empty one.
+        cuts = [0, *(4 * np.cumsum(n)[np.cumsum(pc.list_value_length(split).to_numpy()) - 1]).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode_column(self, column: pa.Array) -> Iterator[list[bytes]]:
+        """Ids of each text as little-endian unsigned 32-bit integers, a part of the column at a time."""
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        start = held = 0
+        for i, size in enumerate(sizes.tolist()):
+            if held and held + size > PART_BYTES:
+                yield self._part(column.slice(start, i - start))
+                start, held = i, 0
+            held += size
+        if start < len(column):
+            yield self._part(column.slice(start))
 
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        known = self.known
-        unknown = set().union(*split).difference(known)
-        keep, drop = self._learn(unknown) if unknown else ([], [])
-        lookup = known.__getitem__
-        out = [b"".join(map(lookup, chunks)) for chunks in split]
-        for chunk in drop:
-            known.pop(chunk, None)
-        return out
+        return [raw for part in self.encode_column(pa.array(texts, pa.string())) for raw in part]
 
 
 @lru_cache(maxsize=2)

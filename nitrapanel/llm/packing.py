@@ -13,7 +13,7 @@ into powers of two.  Nothing is shuffled and nothing is padded.
 
 Defined results: NULL text is the empty text (one end id); repeated rows are packed like
 any others; an empty table gives no rows; other columns are ignored.  Rows are sorted by
-id within the partition, so a retried task packs alike.
+id and a hash of the text within the partition, so a retried task packs alike.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from nitrapanel.llm.coder import coder
-from nitrapanel.llm.frames import arrow_map, crc, id_and_text, record_batch, small_batches
+from nitrapanel.llm.frames import arrow_map, crc, id_and_text, record_batch
 from nitrapanel.llm.tokens import _arrow
 
 TIERS = (2048, 1024, 512, 256)
@@ -180,10 +181,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...] =
             for at in range(0, len(out), 4096):
                 yield record_batch(schema, dict(zip(schema.names, map(list, zip(*out[at : at + 4096])))))
 
-        for ids, texts in small_batches(batches, "doc_id", "text"):
-            for doc_id, raw in zip(ids, tool.encode_bytes(texts)):
-                if groups := packer.add(doc_id, raw + end):
-                    yield from rows(groups)
+        for batch in batches:
+            ids = iter(batch.column(0).to_pylist())
+            for part in tool.encode_column(batch.column(1)):
+                for raw in part:
+                    if groups := packer.add(next(ids), raw + end):
+                        yield from rows(groups)
         yield from rows(packer.finish())
 
-    return arrow_map(id_and_text(docs, id_col, text_col).sortWithinPartitions("doc_id"), run, PIECES)
+    ordered = id_and_text(docs, id_col, text_col).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    return arrow_map(ordered, run, PIECES)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nitrapanel.llm.coder import coder
-from nitrapanel.llm.frames import arrow_map, crc, id_and_text, record_batch, small_batches
+from nitrapanel.llm.frames import arrow_map, crc, id_and_text, record_batch
 
 MAGIC = b"TIDS"
 HEAD = struct.Struct("<4sHHQII")
@@ -135,14 +135,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None,
             row = (shard, segment, before, held, doc_ids, [len(r) // 4 for r in raws], image)
             return record_batch(schema, dict(zip(schema.names, ([v] for v in row))))
 
-        for ids, texts in small_batches(batches, "doc_id", "text"):
-            for doc_id, raw in zip(ids, tool.encode_bytes(texts)):
-                raws.append(raw + end)
-                doc_ids.append(doc_id)
-                held += len(raws[-1]) // 4
-                if held >= SEGMENT_IDS:
-                    yield close()
-                    segment, before, held, doc_ids, raws = segment + 1, before + held, 0, [], []
+        for batch in batches:
+            ids = iter(batch.column(0).to_pylist())
+            for part in tool.encode_column(batch.column(1)):
+                for raw in part:
+                    raws.append(raw + end)
+                    doc_ids.append(next(ids))
+                    held += len(raws[-1]) // 4
+                    if held >= SEGMENT_IDS:
+                        yield close()
+                        segment, before, held, doc_ids, raws = segment + 1, before + held, 0, [], []
         if doc_ids:
             yield close()
 

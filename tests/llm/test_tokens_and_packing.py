@@ -8,14 +8,16 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from nitrapanel.llm import packing, tokens
 from nitrapanel.llm.coder import TextCoder, tokenizer_path
 from nitrapanel.session import scratch_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
+FRESH = Tokenizer.from_file(PATH)
 ODD = [
-    None, "", " ", "\n\n", "7 8 a7b 77", "don't. it's!! I'LL", "ﬁ ² ½ x x² é é", "a\x1cb\x85c d", "<|endoftext|> a",
+    None, "", " ", "\n\n", "7 8 a7b 77", "don't. it's!! I'LL", "ﬁ ² ½ x x² é é", "a\x1cb\x85c d", "<|endoftext|> a", "a<|endoftext|>B. <|startoftext|>", "<|endoftext |>", "x|<|endoftext|>|",
     "a.,b .a", "x*** y=*", "ΣΑΣ. Σ", "İI.", "Éé ßẞ ǅx", "_a_. 'S", "A̸. ≠ .", " ́a", "*́ a*́", "中文 字", "😀😀 ok!!",
 ]
 
@@ -26,7 +28,8 @@ def coder():
 
 
 def plain(coder, text):
-    return coder.tokenizer.encode(text or "", add_special_tokens=False).ids
+    """What a tokenizer of its own makes of the text, with the library's settings."""
+    return FRESH.encode(text or "", add_special_tokens=False).ids
 
 
 def test_coder_equals_the_tokenizer_on_odd_texts(coder):
@@ -39,6 +42,18 @@ def test_coder_equals_the_tokenizer(coder, text):
     assert np.frombuffer(coder.encode_bytes([text])[0], "<u4").tolist() == plain(coder, text)
 
 
+def test_what_is_forgotten_is_encoded_anew(monkeypatch):
+    from nitrapanel.llm import coder as module
+
+    monkeypatch.setattr(module, "GENERATION", 5)
+    monkeypatch.setattr(module, "PART_BYTES", 40)
+    own = TextCoder(PATH)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"Word{'abcdefgh'[k]}{'.' * (k % 3)}" for k in rng.integers(0, 8, 30)) for _ in range(40)] + ODD
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode_bytes(texts)] == [plain(own, t) for t in texts]
+    assert len(own.young) < 40 and len(own.old) < 40
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.integers(1, 32), st.integers(0, 70), st.integers(0, 2**32))
 def test_bit_packing_round_trip(width, n, seed):
@@ -115,6 +130,8 @@ def test_packing(spark, docs, coder):
     rows = packing.pack(some, PATH, 1).collect()
     sizes = {r["doc_id"]: len(plain(coder, r["text"])) + 1 for r in some.collect()}
     check_packing(rows, sizes)
+    ids = {r["doc_id"]: np.array([*plain(coder, r["text"]), 1], "<u4") for r in some.collect()}
+    assert all(r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) for r in rows)
     assert all(r["doc_tokens"] == sizes[r["doc_id"]] for r in rows)
     steps = {}
     for r in rows:
@@ -144,3 +161,41 @@ def test_packer_places_everything_once(lengths, window):
             assert start == at
             at += length
         assert at == n
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """The smallest documents with strings of special tokens and odd texts among them."""
+    path = str(tmp_path_factory.mktemp("odd"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    more = [(10_000 + i, t, None, None, None) for i, t in enumerate([*ODD, "x <|endoftext|> y " * 900])]
+    docs.unionByName(spark.createDataFrame(more, docs.schema)).repartition(5).write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_query_token_files(spark, odd_tables):
+    from nitrapanel.llm.queries import op1_token_files
+
+    docs = spark.read.parquet(f"{odd_tables}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    start, want = 0, []
+    for row in docs:
+        ids = np.array([*plain(None, row["text"]), 2], "<u4")
+        want.append((row["doc_id"], start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = op1_token_files(spark, odd_tables).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want
+
+
+def test_query_packing(spark, odd_tables):
+    from nitrapanel.llm.queries import op4_packing
+
+    docs = spark.read.parquet(f"{odd_tables}/documents.parquet").select("doc_id", "text").collect()
+    ids = {r["doc_id"]: np.array([*plain(None, r["text"]), 1], "<u4") for r in docs}
+    rows = op4_packing(spark, odd_tables).collect()
+    check_packing(rows, {i: len(x) for i, x in ids.items()})
+    for r in rows:
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
