@@ -21,9 +21,9 @@ tables in the shared folder; no link, component or fingerprint reaches the drive
 from a bounded sample that shapes the tree (its quality affects speed only).
 
 Defined results: NULL text is the empty text; texts without words have fingerprint zero
-and are linked like any others; NULL ids are ignored when a component is named and get
-the component of their fingerprint; repeated rows are returned each; an empty table
-gives no rows.
+and are linked like any others; rows with NULL ids link like any others and get the
+component of their fingerprint, but name none, so a component of such rows alone has a
+NULL id; repeated rows are returned each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from nitrapanel.llm.fingerprints import words_of
 from nitrapanel.llm.frames import arrow_map, hash_sample
@@ -49,27 +50,27 @@ MOST_LEVELS = 12  # of shards; the rest of the tree is inside the tasks
 LEAF = 96  # members that are compared all with all
 TILE = 20_000  # members of a tile of a dense shard
 
-PRINTS = "doc_id long, fp long"
-
 
 # -- fingerprints ------------------------------------------------------------------
 
 
-def fingerprints(docs: DataFrame, width: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: hashes of all shingles inside Spark, the majority of each bit in numpy."""
+def fingerprints(docs: DataFrame, width: int = WORDS, id_col: str = "doc_id", text_col: str = "text", kept: dict[str, Column] | None = None) -> DataFrame:
+    """``doc_id, fp`` and the ``kept`` columns: hashes of all shingles inside Spark, the majority of each bit in numpy."""
     folded = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(folded).alias("words"))
+    more = [c.alias(n) for n, c in (kept or {}).items()]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(folded).alias("words"), *more)
     long = F.transform(
         F.sequence(F.lit(0), F.size("words") - width),
         lambda i: F.xxhash64(F.concat_ws(" ", *[F.get("words", i + k) for k in range(width)])),
     )
     short = F.array(F.xxhash64(F.array_join("words", " ")))
     hashes = F.when(F.size("words") >= width, long).when(F.size("words") > 0, short).otherwise(F.array().cast("array<bigint>"))
-    return arrow_map(rows.select("doc_id", hashes.alias("hashes")), _majorities, PRINTS)
+    source = rows.select("doc_id", hashes.alias("hashes"), *(kept or {}))
+    fields = StructType([StructField("doc_id", LongType()), StructField("fp", LongType()), *source.schema.fields[2:]])
+    return arrow_map(source, _majorities, fields)
 
 
 def _majorities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
     for batch in batches:
         lists = batch.column(1)
         values = lists.flatten().to_numpy(zero_copy_only=False)
@@ -79,7 +80,7 @@ def _majorities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, end in enumerate(ends.tolist()):
             out[i] = majority(values[start:end])
             start = end
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out.view(np.int64))], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
 def majority(hashes: np.ndarray, step: int = 1 << 16) -> int:
@@ -234,9 +235,9 @@ def _breadth_first(fps: np.ndarray, rows: np.ndarray, forest: Forest, most_bits:
 
 
 def forest_edges(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """``a, b``: edges between ids of distinct fingerprints whose closure is that of all links.
+    """``a, b``: edges between names of distinct fingerprints whose closure is that of all links.
 
-    ``prints`` has one row for each distinct fingerprint: ``fp`` and ``rep``, its smallest id.
+    ``prints`` has one row for each distinct fingerprint: ``fp`` and ``rep``, its name.
     """
     spark = prints.sparkSession
     total = prints.count()
@@ -308,10 +309,39 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
-def near_duplicates(docs: DataFrame, width: int = WORDS, most_bits: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` for every row; texts are read once."""
-    prints = materialize(fingerprints(docs, width, id_col, text_col), "prints")
+def near_duplicates(
+    docs: DataFrame,
+    width: int = WORDS,
+    most_bits: int = MOST_BITS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    kept: dict[str, Column] | None = None,
+) -> DataFrame:
+    """``doc_id, fp, root, component_id`` and the ``kept`` columns for every row; texts are read once.
+
+    ``root`` is the least fingerprint of the component, the same for all its rows and for
+    no others; ``component_id`` is its least id, NULL if it has none.
+    """
+    prints = materialize(fingerprints(docs, width, id_col, text_col, kept), "prints")
+    # Fingerprints are linked whatever their ids; ids only name what has been linked.
     reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    roots = components(forest_edges(reps.where("rep IS NOT NULL"), most_bits))
-    named = reps.join(roots, reps["rep"] == roots["id"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    roots = components(forest_edges(reps.select("fp", F.col("fp").alias("rep")), most_bits))
+    rooted = reps.join(roots, reps["fp"] == roots["id"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = rooted.join(names, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp", "left").select("doc_id", "fp", "root", "component_id", *(kept or {}))
+
+
+def one_of_each(docs: DataFrame, width: int = WORDS, most_bits: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row of the least id stays.
+
+    A row without an id comes after those with one; of several rows with the least id the
+    one of the least text hash stays, and of rows of equal id and text one.
+    """
+    key = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    found = near_duplicates(docs, width, most_bits, id_col, text_col, {"text_key": key})
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
+    stays = found.groupBy("root").agg(first.alias("s")).select("s._id", "s._key").distinct()
+    rows = docs.withColumn("_text_key", key).withColumn("_row_id", F.col(id_col).cast("long"))
+    rows = rows.join(stays, rows["_row_id"].eqNullSafe(stays["_id"]) & (rows["_text_key"] == stays["_key"]), "left_semi")
+    return rows.dropDuplicates(["_row_id", "_text_key"]).select(*docs.columns)
