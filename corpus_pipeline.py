@@ -5,8 +5,8 @@ the columns of ``documents``.  ``run`` writes each stage's result to the shared
 and reads it again for the next.
 
 1. quality: the line field scores every text; what it predicts to be bad goes.
-2. near_dedup: components of texts that share four fifths of their five-word shingles or
-   more (exact Jaccard index of candidates from MinHash bands); the smallest id of each stays.
+2. near_dedup: components of texts whose SimHash fingerprints over four-word shingles differ
+   in four bits or fewer; the smallest id of each stays.
 3. secrets: every secret is replaced by the name of its kind; no document goes.
 4. mixing: documents are repeated or left out so that the domains' tokens meet their
    targets; toxic text is never raised, what is certain to be clean stays at least once.
@@ -18,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nitrapanel.llm import jaccard, linecrf, mixing, packing, secrets
+from nitrapanel.llm import linecrf, mixing, packing, secrets, simhash
 from nitrapanel.llm.coder import tokenizer_path
 from nitrapanel.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-NEAR_WORDS = 5
+NEAR_WORDS, NEAR_BITS = 4, 4
 MOST_TOXIC = 0.005  # of the tokens; less where the table has less
 TOKENIZER = "word_bpe_49k.json"
 
@@ -39,15 +39,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component; rows without an id are kept as they are."""
-    found = jaccard.near_duplicates(docs, NEAR_WORDS)
-    # By row, not by id alone: a row goes only if another row of its own text's component stays.
-    stays = found.select("component.doc_id", "component.text_key").distinct()
-    rows = docs.withColumn("_text_key", jaccard.text_key())
-    rows = rows.join(stays, (rows["doc_id"].cast("long") == stays["doc_id"]) & (rows["_text_key"] == stays["text_key"]), "left_semi")
-    # Repeated rows of equal id and text: one of them.
-    rows = rows.dropDuplicates(["doc_id", "_text_key"]).select(*COLUMNS)
-    return rows.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    """One row of each component; rows without an id stay only where no row of theirs has one."""
+    return simhash.one_of_each(docs, NEAR_WORDS, NEAR_BITS).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
