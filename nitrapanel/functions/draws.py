@@ -38,10 +38,13 @@ def _step(s: Column) -> Column:
 
 
 def _mix(s: Column) -> Column:
-    for _ in range(ROUNDS):
-        s = _step(s)
-        s = s.bitwiseXOR(F.shiftright(s, 15))
-    return s
+    """The rounds as a fold over a constant array: each round's number is bound once, so the expression stays small."""
+
+    def folded(x: Column) -> Column:
+        x = _step(x)
+        return x.bitwiseXOR(F.shiftright(x, 15))
+
+    return F.aggregate(F.array(*map(F.lit, range(ROUNDS))), s.cast("bigint"), lambda acc, _: folded(acc))
 
 
 def uniform(counter: Column, seed: int) -> Column:
