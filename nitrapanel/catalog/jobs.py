@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +12,10 @@ from nitrapanel.catalog.aggregates import GRANGER_ONE, PRICE, check_results, cro
 from nitrapanel.catalog.base import case, cte
 from nitrapanel.catalog.sources_and_rows import N_LBS
 from nitrapanel.catalog.windows_and_scalars import ERF, TEXTS, exposure
-from nitrapanel.constants import FEATURE_COLS, HORIZONS, KEY, MEASURES, MONTH, TARGET_COLS
+from nitrapanel.constants import FEATURE_COLS, HORIZONS, KEY, MEASURES, MONTH, SEED, TARGET_COLS
 from nitrapanel.models import boosted
 from nitrapanel.models.baseline import last_value, latest_forecast
-from nitrapanel.models.metrics import evaluate
+from nitrapanel.models.metrics import evaluate, seed_spread
 from nitrapanel.models.splits import walk_forward
 from nitrapanel.operators import borrowers as bor
 from nitrapanel.operators import bundle as bun
@@ -24,12 +24,12 @@ from nitrapanel.operators.features import build_features, daily_features, latest
 from nitrapanel.operators.legacy import ingest_legacy
 from nitrapanel.operators.signal import generate_signal
 from nitrapanel.operators.simulate import bands, monte_carlo
+from nitrapanel.plans import refresh as job
 from nitrapanel.plans.forecast import bundle_from, panel_from, spine_panel
 from nitrapanel.session import materialize, scratch_path
 from nitrapanel.sources import tables as t
 
-# The sweep over seeds is registered with few and small models: see the README.
-SWEEP_SEEDS, SWEEP_ITERATIONS = 2, 5
+SWEEP_SEEDS = 20
 
 case(
     "k01_stage_priority",
@@ -126,28 +126,13 @@ def target_range(rows: DataFrame) -> DataFrame:
 def regressor(spark: SparkSession, sf: str) -> DataFrame:
     """Holdout predictions of all horizons, each by the model of its own training rows."""
     rows = stored_rows(spark, sf)
-
-    def one(h: int) -> DataFrame:
-        mine = boosted.assembled(rows.where(F.col("horizon") == h))
-        model = boosted.fit_regressor(mine.where("role = 'train'")).setPredictionCol("pred")
-        return model.transform(mine.where("role = 'test'")).select(KEY, MONTH, "horizon", "target", "pred")
-
-    made = quality.union_all(boosted.side_by_side(spark, [partial(one, h) for h in HORIZONS]))
-    ranged = made.join(target_range(rows.where("role = 'train'")), "horizon")
-    return ranged.withColumn("plausible", near(F.col("pred"), F.col("low"), F.col("high")))
+    made = boosted.holdout_scores(rows, [SEED]).join(target_range(rows.where("role = 'train'")), "horizon")
+    return made.withColumn("plausible", near(F.col("pred"), F.col("low"), F.col("high")))
 
 
 def classifier(spark: SparkSession, sf: str) -> DataFrame:
-    rows = stored_rows(spark, sf)
-
-    def one(h: int) -> DataFrame:
-        mine = boosted.assembled(rows.where(F.col("horizon") == h))
-        model = boosted.fit_classifier(mine.where("role = 'train'"))
-        scored = model.transform(mine.where("role = 'test'"))
-        return scored.select(KEY, MONTH, "horizon", "label", boosted.vector_to_array("probability")[1].alias("prob_up"))
-
-    made = quality.union_all(boosted.side_by_side(spark, [partial(one, h) for h in HORIZONS]))
-    return made.withColumn("is_probability", F.col("prob_up").between(0, 1))
+    made = boosted.holdout_scores(stored_rows(spark, sf), [SEED])
+    return made.withColumn("is_probability", F.col("prob_up").between(0, 1) & (F.col("label_pred") == (F.col("prob_up") > 0.5).cast("int")))
 
 
 HOLDOUT_ROWS = "SELECT *, TRUE AS plausible, TRUE AS is_probability FROM split WHERE role = 'test'"
@@ -214,14 +199,22 @@ def refit_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def saved_models(spark: SparkSession, sf: str) -> DataFrame:
-    """Predictions of the fitted models and of the same models saved and loaded."""
-    models, _, now = refit_models(spark, sf)
-    root = scratch_path(spark, "models")
-    boosted.save(models, root)
+    """What comes back with saved models: their predictions, inputs, windows and the metrics before the refit."""
+    f = c.stored_features(spark, sf)
+    trained = boosted.train(f, t.HOLDOUT_START, t.SHOCK_START)
+    root, now = scratch_path(spark, "models"), latest_complete(f)
+    boosted.save(trained.models, root, boosted.window_facts(f, t.HOLDOUT_START, t.SHOCK_START), trained.metrics)
+    saved = boosted.load_saved(spark, root)
     made = [f"{x}_t{h}" if x else f"t{h}" for h in HORIZONS for x in ("", "prob_up")]
-    fitted, loaded = (boosted.predict(m, now).select(KEY, MONTH, *made) for m in (models, boosted.load(spark, root)))
+    fitted, loaded = (boosted.predict(m, now).select(KEY, MONTH, *made) for m in (trained.models, saved.models))
     pairs = fitted.join(loaded.withColumnsRenamed({x: f"{x}_again" for x in made}), [KEY, MONTH])
-    return pairs.withColumn("saved_equal", reduce(Column.__and__, [F.col(x) == F.col(f"{x}_again") for x in made]))
+    sizes = [F.max(F.when((F.col("horizon") == h) & (F.col("bucket") == "preshock"), F.col("n"))).alias(f"n_preshock_t{h}") for h in HORIZONS]
+    told = {**saved.facts, "n_models": len(saved.models.ensembles), "n_trees": sum(len(m.value) for m in saved.models.ensembles.values())}
+    return (
+        pairs.withColumn("saved_equal", reduce(Column.__and__, [F.col(x) == F.col(f"{x}_again") for x in made]))
+        .join(saved.metrics.groupBy(KEY).agg(*sizes), KEY, "left")
+        .withColumns({name: F.lit(value) for name, value in told.items()})
+    )
 
 
 def long_predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,8 +233,15 @@ case(
 case(
     "k13_saved_models",
     saved_models,
-    "SELECT series, month, TRUE AS saved_equal FROM latest",
-    keep="series month saved_equal",
+    f"""SELECT l.series, l.month, TRUE AS saved_equal, 6 AS n_models, 600 AS n_trees, w.a AS training_window_start,
+          strftime(DATE '{t.HOLDOUT_START}' - INTERVAL 1 MONTH, '%Y-%m') AS training_window_end,
+          strftime(DATE '{t.HOLDOUT_START}', '%Y-%m') AS holdout_start, w.b AS holdout_end,
+          strftime(DATE '{t.SHOCK_START}', '%Y-%m') AS shock_target_start, n_preshock_t1, n_preshock_t2, n_preshock_t3
+        FROM latest l CROSS JOIN (SELECT strftime(min(month), '%Y-%m') AS a, strftime(max(month), '%Y-%m') AS b FROM features WHERE {c.TRAINABLE}) w
+        LEFT JOIN (SELECT series, {', '.join(f'max(n) FILTER (horizon = {h}) AS n_preshock_t{h}' for h in HORIZONS)}
+          FROM holdout_metrics WHERE bucket = 'preshock' GROUP BY 1) m ON m.series = l.series""",
+    keep="series month saved_equal training_window_start training_window_end holdout_start holdout_end shock_target_start",
+    ints="n_models n_trees n_preshock_t1 n_preshock_t2 n_preshock_t3",
 )
 case(
     "k14_predict",
@@ -596,11 +596,37 @@ case(
     ints="n_blocks",
     nums="mean_r min_r max_r",
 )
+
+
+def sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Spread of each metric over the seeds; the same from the stored figures of each seed."""
+    per_seed = materialize(boosted.sweep_metrics(c.stored_features(spark, sf), SWEEP_SEEDS, t.HOLDOUT_START, t.SHOCK_START), "sweep")
+    spread = seed_spread(per_seed, keys=[])
+    names = ("rmse", "dir_acc", "clf_acc")
+    inside = [F.col(f"{m}_mean").between(F.col(f"{m}_min") - 1e-9, F.col(f"{m}_max") + 1e-9) & (F.col(f"{m}_std") >= 0) for m in names]
+    per_seed.createOrReplaceTempView("sweep_scores")
+    again = spark.sql(
+        "SELECT horizon AS h, count(DISTINCT seed) AS seeds, min(n) AS n_test, max(n) AS n_most, "
+        + ", ".join(f"min({m}) AS a_{m}, max({m}) AS b_{m}, sum({m}) / count({m}) AS c_{m}, sqrt(avg({m} * {m}) - avg({m}) * avg({m})) AS d_{m}" for m in names)
+        + " FROM sweep_scores GROUP BY horizon"
+    )
+    equal = [
+        (F.col(f"a_{m}") == F.col(f"{m}_min")) & (F.col(f"b_{m}") == F.col(f"{m}_max"))
+        & (F.abs(F.col(f"c_{m}") - F.col(f"{m}_mean")) < 1e-6) & (F.abs(F.coalesce(F.nanvl(f"d_{m}", F.lit(0.0)), F.lit(0.0)) - F.col(f"{m}_std")) < 1e-3)
+        for m in names
+    ]
+    return spread.join(again, F.col("horizon") == F.col("h")).withColumns(
+        {"ordered": reduce(Column.__and__, inside), "as_recomputed": reduce(Column.__and__, equal) & (F.col("n_test") == F.col("n_most"))}
+    )
+
+
 case(
     "k27_seed_sweep",
-    lambda s, sf: boosted.seed_sweep(c.stored_features(s, sf), SWEEP_SEEDS, t.HOLDOUT_START, t.SHOCK_START, SWEEP_ITERATIONS),
-    f"SELECT DISTINCT horizon, {SWEEP_SEEDS} AS n_seeds FROM holdout_metrics WHERE bucket = 'preshock'",
-    ints="horizon n_seeds",
+    sweep,
+    f"""SELECT horizon, {SWEEP_SEEDS} AS n_seeds, {SWEEP_SEEDS} AS seeds, sum(n) AS n_test, TRUE AS ordered, TRUE AS as_recomputed
+        FROM holdout_metrics WHERE bucket = 'preshock' GROUP BY 1""",
+    keep="ordered as_recomputed",
+    ints="horizon n_seeds seeds n_test",
 )
 
 # Farms -----------------------------------------------------------------------------
@@ -798,3 +824,63 @@ case(
        SELECT name, status FROM checks UNION ALL SELECT name, status FROM fresh)""",
     keep="name status status_class",
 )
+
+# Refresh -----------------------------------------------------------------------------
+
+
+class Stopped(RuntimeError):
+    """Raised on purpose before a stage."""
+
+
+def refreshed(spark: SparkSession, sf: str) -> DataFrame:
+    """A refresh that is stopped before its training and called again: how often each stage began, and the tables that readers see."""
+    f, root = t.lazy_feeds(spark, sf), scratch_path(spark, "refresh")
+    registry = {name: (lambda df=df: df) for name, df in f._asdict().items()}
+    begun: list[str] = []
+
+    def before(stage: str) -> None:
+        begun.append(stage)
+        if begun.count("train") == 1 and stage == "train":
+            raise Stopped(stage)
+
+    settings = (None, t.HOLDOUT_START, t.SHOCK_START, t.HISTORY_START, boosted.ITERATIONS, lambda _: None)
+    try:
+        job.refresh(spark, registry, root, *settings, before=before)
+    except job.StepFailed as error:
+        stopped = isinstance(error.__cause__, Stopped) and not job.published_runs(spark, root)
+    job.refresh(spark, registry, root, *settings, before=before)
+    run = job.published(spark, root)
+    reads = {
+        "land": {name: run.read(name) for name in job.FEED_TABLES},
+        "stage": {name: run.read(name) for name in ("panel_rows", "panel")},
+        "features": {"feature_store": run.read("feature_store")},
+        "train": {"metrics": run.read("metrics"), "cv_residuals": run.read("cv_residuals"), "models": spark.read.parquet(f"{run.folder_of('models')}/trees")},
+        "bundle": {"bundle": spark.read.text(run.folder_of("bundle"))},
+    }
+    lines = [
+        df.agg(F.count("*").alias("n_rows")).select(
+            F.lit(stage).alias("stage"), F.lit(begun.count(stage)).alias("begun"), F.lit(name).alias("table_name"),
+            F.lit(run.tables()[name]).alias("version"), F.lit(stopped).alias("unseen_when_stopped"), "n_rows",
+        )
+        for stage, tables in reads.items() for name, df in tables.items()
+    ]
+    return quality.union_all(lines)
+
+
+REFRESH_ROWS = {
+    ("land", "daily"): "spot_daily", ("land", "backbone"): "backbone", ("land", "weekly_bcf"): "weekly",
+    ("land", "storage_backbone"): "storage_backbone", ("land", "sheet"): "sheet", ("stage", "panel_rows"): "panel",
+    ("stage", "panel"): "spine", ("features", "feature_store"): "features", ("train", "metrics"): "holdout_metrics",
+    ("train", "cv_residuals"): f"(SELECT DISTINCT series, horizon FROM ({FOLD_ROWS}) WHERE fold_role = 'valid')",
+    ("train", "models"): "range(600)", ("bundle", "bundle"): "latest",
+}
+case(
+    "k37_refresh",
+    refreshed,
+    " UNION ALL ".join(
+        f"SELECT '{stage}' AS stage, {2 if stage == 'train' else 1} AS begun, '{name}' AS table_name, 1 AS version, TRUE AS unseen_when_stopped, count(*) AS n_rows FROM {source}"
+        for (stage, name), source in REFRESH_ROWS.items()
+    ),
+    keep="stage table_name unseen_when_stopped",
+    ints="begun version n_rows",
+)

@@ -19,7 +19,8 @@ from nitrapanel.session import materialize, scratch_path
 from nitrapanel.sources import feeds as readers
 from nitrapanel.sources import landing
 from nitrapanel.sources import tables as t
-from nitrapanel.sources.resolve import publish, resolve
+from nitrapanel.sources.resolve import known_rows, publish, resolve
+from nitrapanel.sources.versions import read_version
 
 NUM_PANEL = " ".join(MEASURES)
 
@@ -155,10 +156,20 @@ case(
 )
 
 
+RECENT = "1996-01-01"
+
+
 def land_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Two landings of three tables, the second of recent rows only; the first is still read after the second."""
     f = t.landed_feeds(spark, sf)
     named = {"daily": f.daily, "backbone": f.backbone, "weekly": f.weekly_bcf}
-    return quality.union_all([landing.report(name, df) for name, df in named.items()])
+    root = scratch_path(spark, "raw")
+    before = {name: landing.land_raw(df, root, name) for name, df in named.items()}
+    for name, df in named.items():
+        landing.land_raw(df.where(F.col("period") >= F.lit(RECENT).cast("date")), root, name)
+    after = {name: read_version(spark, root, name) for name in named}
+    lines = [landing.report(name, df).withColumn("version", F.lit(v)) for v, landed in ((1, before), (2, after)) for name, df in landed.items()]
+    return quality.union_all(lines)
 
 
 def report_sql(names: dict[str, str]) -> str:
@@ -171,9 +182,10 @@ def report_sql(names: dict[str, str]) -> str:
 case(
     "c08_land_report",
     land_report,
-    report_sql({"daily": "spot_daily", "backbone": "backbone", "weekly": "weekly"}),
+    f"""SELECT 1 AS version, * FROM ({report_sql({"daily": "spot_daily", "backbone": "backbone", "weekly": "weekly"})})
+        UNION ALL SELECT 2, * FROM ({report_sql({n: f"(SELECT * FROM {x} WHERE period >= DATE '{RECENT}')" for n, x in (("daily", "spot_daily"), ("backbone", "backbone"), ("weekly", "weekly"))})})""",
     keep="table_name first_period last_period",
-    ints="n_rows",
+    ints="version n_rows",
 )
 
 
@@ -235,11 +247,29 @@ case(
     keep="series period picked",
     nums="value",
 )
+
+def both_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """A model published as a view and as a table; of the table the catalog knows the rows.
+
+    The table is published twice, first with half of the prices: the name shows the later version.
+    """
+    days, root = materialize(t.order_days(spark, sf), "order_days"), scratch_path(spark, "published")
+    table = f"spot_daily_{root[-8:]}"
+    publish(days.where("value > 100"), table, root)
+    made = {"view": publish(days, "spot_daily_view"), "table": publish(days, table, root)}
+    known = {"view": None, "table": known_rows(spark, table)}
+    return quality.union_all(
+        [df.withColumn("kind", F.lit(kind)).withColumn("known", F.lit(known[kind]).cast("long")) for kind, df in made.items()]
+    )
+
+
 case(
     "c13_published_view",
-    lambda s, sf: publish(t.order_days(s, sf), "spot_daily_view"),
-    "SELECT series, period, value FROM spot_daily",
-    keep="series period",
+    both_kinds,
+    """SELECT kind, series, period, value, CASE WHEN kind = 'table' THEN n END AS known FROM spot_daily
+       CROSS JOIN (SELECT count(*) AS n FROM spot_daily) CROSS JOIN (SELECT unnest(['view', 'table']) AS kind)""",
+    keep="kind series period",
+    ints="known",
     nums="value",
 )
 

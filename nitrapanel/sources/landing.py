@@ -1,4 +1,4 @@
-"""Landing raw feeds as Parquet with provenance, and reading tables back."""
+"""Landing raw feeds as versions of Parquet tables with provenance, and reading tables back."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nitrapanel.constants import KEY
+from nitrapanel.sources.versions import read_version, write_version
 
 
 def stamp(feed: DataFrame, **provenance: str) -> DataFrame:
@@ -22,15 +23,15 @@ def table_path(root: str, table: str) -> str:
 
 
 def land_raw(feed: DataFrame, root: str, table: str, **provenance: str) -> DataFrame:
-    """Rewrite one landed table in full; an empty feed is refused.
+    """Land one table in full as its next version; an empty feed is refused.
 
-    Feeds are landed as read, so the emptiness test stops at the first row.
+    Earlier versions stay as they are for whoever reads them.  Feeds are landed as read,
+    so the emptiness test stops at the first row.
     """
     if feed.isEmpty():
         raise RuntimeError(f"{table}: feed has 0 rows, refusing to write an empty table")
-    path = table_path(root, table)
-    stamp(feed, **provenance).write.mode("overwrite").parquet(path)
-    return feed.sparkSession.read.parquet(path)
+    version = write_version(stamp(feed, **provenance), root, table, {"provenance": provenance})
+    return read_version(feed.sparkSession, root, table, version)
 
 
 def report(table: str, landed: DataFrame, period: str = "period") -> DataFrame:

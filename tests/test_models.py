@@ -7,7 +7,7 @@ import pytest
 from conftest import months, panel_rows, rows_of, PANEL
 from pyspark.sql import functions as F
 
-from nitrapanel.constants import FEATURE_COLS, HOLDOUT_START, HORIZONS, SHOCK_TARGET_START
+from nitrapanel.constants import HOLDOUT_START, HORIZONS, SHOCK_TARGET_START
 from nitrapanel.models import baseline, boosted, metrics, splits
 from nitrapanel.operators.features import build_features, latest_complete
 
@@ -98,22 +98,68 @@ def features(spark):
     return build_features(spark.createDataFrame(rows, PANEL)).cache()
 
 
-def test_boosted_training_and_saved_models(spark, features, tmp_path):
-    got = boosted.train(features, "2021-06-01", "2023-01-01", iterations=2)
-    report = {(r["series"], r["horizon"], r["bucket"]) for r in rows_of(got.metrics)}
+@pytest.fixture(scope="module")
+def trained(features):
+    return boosted.train(features, "2021-06-01", "2023-01-01", iterations=4)
+
+
+def test_boosted_training(trained, features):
+    report = {(r["series"], r["horizon"], r["bucket"]) for r in rows_of(trained.metrics)}
     assert ("a", 3, "preshock") in report and ("b", 1, "full") in report
-    cv = rows_of(got.cv)
+    cv = rows_of(trained.cv)
     assert len(cv) == 6 and all(r["cv_residual_std"] > 0 for r in cv)
-    now = latest_complete(features)
-    want = rows_of(boosted.predict(got.models, now), "series")
+    want = rows_of(boosted.predict(trained.models, latest_complete(features)), "series")
     assert all(0 <= r["prob_up_t3"] <= 1 and 200 < r["t1"] < 800 for r in want)
-    boosted.save(got.models, str(tmp_path / "m"))
-    assert rows_of(boosted.predict(boosted.load(spark, str(tmp_path / "m")), now), "series") == want
-    boosted.save(boosted.Models(got.models.regressors, {}), str(tmp_path / "n"))
-    bare = boosted.load(spark, str(tmp_path / "n"))
-    assert bare.classifiers == {}
-    assert "prob_up_t1" not in boosted.predict(bare, now).columns
-    assert got.models.regressors[1].numFeatures == len(FEATURE_COLS) + 1
+
+
+def test_saved_models_come_back_with_their_contract(spark, trained, features, tmp_path, monkeypatch):
+    root, now = str(tmp_path / "m"), latest_complete(features)
+    facts = boosted.window_facts(features, "2021-06-01", "2023-01-01")
+    boosted.save(trained.models, root, facts, trained.metrics)
+    saved = boosted.load_saved(spark, root)
+    assert rows_of(boosted.predict(saved.models, now), "series") == rows_of(boosted.predict(trained.models, now), "series")
+    assert saved.facts == facts and facts["training_window_end"] == "2021-05" and facts["holdout_start"] == "2021-06"
+    key = ("series", "horizon", "bucket")
+    assert rows_of(saved.metrics, *key) == rows_of(trained.metrics, *key)
+    bare = str(tmp_path / "n")
+    boosted.save(trained.models.without_classifiers(), bare)
+    assert "prob_up_t1" not in boosted.predict(boosted.load(spark, bare), now).columns
+    # Another name, or another order, is another contract.
+    renamed = ["gas_spot", *boosted.INPUTS[1:]]
+    for inputs in (renamed, boosted.INPUTS[::-1]):
+        monkeypatch.setattr(boosted, "INPUTS", inputs)
+        with pytest.raises(boosted.ContractBroken):
+            boosted.load(spark, root)
+    monkeypatch.undo()
+    # Trees that the contract does not name.
+    boosted.save(trained.models, bare)
+    spark.read.parquet(f"{root}/trees").where("name <> 't2'").write.mode("overwrite").parquet(f"{bare}/trees")
+    with pytest.raises(boosted.ContractBroken):
+        boosted.load(spark, bare)
+
+
+def test_a_series_without_training_rows_takes_pooled_figures(trained, features):
+    now = latest_complete(features).where("series = 'a'")
+    young = rows_of(boosted.predict(trained.models, now.withColumn("series", F.lit("unknown"))))
+    assert len(young) == 1 and 200 < young[0]["t1"] < 800
+
+
+def jobs_of(spark, run):
+    """Number of Spark jobs that ``run`` starts."""
+    tracker, group = spark.sparkContext.statusTracker(), f"g{np.random.randint(1 << 30)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+        return len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_jobs_do_not_grow_with_horizons_and_seeds(spark, features, monkeypatch):
+    rows = boosted.training_rows(features, "2021-06-01")
+    many = jobs_of(spark, lambda: boosted.holdout_scores(rows, [1, 2, 3], 2))
+    monkeypatch.setattr(boosted, "HORIZONS", (1,))
+    assert jobs_of(spark, lambda: boosted.holdout_scores(rows.where("horizon = 1"), [1], 2)) == many
 
 
 def test_labels_follow_the_price_move(features):

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from nitrapanel.operators import bundle
 from nitrapanel.plans.refresh import StepFailed, run_steps
-from nitrapanel.sources import feeds, landing
-from nitrapanel.sources.resolve import publish, resolve
+from nitrapanel.sources import feeds, landing, versions
+from nitrapanel.sources.resolve import known_rows, publish, resolve
 
 D = dt.date
 
@@ -58,20 +58,39 @@ def feed(spark, n):
     return spark.createDataFrame([("a", D(2020, 1, 1 + i), float(i)) for i in range(n)], "series string, period date, value double")
 
 
-def test_landing_rewrites_stamps_and_refuses_empty(spark, tmp_path):
+def test_landing_adds_versions_and_refuses_empty(spark, tmp_path):
     root = str(tmp_path)
     registry = {"one": lambda: feed(spark, 3), "two": lambda: feed(spark, 2)}
     got = rows_of(landing.land_all(registry, root, only={"two"}, provenance={"two": {"source": "api"}}))
     assert [(r["table_name"], r["n_rows"], r["last_period"]) for r in got] == [("two", 2, D(2020, 1, 2))]
-    landed = spark.read.parquet(landing.table_path(root, "two"))
-    assert landed.first()["source"] == "api" and "loaded_at" in landed.columns
+    first = versions.read_version(spark, root, "two")
+    assert first.first()["source"] == "api" and "loaded_at" in first.columns
     landing.land_raw(feed(spark, 1), root, "two")
-    assert spark.read.parquet(landing.table_path(root, "two")).count() == 1
+    assert versions.read_version(spark, root, "two").count() == 1
+    # Whoever reads the first version, by its number or since before, still does.
+    assert first.count() == versions.read_version(spark, root, "two", 1).count() == 2
     with pytest.raises(RuntimeError, match="refusing"):
         landing.land_raw(feed(spark, 1).where("false"), root, "two")
-    assert spark.read.parquet(landing.table_path(root, "two")).count() == 1
+    assert versions.versions(spark, root, "two") == [1, 2]
     with pytest.raises(ValueError):
         landing.land_all(registry, root, only={"other"})
+    with pytest.raises(ValueError):
+        versions.read_version(spark, root, "one")
+
+
+def test_a_torn_landing_is_not_seen(spark, tmp_path):
+    root = str(tmp_path)
+    landing.land_raw(feed(spark, 3), root, "t")
+    folder = versions.new_folder(root, "t")
+    feed(spark, 9).write.parquet(folder)  # written, never given a number
+    assert versions.read_version(spark, root, "t").count() == 3
+    assert versions.publish_folder(spark, root, "t", folder) == 2 and versions.read_version(spark, root, "t").count() == 9
+    landing.land_raw(feed(spark, 4), root, "t")
+    assert versions.drop_versions(spark, root, "t", keep=2) == [1]
+    assert versions.versions(spark, root, "t") == [2, 3] and versions.read_version(spark, root, "t", 2).count() == 9
+    assert len(versions.names(spark, f"{root}/t/data")) == 2
+    assert not versions.commit(spark, f"{root}/t/_manifests/00000003.json", {"version": 3, "folder": "data/none"})
+    assert versions.read_version(spark, root, "t").count() == 4
 
 
 def test_scan_turns_nan_into_null(spark, tmp_path):
@@ -96,10 +115,17 @@ def test_source_choice(spark, tmp_path):
 
 
 def test_view_and_stored_model(spark, tmp_path):
+    root = str(tmp_path)
     publish(feed(spark, 3), "model_view")
-    publish(feed(spark, 3), "model_table", str(tmp_path / "m"))
-    assert spark.table("model_view").count() == spark.table("model_table").count() == 3
-    assert spark.read.parquet(str(tmp_path / "m")).count() == 3
+    first = publish(feed(spark, 3), "model_table", root)
+    assert spark.table("model_view").count() == first.count() == 3
+    assert known_rows(spark, "model_view") is None and known_rows(spark, "model_table") == 3
+    publish(feed(spark, 5), "model_table", root)
+    assert spark.table("model_table").count() == known_rows(spark, "model_table") == 5
+    assert versions.read_version(spark, root, "model_table", 1).count() == 3
+    with pytest.raises(ValueError):
+        publish(feed(spark, 5).drop("value"), "model_table", root)
+    spark.sql("DROP TABLE model_table")
 
 
 def test_feature_store_round_trip(spark, panel, tmp_path):
