@@ -509,22 +509,64 @@ case(
     nums="max_abs_diff",
 )
 EXPECTED = {"urea": "2001-12-01", "dap": "1999-01-01"}
+# Extra rows on the right side explain shifts up to these.
+MOST_SHIFT = {"storage_mmcf": 1e9, "ng_spot": 1e-3}
+TAGGED = f"""SELECT *, CASE WHEN diff_cells = 0 THEN 'OK' WHEN col_name = 'urea' AND last_month < DATE '2001-12-01' THEN 'EXPECTED'
+    WHEN col_name = 'dap' AND last_month < DATE '1999-01-01' THEN 'EXPECTED'
+    {' '.join(f"WHEN col_name = '{x}' AND only_right > 0 AND max_abs_diff < {limit!r} THEN 'EXPECTED'" for x, limit in MOST_SHIFT.items())}
+    ELSE 'UNEXPLAINED' END AS tag FROM ({PARITY})"""
 case(
     "k23_parity_classified",
-    lambda s, sf: quality.parity_classified(*two_panels(s, sf), MEASURES, EXPECTED).withColumnRenamed("column", "col_name"),
-    f"""SELECT *, CASE WHEN diff_cells = 0 THEN 'OK' WHEN col_name = 'urea' AND last_month < DATE '2001-12-01' THEN 'EXPECTED'
-        WHEN col_name = 'dap' AND last_month < DATE '1999-01-01' THEN 'EXPECTED' ELSE 'UNEXPLAINED' END AS tag FROM ({PARITY})""",
+    lambda s, sf: quality.parity_classified(*two_panels(s, sf), MEASURES, EXPECTED, MOST_SHIFT).withColumnRenamed("column", "col_name"),
+    TAGGED,
     keep="col_name first_month last_month tag",
     ints=PARITY_COLS,
     nums="max_abs_diff",
 )
+EXTRA = """SELECT a.series, a.month, 'right' AS side, CASE WHEN a.urea IS NULL AND a.dap IS NULL THEN 'EXPECTED' ELSE 'UNEXPECTED' END AS verdict
+    FROM panel a WHERE NOT EXISTS (SELECT 1 FROM old_panel b WHERE b.series = a.series AND b.month = a.month)
+    UNION ALL SELECT b.series, b.month, 'left', 'UNEXPECTED' FROM old_panel b
+    WHERE NOT EXISTS (SELECT 1 FROM panel a WHERE b.series = a.series AND b.month = a.month)"""
+
+
+def gates(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate over the two panels, over a panel and itself, and over panels whose columns differ in order."""
+    new, old = two_panels(spark, sf)
+    pairs = {"paths": (old, new), "same": (new, new), "order": (new, new.select(*reversed(new.columns)))}
+    made = [quality.parity_gate(*pair, MEASURES, EXPECTED, MOST_SHIFT).withColumn("pair", F.lit(name)) for name, pair in pairs.items()]
+    return quality.union_all(made)
+
+
+# The same comparison with the older path on the left.
+case(
+    "k23_gate",
+    gates,
+    f"""SELECT 'paths' AS pair, TRUE AS columns_agree, a.n AS n_unexplained, b.n AS n_unexpected,
+          CASE WHEN a.n + b.n = 0 THEN 'PASS' ELSE 'UNEXPLAINED' END AS verdict
+        FROM (SELECT count(*) AS n FROM ({TAGGED.replace('only_right > 0', 'only_left > 0')}) WHERE tag = 'UNEXPLAINED') a
+        CROSS JOIN (SELECT count(*) AS n FROM ({EXTRA}) WHERE verdict = 'UNEXPECTED') b
+        UNION ALL SELECT 'same', TRUE, 0, 0, 'PASS' UNION ALL SELECT 'order', FALSE, NULL, 0, 'COLUMNS DIFFER'""",
+    keep="pair columns_agree verdict",
+    ints="n_unexplained n_unexpected",
+)
+case(
+    "k23_column_list",
+    lambda s, sf: quality.column_list(c.panel(s, sf).drop("dap"), c.panel(s, sf).select(MONTH, KEY, *MEASURES[1:], F.lit(1).alias("extra"))),
+    "SELECT unnest([" + ", ".join(f"'{x}'" for x in [KEY, MONTH, *[m for m in MEASURES if m != "dap"], "dap", "extra"])
+    + "]) AS col_name, unnest([" + ", ".join(
+        str([KEY, MONTH, *[m for m in MEASURES if m != "dap"]].index(x) + 1) if x not in ("dap", "extra") else "NULL"
+        for x in [KEY, MONTH, *[m for m in MEASURES if m != "dap"], "dap", "extra"]
+    ) + "]) AS left_at, unnest([" + ", ".join(
+        str([MONTH, KEY, *MEASURES[1:], "extra"].index(x) + 1) if x in [MONTH, KEY, *MEASURES[1:], "extra"] else "NULL"
+        for x in [KEY, MONTH, *[m for m in MEASURES if m != "dap"], "dap", "extra"]
+    ) + "]) AS right_at",
+    keep="col_name",
+    ints="left_at right_at",
+)
 case(
     "k23_extra_rows",
     lambda s, sf: quality.extra_rows(*reversed(two_panels(s, sf))),
-    """SELECT a.series, a.month, 'right' AS side, CASE WHEN a.urea IS NULL AND a.dap IS NULL THEN 'EXPECTED' ELSE 'UNEXPECTED' END AS verdict
-       FROM panel a WHERE NOT EXISTS (SELECT 1 FROM old_panel b WHERE b.series = a.series AND b.month = a.month)
-       UNION ALL SELECT b.series, b.month, 'left', 'UNEXPECTED' FROM old_panel b
-       WHERE NOT EXISTS (SELECT 1 FROM panel a WHERE b.series = a.series AND b.month = a.month)""",
+    EXTRA,
     keep="series month side verdict",
 )
 
@@ -775,15 +817,30 @@ case(
     nums="farm_area_acres current_ltv_ratio fertilizer_used_tons",
     digits=2,
 )
+
+
+def stress_of_accounts(spark: SparkSession, sf: str) -> DataFrame:
+    accounts = bor.from_accounts(*[t.table(spark, sf, name) for name in ("customer", "orders", "events")])
+    return bor.stress_score(accounts, F.col("drift"))
+
+
+SEGMENT_SQL = " ".join(f"WHEN '{k}' THEN {bor.MULTIPLIER[v]!r}e0" for k, v in bor.SEGMENT_CROPS.items())
 case(
     "k34_stress_score",
-    lambda s, sf: bor.stress_score(borrower_rows(s, sf), bor.stress_noise(F.col("id"))),
+    stress_of_accounts,
     f"""SELECT *, CAST(stress_probability > 0.65 AS INTEGER) AS requires_intervention FROM (
         SELECT *, least(greatest(current_ltv_ratio * 0.4e0 + mult / 2e0 * 0.4e0
           + CASE WHEN months_since_delinquency <> -1 THEN 12e0 / (months_since_delinquency + 1) ELSE 0 END * 0.2e0
-          + 0.1e0 * {c.normal('id', 52)}, 0), 1) AS stress_probability FROM borrowers)""",
-    ints="id requires_intervention",
-    nums="stress_probability",
+          + drift, 0), 1) AS stress_probability FROM (
+          SELECT c_custkey AS id, CASE c_mktsegment {SEGMENT_SQL} END AS mult,
+            least(greatest((10000e0 - c_acctbal) / 11000e0, 0), 1) AS current_ltv_ratio,
+            coalesce(CAST(floor(date_diff('day', CAST(last_order AS DATE), newest) / 30) AS INTEGER), -1) AS months_since_delinquency,
+            coalesce(errors, 0.2e0) - 0.2e0 AS drift
+          FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_order FROM orders GROUP BY 1) o ON o_custkey = c_custkey
+          LEFT JOIN (SELECT user_id, avg(CAST(event_type = 'error' AS DOUBLE)) AS errors FROM events GROUP BY 1) e ON user_id = c_custkey
+          CROSS JOIN (SELECT CAST(max(o_orderdate) AS DATE) AS newest FROM orders)))""",
+    ints="id months_since_delinquency requires_intervention",
+    nums="current_ltv_ratio stress_probability",
 )
 # The features are computed again over a spine whose last urea price is raised.
 cte(

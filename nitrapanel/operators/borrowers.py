@@ -1,7 +1,7 @@
-"""Synthetic borrower attributes and their stress score.
+"""Borrower attributes, drawn or taken from accounts, and their stress score.
 
-Attributes are drawn from the row number alone, so any split of the rows over tasks
-gives the same borrowers.
+Drawn attributes follow from the row number alone, so any split of the rows over tasks
+gives the same borrowers.  ``from_accounts`` takes them from customers, orders and events.
 """
 
 from __future__ import annotations
@@ -76,6 +76,37 @@ def borrowers(ids: DataFrame, row: str = "id", seed: int = SEED) -> DataFrame:
     return made.withColumn("fertilizer_used_tons", tons).drop("rate")
 
 
+# What a customer of each segment grows.
+SEGMENT_CROPS = {"AUTOMOBILE": "Maize", "BUILDING": "Cotton", "FURNITURE": "Rice", "HOUSEHOLD": "Wheat", "MACHINERY": "Soybean"}
+LEAST_BALANCE, MOST_BALANCE = -1_000.0, 10_000.0
+USUAL_ERRORS = 0.2  # share of a customer's events
+
+
+def from_accounts(customers: DataFrame, orders: DataFrame, events: DataFrame) -> DataFrame:
+    """One borrower per customer row, with ``id`` and ``drift`` beside the score's inputs.
+
+    The crop follows from the segment, the loan-to-value ratio from the balance, months
+    since the last order stand for those since a delinquency (-1 without orders), and the
+    share of errors among the customer's events shifts the score.  Orders and events are
+    reduced to one row a customer before they meet the customers.
+    """
+    newest = orders.agg(F.max("o_orderdate")).first()[0]
+    last = orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_order"))
+    errors = events.groupBy("user_id").agg(F.avg((F.col("event_type") == "error").cast("double")).alias("errors"))
+    crop = F.create_map(*[F.lit(x) for pair in SEGMENT_CROPS.items() for x in pair])
+    balance = (F.lit(MOST_BALANCE) - F.col("c_acctbal")) / F.lit(MOST_BALANCE - LEAST_BALANCE)
+    months = F.floor(F.datediff(F.lit(newest), F.col("last_order")) / 30).cast("int")
+    joined = customers.join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
+    joined = joined.join(errors, F.col("c_custkey") == F.col("user_id"), "left")
+    return joined.select(
+        F.col("c_custkey").alias("id"),
+        F.try_element_at(crop, F.col("c_mktsegment")).alias("crop_type"),
+        clip(balance, 0, 1).alias("current_ltv_ratio"),
+        F.coalesce(months, F.lit(-1)).alias("months_since_delinquency"),
+        (F.coalesce("errors", F.lit(USUAL_ERRORS)) - F.lit(USUAL_ERRORS)).alias("drift"),
+    )
+
+
 def stress_noise(row: Column, seed: int = SEED) -> Column:
     return normal(row, seed + 10) * F.lit(NOISE_STD)
 

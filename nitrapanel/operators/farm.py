@@ -23,8 +23,7 @@ from nitrapanel.functions.stats import chance_above
 from nitrapanel.operators.simulate import bands
 
 CROP_KEY = ["user_id", "crop_key", "season", "year"]
-# Pieces over which the additions of each crop row are dealt.
-SALTS = 32
+BLOCK, SPAN = 1_024, 4_096  # sequence numbers of a block of changes, blocks of a span
 GAS_ALERT = 0.05
 BADGE_BREAK = 70
 
@@ -47,6 +46,56 @@ def urea_mt(n_lbs: Column) -> Column:
 # Crop state ------------------------------------------------------------------
 
 
+# What a run of changes does to a crop row: whether it deletes it, and what it holds after the
+# last delete.  ``live`` says that the last set meets a row that the run itself has created.
+EFFECT = (
+    "struct<reset:boolean,crop_name:string,created:{seq},added:double,"
+    "is_set:boolean,live:boolean,set_acres:double,added_after:double>"
+)
+
+
+def _effect(like: Column, kind: str) -> Column:
+    return like.cast(EFFECT.format(seq=kind))
+
+
+def _plus(total: Column, acres: Column) -> Column:
+    """Sum that ignores what is missing."""
+    return F.when(acres.isNull(), total).otherwise(F.coalesce(total, F.lit(0.0)) + acres)
+
+
+def _made(*values: Column, kind: str) -> Column:
+    names = ("reset", "crop_name", "created", "added", "is_set", "live", "set_acres", "added_after")
+    return _effect(F.struct(*[v.alias(n) for n, v in zip(names, values)]), kind)
+
+
+def _change(before: Column, e: Column, kind: str) -> Column:
+    """Effect of a run followed by one change."""
+    none, no = F.lit(None), F.lit(False)
+    gone = _made(F.lit(True), none, none, none, no, no, none, none, kind=kind)
+    more = _made(
+        before["reset"], F.coalesce(before["crop_name"], e["crop_name"]), F.coalesce(before["created"], e["seq"]),
+        _plus(before["added"], e["acres"]), before["is_set"], before["live"], before["set_acres"],
+        F.when(before["is_set"], _plus(before["added_after"], e["acres"])), kind=kind,
+    )
+    put = _made(
+        before["reset"], before["crop_name"], before["created"], before["added"], F.lit(True), before["created"].isNotNull(),
+        e["acres"], none, kind=kind,
+    )
+    action = e["action"]
+    return F.when(action == "delete", gone).when(action == "add", more).when(action == "set", put).otherwise(before)
+
+
+def _then(a: Column, b: Column, kind: str) -> Column:
+    """Effect of run ``a`` followed by run ``b``; this is associative."""
+    kept = F.when(b["is_set"], b["added_after"]).otherwise(F.when(a["is_set"], _plus(a["added_after"], b["added"])))
+    joined = _made(
+        a["reset"], F.coalesce(a["crop_name"], b["crop_name"]), F.coalesce(a["created"], b["created"]), _plus(a["added"], b["added"]),
+        a["is_set"] | b["is_set"], F.when(b["is_set"], b["live"] | a["created"].isNotNull()).otherwise(a["live"]),
+        F.when(b["is_set"], b["set_acres"]).otherwise(a["set_acres"]), kept, kind=kind,
+    )
+    return F.when(b["reset"], b).otherwise(joined)
+
+
 def crop_state(log: DataFrame) -> DataFrame:
     """Fold a change log (user_id, crop_name, season, year, seq, action, acres).
 
@@ -54,58 +103,30 @@ def crop_state(log: DataFrame) -> DataFrame:
     first spelling stays), ``set`` replaces the acres of an existing row, ``delete``
     removes it. ``seq`` is a number; the result carries the one that created the row.
 
-    One aggregation finds the last delete and set of each row, a second one sums the
-    additions after them. The additions of every row are dealt over ``SALTS`` pieces and
-    its one fact row is repeated for each, so a row with a large share of the log meets
-    its facts in many tasks; the sums are merged map-side.
+    The log is read and moved once: the changes of a row are cut into blocks of ``BLOCK``
+    sequence numbers, each block is reduced to its effect, and effects, which may be joined
+    in any grouping that keeps their order, meet by spans of blocks and then by row. So a
+    row with a large share of the log is spread over its blocks, and no task holds more
+    changes of it than a block has numbers.
     """
-    keyed = log.withColumn("crop_key", F.lower("crop_name"))
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    adds = keyed.where(F.col("action") == "add").withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int"))
-    return _fold_adds(adds.join(_crop_facts(keyed).withColumn("salt", salt), [*CROP_KEY, "salt"]))
-
-
-def _crop_facts(keyed: DataFrame) -> DataFrame:
-    """Per crop row: last delete, last set with its acres."""
-    seq, action = F.col("seq"), F.col("action")
-    is_set = action == "set"
-    facts = keyed.groupBy(*CROP_KEY).agg(
-        F.max(F.when(action == "delete", seq)).alias("deleted"),
-        F.max(F.when(is_set, seq)).alias("last_set"),
-        F.max_by(F.when(is_set, F.col("acres")), F.when(is_set, seq)).alias("set_acres"),
-        F.max(action == "add").alias("added_to"),
-    )
-    return facts.where("added_to").drop("added_to")
-
-
-def _fold_adds(adds: DataFrame) -> DataFrame:
-    seq = F.col("seq")
-    alive = F.col("deleted").isNull() | (seq > F.col("deleted"))
-    after_set = F.col("last_set").isNotNull() & (seq > F.col("last_set"))
-    # Per spelling first: all buffers are numbers there, so the log is hash-aggregated.
-    per_spelling = (
-        adds.where(alive)
-        .groupBy(*CROP_KEY, "crop_name")
-        .agg(
-            F.min(seq).alias("created"),
-            F.sum("acres").alias("added"),
-            F.sum(F.when(after_set, F.col("acres"))).alias("added_after_set"),
-            F.max("last_set").alias("last_set"),
-            F.max("set_acres").alias("set_acres"),
-        )
-    )
-    folded = per_spelling.groupBy(*CROP_KEY).agg(
-        F.min_by("crop_name", "created").alias("crop_name"),
-        F.min("created").alias("created"),
-        F.sum("added").alias("added"),
-        F.sum("added_after_set").alias("added_after_set"),
-        F.max("last_set").alias("last_set"),
-        F.max("set_acres").alias("set_acres"),
-    )
+    kind = log.schema["seq"].dataType.simpleString()
+    keyed = log.withColumn("crop_key", F.lower("crop_name")).withColumn("block", F.floor(F.col("seq") / BLOCK))
+    nothing = _made(F.lit(False), *[F.lit(None)] * 3, F.lit(False), F.lit(False), *[F.lit(None)] * 2, kind=kind)
+    event = F.struct("seq", "action", F.col("acres").cast("double").alias("acres"), "crop_name")
+    fold = F.aggregate(F.sort_array(F.collect_list(event)), nothing, lambda s, e: _change(s, e, kind))
+    effects = keyed.groupBy(*CROP_KEY, "block").agg(fold.alias("effect"))
+    for span in (SPAN, None):
+        joined = F.aggregate(F.sort_array(F.collect_list(F.struct("block", "effect"))), nothing, lambda s, e: _then(s, e["effect"], kind))
+        if span:
+            effects = effects.groupBy(*CROP_KEY, F.floor(F.col("block") / span).alias("span")).agg(joined.alias("effect"))
+            effects = effects.withColumnRenamed("span", "block")
+        else:
+            effects = effects.groupBy(*CROP_KEY).agg(joined.alias("effect"))
+    e = F.col("effect")
     # A set before the row exists touches nothing.
-    replaced = F.col("last_set").isNotNull() & (F.col("last_set") > F.col("created"))
-    acres = F.when(replaced, F.col("set_acres") + F.coalesce("added_after_set", F.lit(0.0))).otherwise(F.col("added"))
-    return folded.select("user_id", "crop_name", "season", "year", acres.alias("acres"), "created")
+    acres = F.when(e["is_set"] & e["live"], e["set_acres"] + F.coalesce(e["added_after"], F.lit(0.0))).otherwise(e["added"])
+    out = effects.where(e["created"].isNotNull())
+    return out.select("user_id", e["crop_name"].alias("crop_name"), "season", "year", acres.alias("acres"), e["created"].alias("created"))
 
 
 def select_crops(crops: DataFrame, seasons: list[str], year: int) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,18 +105,51 @@ def rolling_corr(panel: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
 GRANGER_SCHEMA = "series string, lag int, f_stat double, p_value double, df_num int, df_denom int"
 
 
+def lag_sums(pairs: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
+    """Per series: sums of products of the centred series with themselves and each other at every lag.
+
+    One window and one aggregation.  ``yy[d]`` is the sum of y(t) y(t - d), likewise ``xx``,
+    ``yx`` (y leads x) and ``xy``; ``head`` and ``tail`` hold the ``max_lag`` first and last
+    (position, y, x), by which a sum over fewer months differs.  What comes out is bounded by
+    the number of lags, whatever the number of months.
+    """
+    ordered, whole = by_series(), Window.partitionBy(KEY)
+    rows = pairs.select(
+        KEY,
+        (F.col("urea") - F.avg("urea").over(whole)).alias("y"),
+        (F.col("ng_spot") - F.avg("ng_spot").over(whole)).alias("x"),
+        (F.row_number().over(ordered) - 1).alias("pos"),
+        F.count("*").over(whole).alias("n"),
+        *[(F.lag(c, d).over(ordered) - F.avg(c).over(whole)).alias(f"{z}{d}") for d in range(max_lag + 1) for c, z in (("urea", "y"), ("ng_spot", "x"))],
+    )
+    edge = F.struct("pos", "y", "x")
+    return rows.groupBy(KEY).agg(
+        F.max("n").alias("n"),
+        F.sum("y").alias("y_sum"),
+        F.sum("x").alias("x_sum"),
+        *[F.array(*[F.coalesce(F.sum(F.col(a) * F.col(f"{b}{d}")), F.lit(0.0)) for d in range(max_lag + 1)]).alias(a + b) for a in "yx" for b in "yx"],
+        F.sort_array(F.collect_list(F.when(F.col("pos") < max_lag, edge))).alias("head"),
+        F.sort_array(F.collect_list(F.when(F.col("pos") >= F.col("n") - max_lag, edge))).alias("tail"),
+    )
+
+
 def granger(panel: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
     """F-test per series and lag: do past gas prices help to predict urea?
 
-    Spark spreads the series; one group is one monthly series, so its size is bounded
-    by the number of months, and all its lags are tested where it is.
+    Spark reduces each series to its lag sums; Python sees these alone and solves one small
+    system for each lag.
     """
     ship_package(panel.sparkSession)
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _granger_group(pdf, max_lag)
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(row[KEY], k, *granger_f(row, k)) for row in batch.to_pylist() for k in range(1, max_lag + 1)]
+            columns = list(zip(*out)) if out else [()] * 5
+            kinds = (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int32())
+            series, lags, f, p, denom = (pa.array(c, k) for c, k in zip(columns, kinds))
+            yield pa.RecordBatch.from_arrays([series, lags, f, p, lags, denom], ["series", "lag", "f_stat", "p_value", "df_num", "df_denom"])
 
-    tested = aligned(panel).groupBy(KEY).applyInPandas(each, GRANGER_SCHEMA)
+    tested = lag_sums(aligned(panel), max_lag).mapInArrow(solve, GRANGER_SCHEMA)
     return tested.withColumn("verdict", verdict(F.col("p_value")))
 
 
@@ -123,29 +157,51 @@ def verdict(p: Column) -> Column:
     return F.when(p < 0.05, "YES").when(p < 0.10, "marginal").when(p.isNotNull(), "no")
 
 
-def _granger_group(pdf: pd.DataFrame, max_lag: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(MONTH)
-    y, x = pdf["urea"].to_numpy(float), pdf["ng_spot"].to_numpy(float)
-    rows = []
-    for k in range(1, max_lag + 1):
-        f, p, denom = granger_f(y, x, k)
-        rows.append({"series": pdf[KEY].iloc[0], "lag": k, "f_stat": f, "p_value": p, "df_num": k, "df_denom": denom})
-    return pd.DataFrame(rows)
+def gram(sums: dict, k: int) -> np.ndarray:
+    """Products of (1, y lags 1..k, x lags 1..k, y) over the months from position k on, from the lag sums."""
+    n = sums["n"]
+    known = {e["pos"]: (e["y"], e["x"]) for e in [*sums["head"], *sums["tail"]]}
+    names = [None, *[("y", i) for i in range(1, k + 1)], *[("x", i) for i in range(1, k + 1)], ("y", 0)]
+
+    def value(name: str, pos: int) -> float:
+        return known[pos]["yx".index(name)]
+
+    def product(a: tuple | None, b: tuple | None) -> float:
+        if a is None and b is None:
+            return n - k
+        if a is None or b is None:
+            name, i = a or b
+            edges = [*range(k - i), *range(n - i, n)]
+            return sums[f"{name}_sum"] - sum(value(name, s) for s in edges)
+        if a[1] > b[1]:
+            a, b = b, a
+        (one, i), (other, j) = a, b
+        d = j - i
+        edges = [*range(d, k - i), *range(n - i, n)]
+        return sums[one + other][d] - sum(value(one, s) * value(other, s - d) for s in edges)
+
+    return np.array([[product(a, b) for b in names] for a in names])
+
+
+def residual_squares(products: np.ndarray, columns: list[int]) -> float:
+    """Sum of squares that is left of the last column after the others in ``columns`` are taken out."""
+    scale = np.sqrt(np.maximum(np.diag(products), 1e-300))
+    unit = products / np.outer(scale, scale)
+    g, b = unit[np.ix_(columns, columns)], unit[columns, -1]
+    return float((1.0 - b @ np.linalg.pinv(g, rcond=1e-12, hermitian=True) @ b) * scale[-1] ** 2)
 
 
-def granger_f(y: np.ndarray, x: np.ndarray, k: int) -> tuple[float | None, float | None, int]:
+def granger_f(sums: dict, k: int) -> tuple[float | None, float | None, int]:
     """F statistic and p-value of k lags of x beyond k lags of y."""
-    n = len(y) - k
-    denom = n - 2 * k - 1
+    denom = sums["n"] - k - 2 * k - 1
     if denom <= 0:
         return None, None, denom
-    own = np.column_stack([np.ones(n)] + [y[k - i : len(y) - i] for i in range(1, k + 1)])
-    both = np.column_stack([own] + [x[k - i : len(x) - i] for i in range(1, k + 1)])
-    target = y[k:]
-    rss = [float(np.sum((target - m @ np.linalg.lstsq(m, target, rcond=None)[0]) ** 2)) for m in (own, both)]
-    if rss[1] <= 0:
+    products = gram(sums, k)
+    spread = products[-1, -1] - products[0, -1] ** 2 / products[0, 0]
+    own, both = (residual_squares(products, list(range(m))) for m in (k + 1, 2 * k + 1))
+    if both <= 1e-12 * max(products[-1, -1], 0.0) or spread <= 0:
         return None, None, denom
-    f = ((rss[0] - rss[1]) / k) / (rss[1] / denom)
+    f = max(own - both, 0.0) / k / (both / denom)
     return f, f_tail(f, k, denom), denom
 
 

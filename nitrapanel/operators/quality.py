@@ -251,6 +251,46 @@ def column_parity(left: DataFrame, right: DataFrame) -> dict[str, object]:
     }
 
 
+def column_list(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row for each column of either side with its place on both and whether it is the same, moved or missing."""
+    a, b = left.columns, right.columns
+    rows = []
+    for name in [*a, *[c for c in b if c not in a]]:
+        at = [side.index(name) + 1 if name in side else None for side in (a, b)]
+        status = "missing on the left" if at[0] is None else "missing on the right" if at[1] is None else "same" if at[0] == at[1] else "moved"
+        rows.append((name, *at, status))
+    return left.sparkSession.createDataFrame(rows, "col_name string, left_at int, right_at int, status string")
+
+
+def parity_gate(
+    left: DataFrame,
+    right: DataFrame,
+    cols: list[str],
+    expected: dict[str, str],
+    max_expected: dict[str, float] | None = None,
+    tol: float = TOLERANCE,
+) -> DataFrame:
+    """One row: do the columns agree, how many columns are unexplained and rows unexpected, and the verdict.
+
+    Values are not compared where names or order of the columns differ.
+    """
+    agree = left.columns == right.columns
+    rows = extra_rows(left, right).agg(F.count_if(F.col("verdict") == "UNEXPECTED").alias("n_unexpected"))
+    if not agree:
+        return rows.select(
+            F.lit(False).alias("columns_agree"), F.lit(None).cast("long").alias("n_unexplained"), "n_unexpected",
+            F.lit("COLUMNS DIFFER").alias("verdict"),
+        )
+    tagged = parity_classified(left, right, cols, expected, max_expected, tol)
+    counts = tagged.agg(F.count_if(F.col("tag") == "UNEXPLAINED").alias("n_unexplained"))
+    # Two aggregates of one row each.
+    both = counts.crossJoin(F.broadcast(rows))
+    passed = F.col("n_unexplained") + F.col("n_unexpected") == 0
+    return both.select(
+        F.lit(True).alias("columns_agree"), "n_unexplained", "n_unexpected", F.when(passed, "PASS").otherwise("UNEXPLAINED").alias("verdict")
+    )
+
+
 # Leakage ---------------------------------------------------------------------
 
 

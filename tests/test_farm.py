@@ -29,9 +29,11 @@ def brute_fold(log):
     return {k: (n, round(a, 6)) for k, (n, a) in state.items()}
 
 
-@pytest.mark.parametrize("seed,n", [(0, 60), (1, 60), (2, 7), (3, 900)])
-def test_crop_state_equals_sequential_application(spark, seed, n):
-    # With 900 changes one crop row holds most of the log.
+@pytest.mark.parametrize("seed,n,block,span", [(0, 60, 1024, 4096), (1, 60, 5, 2), (2, 7, 1, 1), (3, 900, 7, 4), (4, 900, 64, 3), (5, 300, 1, 5)])
+def test_crop_state_equals_sequential_application(spark, monkeypatch, seed, n, block, span):
+    # With 900 changes one crop row holds most of the log; blocks cut it anywhere.
+    monkeypatch.setattr(farm, "BLOCK", block)
+    monkeypatch.setattr(farm, "SPAN", span)
     rnd = random.Random(seed)
     log = [
         (
@@ -51,12 +53,17 @@ def test_crop_state_equals_sequential_application(spark, seed, n):
     } == brute_fold(log)
 
 
-def test_the_log_is_hash_aggregated(spark):
-    log = spark.createDataFrame([(1, "Corn", "Fall", 2025, 1, "add", 1.0)], LOG)
-    adds = log.withColumn("crop_key", F.lower("crop_name")).selectExpr("*", "1L deleted", "1L last_set", "1D set_acres")
-    plan = farm._fold_adds(adds)._jdf.queryExecution().executedPlan().toString()
-    first = plan.split("== Initial Plan ==")[-1].strip().splitlines()[-5:]
-    assert any("HashAggregate" in x for x in first) and not any("SortAggregate" in x for x in first)
+def test_the_log_is_read_once_and_not_joined(spark, tmp_path):
+    spark.createDataFrame([(1, "Corn", "Fall", 2025, i, "add", 1.0) for i in range(9)], LOG).write.parquet(str(tmp_path / "log"))
+    plan = farm.crop_state(spark.read.parquet(str(tmp_path / "log")))._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Generate" not in plan and plan.count("Exchange hashpartitioning") == 3
+
+
+def test_missing_acres_and_unknown_actions(spark):
+    log = [(1, "Corn", "Fall", 2025, 1, "add", None), (1, "corn", "Fall", 2025, 2, "add", 4.0), (1, "Corn", "Fall", 2025, 3, "look", 9.0), (2, "Hay", "Fall", 2025, 4, "set", 3.0)]
+    assert [(r["user_id"], r["crop_name"], r["acres"], r["created"]) for r in rows_of(farm.crop_state(spark.createDataFrame(log, LOG)))] == [(1, "Corn", 4.0, 1)]
+    assert farm.crop_state(spark.createDataFrame([], LOG)).count() == 0
 
 
 def crops(spark):

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import PANEL, months, panel_rows, rows_of
+from pyspark.sql import functions as F
 
 from nitrapanel.operators import lag
 
@@ -73,6 +74,36 @@ def test_granger_finds_the_driver(long_panel):
     assert got["a", 2]["f_stat"] == pytest.approx(f, rel=1e-6)
 
 
+def test_every_lag_equals_least_squares_on_the_months(long_panel, spark):
+    """Sums alone give what the months themselves give, whatever the length of the series."""
+    pairs = lag.aligned(long_panel)
+    some = pairs.where("series = 'a'")
+    short = some.orderBy("month").limit(20).withColumn("series", F.lit("short"))
+    got = {(r["series"], r["lag"]): r for r in rows_of(lag.granger(pairs.unionByName(short)))}
+    for series in ("a", "d", "short"):
+        y, x = arrays(short if series == "short" else pairs, series)
+        for k in range(1, 13):
+            n, row = len(y) - k, got[series, k]
+            assert row["df_denom"] == n - 2 * k - 1
+            if n - 2 * k - 1 <= 0:
+                assert row["f_stat"] is None
+                continue
+            own = np.column_stack([np.ones(n)] + [y[k - i : len(y) - i] for i in range(1, k + 1)])
+            both = np.column_stack([own] + [x[k - i : len(x) - i] for i in range(1, k + 1)])
+            rss = [np.sum((y[k:] - m @ np.linalg.lstsq(m, y[k:], rcond=None)[0]) ** 2) for m in (own, both)]
+            assert row["f_stat"] == pytest.approx(((rss[0] - rss[1]) / k) / (rss[1] / (n - 2 * k - 1)), rel=1e-6, abs=1e-9)
+    assert all(got["f", k]["f_stat"] is None for k in range(1, 13))
+
+
+def test_python_sees_one_row_of_sums_for_each_series(long_panel):
+    sums = lag.lag_sums(lag.aligned(long_panel), 12)
+    assert sums.count() == 3
+    row = sums.where("series = 'a'").first()
+    assert len(row["yy"]) == len(row["xy"]) == 13 and len(row["head"]) == len(row["tail"]) == 12
+    plan = sums._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("f,d1,d2,p", [(4.0, 1, 10, 0.07338803477), (2.5, 3, 20, 0.08880480888), (1.0, 5, 5, 0.5)])
 def test_f_tail(f, d1, d2, p):
     # p by numeric integration of the F density.
