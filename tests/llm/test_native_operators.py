@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -10,6 +11,8 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nitrapanel.llm import fingerprints, rules, secrets, sharding
@@ -191,19 +194,72 @@ def test_minimax_is_the_best_contiguous_cut():
         assert ends[-1] == len(sizes) and len(ends) <= k
 
 
-def test_sharding(spark):
-    rows = [(i, f"text {i}" * (i % 40)) for i in range(400)] + [(1000 + i, "the same text") for i in range(5000)] + [(None, None), (7, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("x"))
-    got = sharding.shard_documents(docs, 6).collect()
-    assert len(got) == len(rows)
-    want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
-    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
-    places, group = {}, {}
+def shard_sizes(got):
+    out = {}
     for r in got:
-        places.setdefault(r["shard"], []).append(r["slot"])
-        group.setdefault(r["text_crc32"], set()).add(r["shard"])
-    assert all(sorted(v) == list(range(len(v))) for v in places.values()) and set(places) <= set(range(6))
-    assert all(len(v) == 1 for v in group.values())
+        out[r["shard"]] = out.get(r["shard"], 0) + r["size"]
+    return out
+
+
+@pytest.mark.parametrize("first_bits, more_bits, shards, seed", [(16, 11, 6, 1), (1, 2, 6, 2), (0, 1, 24, 3), (3, 1, 2, 4), (2, 20, 1, 5), (4, 3, 40, 6)])
+def test_shards_are_cut_at_groups_with_the_least_capacity(spark, monkeypatch, first_bits, more_bits, shards, seed):
+    monkeypatch.setattr(sharding, "MORE_BITS", more_bits)
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 7)
+    rng = np.random.default_rng(seed)
+    texts = ["x" * int(n) + f" {i}" for i, n in enumerate(rng.integers(0, 80, 150))] + [None, "", "ÄÖ" * 40]
+    rows = [(int(i), texts[int(k)]) for i, k in enumerate(rng.integers(0, len(texts), 600))]
+    rows += [(7, texts[3])] * 60 + [(None, texts[5])] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("x")).repartition(4)
+    got = sharding.shard_documents(docs, shards, first_bits).collect()
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got if r["doc_id"] is not None) == sorted(
+        (i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows if i is not None
+    )
+    digests, own = {}, {}
+    for r in got:
+        digests[r["digest"]] = digests.get(r["digest"], 0) + r["size"]
+        own.setdefault(r["digest"], set()).add(r["shard"])
+    assert all(len(x) == 1 for x in own.values())  # equal texts stand together
+    order = sorted(digests)
+    assert [min(own[d]) for d in order] == sorted(min(own[d]) for d in order)  # contiguous
+    # The least capacity of the groups themselves, not of some bins.
+    capacity, _ = sharding.minimax(np.array([digests[d] for d in order]), shards)
+    assert max(shard_sizes(got).values()) <= capacity
+    for shard in set(r["shard"] for r in got):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_a_giant_group_leaves_even_shards(spark):
+    texts = ["g" * 20_000] + [f"t{i} " * 40 for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = sorted(shard_sizes(sharding.shard_documents(docs, 5).collect()).values())
+    assert len(sizes) == 5 and sizes[-1] == 20_008 and sizes[0] > 0.4 * sizes[1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=12), st.integers(1, 5))
+def test_balanced_has_the_largest_smallest_shard(sizes, shards):
+    capacity, _ = sharding.minimax(sizes, shards)
+    best = -1
+    for cuts in itertools.combinations_with_replacement(range(len(sizes) + 1), shards - 1):
+        parts = [sum(sizes[a:b]) for a, b in zip((0, *cuts), (*cuts, len(sizes)))]
+        if max(parts) <= capacity:
+            best = max(best, min(parts))
+    ends = sharding.balanced(sizes, shards, capacity)
+    parts = [sum(sizes[a:b]) for a, b in zip([0, *ends], ends)]
+    assert len(ends) == shards and ends[-1] == len(sizes) and max(parts) <= capacity and min(parts) == best
+
+
+def test_query_shards(spark):
+    from nitrapanel.llm.queries import op10_shards
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op10_shards(spark, sf).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {i: (len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in texts.items()}
+    assert {r["shard"] for r in got} <= set(range(24)) and {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
+    sizes = shard_sizes(got)
+    assert max(sizes.values()) <= max(1.6 * sum(sizes.values()) / 24, 8 + max(len(t.encode()) for t in texts.values()))
 
 
 def test_checksum_of_spans(docs):
