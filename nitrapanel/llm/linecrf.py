@@ -6,9 +6,18 @@ before and after it; edges have transition weights.  Forward-backward gives each
 probability of being good, and the probabilities, weighted by the lines' lengths, give
 the document's quality.  A two-parameter logistic maps that to the score.
 
-Labels are given for documents, so in training each line bears its document's label.
-The fit sees at most ``TRAIN_ROWS`` labelled documents (a documented bound), chosen by a
-hash of the id; Spark tasks measure their lines, the driver gets the measures only.
+Labels are given for documents; those of the lines are latent.  The field starts from
+lines that bear their document's label, without transitions, and is then fitted by
+expectation and gradient steps: the lines' posterior is that of the field, shifted as
+little as the document's label asks for (a good document has at least ``GOOD_SHARE`` of
+its length good, a bad one at most ``BAD_SHARE``), and the weights and transitions move
+towards the expectations under it.  So a bad document may have good lines and the other
+way round, and the field learns to switch.
+
+The fit sees at most ``TRAIN_ROWS`` labelled documents, chosen by a hash of the id, and of
+a document with more than ``TRAIN_LINES`` lines ``RUNS`` evenly spaced runs of lines laid
+end to end (documented bounds); Spark tasks measure their lines in the whole text, the
+driver gets the measures of these lines only.
 
 Defined results: NULL is the empty text, a single empty line; texts are scored whole;
 repeated rows are scored alike; without labelled rows of both kinds the score is the
@@ -31,7 +40,9 @@ from nitrapanel.llm.tokens import _arrow
 
 TRAIN_ROWS = 4_000
 BINS = 8  # of each measure
-ROUNDS = 150
+TRAIN_LINES, RUNS = 256, 8
+START_ROUNDS, ROUNDS = 60, 150  # with lines bearing their document's label; with latent ones
+GOOD_SHARE, BAD_SHARE = 0.9, 0.5
 RATE = 0.1
 RIDGE = 1e-3
 EXAMPLES = "label int, measures binary"
@@ -88,6 +99,15 @@ def line_measures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return measures, np.array([len(own) for own in split])
 
 
+def some_lines(n: int) -> np.ndarray:
+    """Lines of a text of n lines that a fit sees: all, or evenly spaced runs."""
+    if n <= TRAIN_LINES:
+        return np.arange(n)
+    run = TRAIN_LINES // RUNS
+    starts = np.linspace(0, n - run, RUNS).astype(np.int64)
+    return np.unique(starts[:, None] + np.arange(run))
+
+
 class Model(NamedTuple):
     edges: np.ndarray  # bin borders of each measure
     weights: np.ndarray  # (before, own, after) x measure x bin: score of good over bad
@@ -159,6 +179,25 @@ def document_quality(good: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -
     return np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first)
 
 
+def shifts(good: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Least shift of each document's line scores that brings its good share where the label wants it.
+
+    The shift is found on the lines' marginals one by one; zero where the share is there already.
+    """
+    first, doc = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    weight = lengths + 1e-3
+    weight = weight / np.add.reduceat(weight, first)[doc]
+    score, want = _logit(good), np.where(labels == 1, GOOD_SHARE, BAD_SHARE)
+    share = np.add.reduceat(good * weight, first)
+    off = np.where(labels == 1, share < want, share > want)
+    low, high = np.where(labels == 1, 0.0, -40.0), np.where(labels == 1, 40.0, 0.0)
+    for _ in range(30):
+        middle = (low + high) / 2
+        now = np.add.reduceat(weight / (1 + np.exp(-(score + middle[doc]))), first)
+        low, high = np.where(now < want, middle, low), np.where(now < want, high, middle)
+    return np.where(off, (low + high) / 2, 0.0)
+
+
 def _logit(p: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-6, 1 - 1e-6)
     return np.log(p / (1 - p))
@@ -179,29 +218,33 @@ def train(labels: np.ndarray, sizes: np.ndarray, measures: np.ndarray) -> Model:
         return zero._replace(share=float(labels.mean()) if len(labels) else 0.5)
     bins = binned(measures, edges)
     n, docs = len(bins), len(sizes)
-    truth = np.repeat(labels, sizes).astype(float)
-    each = np.repeat(1.0 / (docs * np.sqrt(sizes)), sizes)  # long texts count more, but not by their length
+    doc = np.repeat(np.arange(docs), sizes)
+    truth = labels[doc].astype(float)
+    each = (1.0 / (docs * np.sqrt(sizes)))[doc]  # long texts count more, but not by their length
     first = np.cumsum(sizes) - sizes
     inner_left, inner_right = np.ones(n, bool), np.ones(n, bool)
     inner_left[first], inner_right[first + sizes - 1] = False, False
-    seen_moves = np.zeros((docs, 2, 2))
-    seen_moves[np.arange(docs), labels, labels] = sizes - 1
     flat = lambda rows: (bins[rows] + np.arange(k) * BINS).ravel()
     own, left, right = flat(slice(None)), flat(np.flatnonzero(inner_left) - 1), flat(np.flatnonzero(inner_right) + 1)
     values = np.zeros(3 * k * BINS + 2 + 1 + 4)
     mean, square = np.zeros_like(values), np.zeros_like(values)
     parts = lambda v: (v[: 3 * k * BINS].reshape(3, k, BINS), v[-7:-5], v[-5], v[-4:].reshape(2, 2))
-    for turn in range(1, ROUNDS + 1):
+    for turn in range(1, START_ROUNDS + ROUNDS + 1):
         weights, border, bias, moves = parts(values)
-        good, pairs = marginals(node_scores(bins, sizes, weights, border, bias), sizes, moves)
-        miss = (truth - good) * each
+        scores = node_scores(bins, sizes, weights, border, bias)
+        good, pairs = marginals(scores, sizes, moves)
+        wanted, wanted_pairs = truth, pairs
+        if turn > START_ROUNDS:
+            shift = shifts(good, sizes, measures[:, -1], labels)
+            wanted, wanted_pairs = marginals(scores + shift[doc], sizes, moves)
+        miss = (wanted - good) * each
         grad = np.zeros_like(values)
         gw, gb, _, gm = parts(grad)
         for slot, index, rows in ((1, own, slice(None)), (0, left, inner_left), (2, right, inner_right)):
             gw[slot] = np.bincount(index, np.repeat(miss[rows], k), minlength=k * BINS).reshape(k, BINS)
         gb[:] = miss[~inner_left].sum(), miss[~inner_right].sum()
         grad[-5] = miss.sum()
-        gm[:] = ((seen_moves - pairs) / (docs * np.sqrt(sizes))[:, None, None]).sum(axis=0)
+        gm[:] = ((wanted_pairs - pairs) / (docs * np.sqrt(sizes))[:, None, None]).sum(axis=0)
         grad -= RIDGE * values
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad**2
@@ -247,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for own, texts in small_batches(batches, "label", "text"):
             measures, sizes = line_measures(texts)
             parts = np.split(measures.astype("<f4"), np.cumsum(sizes)[:-1])
-            yield record_batch(schema, {"label": own, "measures": [p.tobytes() for p in parts]})
+            yield record_batch(schema, {"label": own, "measures": [p[some_lines(len(p))].tobytes() for p in parts]})
 
     got = sorted((r["label"], bytes(r["measures"])) for r in arrow_map(rows.select("label", "text"), run, EXAMPLES).collect())
     all_measures = np.frombuffer(b"".join(m for _, m in got), "<f4").reshape(-1, 10).astype(np.float64)
