@@ -50,6 +50,24 @@ def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def chunks_of(column: pa.Array) -> pa.Array:
+    """Blank-separated chunks of each text; a text has one at least, if an empty one."""
+    return pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
+
+
+def parts_of(column: pa.Array) -> Iterator[pa.Array]:
+    """Slices of about ``PART_BYTES``."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > PART_BYTES:
+            yield column.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < len(column):
+        yield column.slice(start)
+
+
 class TextCoder:
     """Token ids of whole texts.  ``None`` counts as the empty text.
 
@@ -102,7 +120,7 @@ class TextCoder:
             self.old, self.young = self.young, {}
         return out
 
-    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(sizes, ids one after the other) of distinct chunks.
 
         A chunk of Latin letters and marks is the lower-case word and the marks; few words
@@ -140,9 +158,9 @@ class TextCoder:
         return n.sum(axis=1), flat[runs(starts[piece].ravel(), n.ravel())]
 
     def _part(self, column: pa.Array) -> list[bytes]:
-        split = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
+        split = chunks_of(column)
         coded = split.flatten().dictionary_encode()
-        sizes, flat = self._chunks(coded.dictionary)
+        sizes, flat = self.chunk_ids(coded.dictionary)
         index = coded.indices.to_numpy()
         n = sizes[index]
         raw = flat[runs((np.cumsum(sizes) - sizes)[index], n)].tobytes()
@@ -152,15 +170,7 @@ class TextCoder:
 
     def encode_column(self, column: pa.Array) -> Iterator[list[bytes]]:
         """Ids of each text as little-endian unsigned 32-bit integers, a part of the column at a time."""
-        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-        start = held = 0
-        for i, size in enumerate(sizes.tolist()):
-            if held and held + size > PART_BYTES:
-                yield self._part(column.slice(start, i - start))
-                start, held = i, 0
-            held += size
-        if start < len(column):
-            yield self._part(column.slice(start))
+        return map(self._part, parts_of(column))
 
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         return [raw for part in self.encode_column(pa.array(texts, pa.string())) for raw in part]

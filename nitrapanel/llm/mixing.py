@@ -4,7 +4,7 @@ Method: a classifier trained on a table of labelled documents gives every docume
 posterior over domains (soft membership).  Rates, one for each document and none
 negative, are fitted by accelerated projected-gradient least squares so that the
 expected token totals of the domains, the sum of rate x tokens x posterior, match the
-targets; a small ridge keeps rates near one.  Residuals are weighed by the inverse of
+targets, in tokens of the given tokenizer; a small ridge keeps rates near one.  Residuals are weighed by the inverse of
 the domains' Gram matrix, so a rare domain counts as much as a large one, and the ridge is
 lowered by the largest cut that a target asks for.  Steps end when every target is met
 within its tolerance or when the misses no longer fall; the plan says which
@@ -12,8 +12,8 @@ within its tolerance or when the misses no longer fall; the plan says which
 
 Each gradient step needs the domains' totals under the present rates: one aggregation
 over the stored posteriors that returns one number for each domain.  A document's rate
-follows from its posterior and the earlier residuals alone, so tasks compute it anew
-from the list of residuals, and no rates are stored or moved between steps.
+follows from its posterior and the earlier residuals alone, so tasks compute it from the
+residuals since rates were last stored, which is every ``KEEP`` steps.
 
 The fit of the classifier sees at most ``TRAIN_ROWS`` labelled rows (a documented bound).
 
@@ -24,16 +24,17 @@ weighted each; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nitrapanel.llm.frames import arrow_map, hash_sample, record_batch, small_batches
+from nitrapanel.llm.coder import TextCoder, chunks_of, coder, parts_of
+from nitrapanel.llm.frames import arrow_map, hash_sample, record_batch
 from nitrapanel.llm.signs import SYMBOLS
 from nitrapanel.llm.tokens import _arrow
 from nitrapanel.session import materialize
@@ -43,27 +44,65 @@ VOCABULARY = 2_000  # words whose presence tells most about a domain
 RIDGE = 1e-4
 CLOSE = 1e-4  # largest share of all tokens by which a domain may miss its target
 MISS = 1e-3  # and largest part of the target itself
+KEEP = 10
 PATIENCE, FALL = 20, 0.75  # steps end if the last so many have not brought the largest miss down to this part
-WORD = re.compile(r"[^\W\d_]+")
-
-
-def shape(text: str, words: list[str]) -> list[float]:
-    """Measures of a whole text beside its words."""
-    n = max(1, len(text))
-    upper = sum(map(str.isupper, words)) / max(1, len(words))
-    symbols = sum(map(text.count, SYMBOLS)) / n
-    lines = text.split("\n")
-    return [
-        1.0,
-        min(1.0, symbols * 10),
-        upper,
-        1 - len(set(words)) / max(1, len(words)),
-        1 - len(set(lines)) / len(lines),
-        min(2.0, np.log10(n) / 3),
-    ]
-
-
-SHAPES = len(shape("", []))
+SIGNS = ".,!?;:\"'()[]{}*$%&#|<>-_=+/\\@~`^0123456789"  # not part of a word at its ends
+
+
+class Measured(NamedTuple):
+    """What the classifier sees of some texts."""
+
+    shapes: np.ndarray  # texts x SHAPES
+    text: np.ndarray  # with ``word``: each distinct word of each text
+    word: np.ndarray  # place in ``words``
+    words: list[str]
+    tokens: np.ndarray  # of each text
+
+
+SHAPES = 6
+
+
+def distinct(rows: np.ndarray, values: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of row and value once."""
+    both = np.unique(rows * max(1, kinds) + values)
+    return both // max(1, kinds), both % max(1, kinds)
+
+
+def measure(column: pa.Array, tool: TextCoder | None) -> Measured:
+    """Measures of whole texts: Arrow splits them, everything else is counted over distinct chunks and lines."""
+    n = len(column)
+    column = pc.fill_null(column, "")
+    split = chunks_of(column)
+    coded = split.flatten().dictionary_encode()
+    text = np.repeat(np.arange(n), pc.list_value_length(split).to_numpy())
+    index, chunks = coded.indices.to_numpy(), coded.dictionary
+    plain = pc.utf8_trim(chunks, SIGNS)
+    low = pc.utf8_lower(plain).dictionary_encode()
+    filled = pc.greater(pc.utf8_length(plain), 0).to_numpy(zero_copy_only=False)
+    upper = pc.utf8_is_upper(plain).to_numpy(zero_copy_only=False)
+    total = np.bincount(text, filled[index], n)
+    some = filled[index]
+    at, word = distinct(text[some], low.indices.to_numpy()[index[some]].astype(np.int64), len(low.dictionary))
+    points = pc.utf8_length(column).to_numpy(zero_copy_only=False)
+    signs = sum(pc.count_substring(column, s).to_numpy(zero_copy_only=False) for s in SYMBOLS)
+    lines = pc.split_pattern(column, "\n")
+    coded_lines = lines.flatten().dictionary_encode()
+    n_lines = pc.list_value_length(lines).to_numpy()
+    own, _ = distinct(np.repeat(np.arange(n), n_lines), coded_lines.indices.to_numpy().astype(np.int64), len(coded_lines.dictionary))
+    long = np.maximum(1, points)
+    shapes = np.stack(
+        [
+            np.ones(n),
+            np.minimum(1.0, signs / long * 10),
+            np.bincount(text, upper[index], n) / np.maximum(1, total),
+            1 - np.bincount(at, minlength=n) / np.maximum(1, total),
+            1 - np.bincount(own, minlength=n) / np.maximum(1, n_lines),
+            np.minimum(2.0, np.log10(long) / 3),
+        ],
+        axis=1,
+    )
+    tokens = total if tool is None else np.bincount(text, tool.chunk_ids(chunks)[0][index], n)
+    return Measured(shapes, at, word, low.dictionary.to_pylist(), tokens.astype(np.int64))
 
 
 class Classifier(NamedTuple):
@@ -71,16 +110,12 @@ class Classifier(NamedTuple):
     words: dict[str, int]
     weights: np.ndarray  # (shape and words) x domain
 
-    def posterior(self, text: str) -> np.ndarray:
-        return self.posteriors([text])[0]
-
-    def posteriors(self, texts: list[str]) -> np.ndarray:
-        out = np.empty((len(texts), len(self.domains)))
-        for i, text in enumerate(texts):
-            found = WORD.findall(text)
-            present = [SHAPES + k for w in {w.lower() for w in set(found)} if (k := self.words.get(w)) is not None]
-            out[i] = np.array(shape(text, found)) @ self.weights[:SHAPES] + self.weights[present].sum(axis=0)
-        return _softmax(out)
+    def posteriors(self, seen: Measured) -> np.ndarray:
+        place = np.array([self.words.get(w, -1) for w in seen.words], np.int64)
+        known = place[seen.word] >= 0 if len(seen.word) else np.zeros(0, bool)
+        at, weights = seen.text[known], self.weights[SHAPES + place[seen.word[known]]]
+        sums = [np.bincount(at, weights[:, k], len(seen.shapes)) for k in range(self.weights.shape[1])]
+        return _softmax(seen.shapes @ self.weights[:SHAPES] + np.stack(sums, axis=1))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -119,10 +154,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     schema = _arrow(labelled.sparkSession, kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for labels, texts in small_batches(batches, "label", "text"):
-            found = [WORD.findall(t) for t in texts]
-            words = [sorted({w.lower() for w in set(f)}) for f in found]
-            yield record_batch(schema, {"label": labels, "words": words, "shape": [shape(t, f) for t, f in zip(texts, found)]})
+        for batch in batches:
+            labels = batch.column(0).to_pylist()
+            for part in parts_of(batch.column(1)):
+                seen = measure(part, None)
+                words: list[list[str]] = [[] for _ in range(len(part))]
+                for t, w in zip(seen.text.tolist(), seen.word.tolist()):
+                    words[t].append(seen.words[w])
+                own, labels = labels[: len(part)], labels[len(part) :]
+                yield record_batch(schema, {"label": own, "words": [sorted(w) for w in words], "shape": list(seen.shapes)})
 
     # A repeated id gives one example, so the bound holds for rows as well.
     some = rows.join(F.broadcast(picked), "_id", "left_semi").groupBy("_id").agg(F.max(F.struct("label", "text")).alias("x"))
@@ -152,16 +192,24 @@ def _telling(measured: DataFrame, sizes: dict[str, int]) -> DataFrame:
     return counts.where("seen >= 3").orderBy(far.desc(), "w").limit(VOCABULARY).select("w")
 
 
-def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, tokens, posterior``, written to the shared folder: texts are read once."""
+def memberships(docs: DataFrame, model: Classifier, tokenizer: str | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, tokens, posterior``, written to the shared folder: texts are read once.
+
+    Tokens are those of the tokenizer's file, or words without one.
+    """
     kinds = "doc_id long, tokens long, posterior array<double>"
     schema = _arrow(docs.sparkSession, kinds)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by VOCABULARY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in small_batches(batches, "doc_id", "text"):
-            plain = [t or "" for t in texts]
-            yield record_batch(schema, {"doc_id": ids, "tokens": [len(t.split()) for t in plain], "posterior": list(sent.value.posteriors(plain))})
+        tool = coder(tokenizer) if tokenizer else None
+        for batch in batches:
+            at = 0
+            for part in parts_of(batch.column(1)):
+                seen = measure(part, tool)
+                ids = batch.column(0).slice(at, len(part)).to_pylist()
+                at += len(part)
+                yield record_batch(schema, {"doc_id": ids, "tokens": seen.tokens, "posterior": list(sent.value.posteriors(seen))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return materialize(arrow_map(rows, run, kinds), "posteriors")
@@ -179,10 +227,29 @@ class Plan(NamedTuple):
     converged: bool  # whether every target is met within its tolerance
 
 
-def follow(posteriors: np.ndarray, residuals: list[np.ndarray], step: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rates after the steps, points where the next gradient is taken) of rows with these posteriors."""
-    rates = np.ones(len(posteriors))
-    ahead, t = rates, 1.0
+def momentum(steps: int) -> float:
+    """The accelerated method's number after so many steps."""
+    t = 1.0
+    for _ in range(steps):
+        t = (1 + np.sqrt(1 + 4 * t * t)) / 2
+    return t
+
+
+def follow(
+    posteriors: np.ndarray,
+    residuals: list[np.ndarray],
+    step: float,
+    ridge: float,
+    start: tuple[np.ndarray, np.ndarray, int] | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(rates after the steps, points where the next gradient is taken) of rows with these posteriors.
+
+    ``start`` has both after the steps before, and their number.
+    """
+    rates = ahead = np.ones(len(posteriors))
+    t = 1.0
+    if start is not None:
+        rates, ahead, t = start[0], start[1], momentum(start[2])
     for residual in residuals:
         new = np.maximum(0.0, ahead - step * (posteriors @ residual + ridge * (ahead - 1.0)))
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -194,8 +261,12 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _summed(members: DataFrame, width: int, values: Callable) -> np.ndarray:
-    """Sum over all rows of a vector for each row; ``values`` maps (tokens, posteriors) to their sum."""
+def _start(batch: pa.RecordBatch, steps: int) -> tuple[np.ndarray, np.ndarray, int] | None:
+    return (batch.column(2).to_numpy(), batch.column(3).to_numpy(), steps) if batch.num_columns > 2 else None
+
+
+def _summed(members: DataFrame, width: int, values: Callable, steps: int = 0) -> np.ndarray:
+    """Sum over all rows of a vector for each row; ``values`` maps (tokens, posteriors, where they stand) to their sum."""
     kinds = "part array<double>"
     schema = _arrow(members.sparkSession, kinds)
 
@@ -203,18 +274,19 @@ def _summed(members: DataFrame, width: int, values: Callable) -> np.ndarray:
         total = 0.0
         for batch in batches:
             tokens = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
-            total = total + values(tokens, _matrix(batch.column(1), width))
+            total = total + values(tokens, _matrix(batch.column(1), width), _start(batch, steps))
         if not np.isscalar(total):
             yield record_batch(schema, {"part": [total]})
 
-    parts = arrow_map(members.select("tokens", "posterior"), run, kinds).select(F.posexplode("part").alias("at", "x"))
+    stand = [c for c in ("rate", "ahead") if c in members.columns]
+    parts = arrow_map(members.select("tokens", "posterior", *stand), run, kinds).select(F.posexplode("part").alias("at", "x"))
     got = {r["at"]: r["x"] for r in parts.groupBy("at").agg(F.sum("x").alias("x")).collect()}
     return np.array([got[i] for i in sorted(got)])
 
 
 def shares(members: DataFrame, domains: list[str]) -> dict[str, float]:
     """Present shares of the domains' expected tokens; zero without tokens."""
-    sums = _summed(members, len(domains), lambda t, p: t @ p)
+    sums = _summed(members, len(domains), lambda t, p, _: t @ p)
     return dict(zip(domains, (sums / sums.sum()).tolist() if len(sums) and sums.sum() else [0.0] * len(domains)))
 
 
@@ -226,7 +298,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     k = len(domains)
     want = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     want = want / want.sum() if want.sum() else np.full(k, 1 / k)
-    first = _summed(members, k, lambda t, p: np.concatenate([[t.sum()], ((p * t[:, None]).T @ p).ravel()]))
+    first = _summed(members, k, lambda t, p, _: np.concatenate([[t.sum()], ((p * t[:, None]).T @ p).ravel()]))
     if not len(first) or not first[0]:
         return Plan(domains, [], 1.0, ridge, np.zeros(k), want, False)
     total = first[0]
@@ -240,14 +312,18 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     allowed = np.where(want > 0, np.minimum(CLOSE, MISS * want), CLOSE)
     residuals: list[np.ndarray] = []
     reached, misses = [], []
+    # Every ``KEEP`` steps the rows are stored with where they stand, so a step's work does not grow.
+    state, stored = members.select("tokens", "posterior"), 0
     while True:
-        past = list(residuals)
+        if len(residuals) - stored >= KEEP:
+            state, stored = materialize(_moved(state, k, residuals[stored:], step, ridge, stored), "rates"), len(residuals)
+        past = residuals[stored:]
 
-        def both(t: np.ndarray, p: np.ndarray, past: list = past) -> np.ndarray:
-            rates, ahead = follow(p, past, step, ridge)
+        def both(t: np.ndarray, p: np.ndarray, start: tuple | None, past: list = past) -> np.ndarray:
+            rates, ahead = follow(p, past, step, ridge, start)
             return np.concatenate([(t * rates) @ p, (t * ahead) @ p])
 
-        sums = _summed(members, k, both) / total
+        sums = _summed(state, k, both, stored) / total
         reached.append(sums[:k])
         misses.append(float((np.abs(sums[:k] - want) / allowed).max()))
         n = len(misses) - 1
@@ -259,6 +335,17 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     return Plan(domains, residuals[:best], step, ridge, reached[best], want, misses[best] <= 1)
 
 
+def _moved(state: DataFrame, width: int, residuals: list[np.ndarray], step: float, ridge: float, steps: int) -> DataFrame:
+    """Rows with ``rate`` and ``ahead`` after further steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = follow(_matrix(batch.column(1), width), residuals, step, ridge, _start(batch, steps))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, at)], ["tokens", "posterior", "rate", "ahead"])
+
+    return arrow_map(state, run, "tokens long, posterior array<double>, rate double, ahead double")
+
+
 def with_rates(members: DataFrame, plan: Plan, seed: int = 17) -> DataFrame:
     """``doc_id, tokens, posterior, rate, copies``.
 

@@ -88,7 +88,7 @@ def domains(labels: DataFrame) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     model = mixing.fit(docs.join(domains(_labels(spark, sf_dir)), "doc_id"))
-    members = mixing.memberships(docs, model)
+    members = mixing.memberships(docs, model, tokenizer_path(TOKENIZER))
     plan = mixing.fit_rates(members, model.domains, TARGETS)
     names = F.array(*map(F.lit, model.domains))
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
