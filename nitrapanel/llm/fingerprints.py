@@ -13,6 +13,9 @@ sketches; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,6 +98,22 @@ def as_text(sketch: str) -> Column:
     return F.base64(F.unhex(raw))
 
 
+def _longs(values: list[int]) -> Column:
+    """One literal, however many values it has."""
+    return F.lit(np.array(values, dtype=np.int64))
+
+
+def _place(key: Column, starts: list[int]) -> Column:
+    """Place of the last start that is not above the key: first among every g-th start, then among the g from there.
+
+    With g near the root of their number a row is compared with few of the starts.
+    """
+    g = max(1, math.isqrt(len(starts)))
+    coarse = F.size(F.filter(_longs(starts[::g]), lambda s: s <= key)) - 1
+    fine = F.filter(F.slice(_longs(starts), coarse * g + 1, F.lit(g)), lambda s: s <= key)
+    return coarse * g + F.size(fine) - 1
+
+
 def with_next(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``text`` and ``next_text``, the text of the next id (after the last: of the first).
 
@@ -108,12 +127,13 @@ def with_next(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: str
     shares = [i / parts for i in range(parts)]
     edge = rows.select(key.alias("key")).agg(F.min("key"), F.percentile_approx("key", shares, 100 * parts)).first()
     starts = sorted({edge[0], *(edge[1] or [])}) if edge[0] is not None else [0]
-    at = F.array(*[F.lit(s).cast("long") for s in starts])
-    part = F.size(F.filter(at, lambda s: s <= key)) - 1
-    first = F.array_contains(at, key)
+    part = _place(key, starts)
+    rows = rows.withColumn("key", key).withColumn("part", part)
+    key, part = F.col("key"), F.col("part")
+    first = F.element_at(_longs(starts), part + 1) == key
     before = F.when(part == 0, F.lit(len(starts) - 1)).otherwise(part - 1)
     own = F.struct(part.alias("part"), F.lit(0).alias("later"))
     copy = F.struct(before.alias("part"), F.lit(1).alias("later"))
-    placed = rows.withColumn("key", key).withColumn("_to", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own))))
+    placed = rows.withColumn("_to", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own))))
     order = Window.partitionBy("_to.part").orderBy("_to.later", "key", "text")
     return placed.withColumn("next_text", F.lead("text").over(order)).where(F.col("_to.later") == 0).select("doc_id", "text", "next_text")

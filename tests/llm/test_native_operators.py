@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import re
@@ -120,7 +121,7 @@ def test_small_sketches_are_exact(docs):
         assert r["near"] == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0)
 
 
-@pytest.mark.parametrize("parts", [1, 3, 50])
+@pytest.mark.parametrize("parts", [1, 3, 50, 500])
 def test_next_text(spark, parts):
     rows = [(i * i, f"t{i}") for i in range(60)] + [(None, "first"), (9, "t3b")]
     got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"), parts).collect()
@@ -129,6 +130,45 @@ def test_next_text(spark, parts):
     assert {(r["doc_id"], r["text"]): r["next_text"] for r in got} == want
 
 
+def test_places_of_ids_among_range_starts(spark):
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 10, 97, 1000):
+        starts = sorted({0, *rng.integers(0, 10**6, n - 1).tolist()})
+        keys = [*rng.integers(0, 2 * 10**6, 50).tolist(), *starts[:20], starts[-1]]
+        got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", fingerprints._place(F.col("k"), starts).alias("p")).collect()
+        assert [r["p"] for r in got] == [int(np.searchsorted(starts, r["k"], side="right")) - 1 for r in got]
+
+
+def test_query_fingerprints(spark):
+    """Every column of the query, from the texts alone."""
+    from nitrapanel.llm.queries import op5_fingerprints
+
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    got = {r["doc_id"]: r for r in op5_fingerprints(spark, sf).collect()}
+    assert len(got) == len(rows)
+
+    def sketch(text):
+        return sorted(shingles(text))[: fingerprints.K]
+
+    def likeness(a, b):
+        both = sorted(set(a) | set(b))[: fingerprints.K]
+        return len(set(both) & set(a) & set(b)) / len(both) if both else 1.0
+
+    def written(hashes):
+        return base64.b64encode(b"".join((h % (1 << 64)).to_bytes(8, "big") for h in hashes)).decode()
+
+    for k, (doc_id, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        moved = len(text) // 4
+        edited = text[: len(text) - moved] + after[:moved]
+        own, changed, following = map(sketch, (text, edited, after))
+        r = got[doc_id]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r["fingerprint"].replace("\r\n", "") == written(own) and r["edited_fingerprint"].replace("\r\n", "") == written(changed)
+        assert r["near_edited"] == pytest.approx(likeness(own, changed)) and r["near_next"] == pytest.approx(likeness(own, following))
+
+
 def test_next_of_a_single_row(spark):
     got = fingerprints.with_next(spark.createDataFrame([(4, None)], "doc_id long, text string"), 8).collect()
     assert [tuple(r) for r in got] == [(4, "", "")]
