@@ -152,9 +152,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted({g for q in queries if q for clause in q for g in clause})
-    plain = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    # Rows meet their candidates by a hash of the id, or of the text where the id is NULL, so rows
+    # without an id are spread.  Two rows of one hash share their candidates, which only costs time.
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.col(id_col)))
+    plain = docs.select(key.alias("doc_id"), text.alias("text"))
     found = candidates(build_index(plain, grams), rules).select(F.col("doc_id").alias("_found_id"), F.col("rule_bits").alias("_found"))
-    rows = docs.join(found, F.col(id_col).eqNullSafe(F.col("_found_id")), "left")
+    rows = docs.join(found, key == F.col("_found_id"), "left")
     bits = F.coalesce(F.col("_found"), F.lit(0))
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     parts = []

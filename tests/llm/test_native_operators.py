@@ -193,6 +193,14 @@ def test_spans(docs):
         assert [tuple(s) for s in r["secret_spans"]] == spans(r["text"]), r["text"]
 
 
+def test_rows_without_id_are_spread_and_scanned(spark):
+    rows = [(None, f"{t or ''} {i}") for i in range(40) for t in TEXTS] + [(1, "secret=abcdef")]
+    found = spark.createDataFrame(rows, "doc_id long, text string")
+    got = secrets.scan(found).select("doc_id", "text", "secret_spans").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+    assert all([tuple(s) for s in r["secret_spans"]] == spans(r["text"]) for r in got)
+
+
 def test_redaction(docs):
     rows = secrets.scan(docs).withColumn("clean", secrets.redacted(F.col("text"), F.col("secret_spans")))
     for r in rows.where(F.size("secret_spans") > 0).collect():
