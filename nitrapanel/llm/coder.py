@@ -120,8 +120,8 @@ class TextCoder:
             self.old, self.young = self.young, {}
         return out
 
-    def chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(sizes, ids one after the other) of distinct chunks.
+    def _pieces(self, chunks: pa.Array) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+        """(ids of words, odd chunks and marks, their sizes one after the other, two of their places for each distinct chunk).
 
         A chunk of Latin letters and marks is the lower-case word and the marks; few words
         and fewer marks stand behind many chunks.  All others go to the tokenizer whole.
@@ -143,8 +143,6 @@ class TextCoder:
             [b"", *self._kept(marks, self._plain)],
         ]
         sizes = [np.fromiter(map(len, x), np.int64, len(x)) // 4 for x in each]
-        flat = np.frombuffer(b"".join(b"".join(x) for x in each), "<u4")
-        starts = np.cumsum(np.concatenate(sizes)) - np.concatenate(sizes)
         # Two pieces a chunk: the word or the odd chunk, and the marks (or none).
         piece = np.zeros((len(chunks), 2), np.int64)
         plain = latin.to_numpy(zero_copy_only=False)
@@ -154,7 +152,18 @@ class TextCoder:
         tail[there] = [1 + number[t] for t in tails]
         piece[:, 1] = len(each[0]) + len(odd)
         piece[plain, 1] += tail
-        n = np.concatenate(sizes)[piece]
+        return each, np.concatenate(sizes), piece
+
+    def chunk_sizes(self, chunks: pa.Array) -> np.ndarray:
+        """Number of ids of distinct chunks."""
+        _, sizes, piece = self._pieces(chunks)
+        return sizes[piece].sum(axis=1)
+
+    def chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids one after the other) of distinct chunks."""
+        each, sizes, piece = self._pieces(chunks)
+        flat = np.frombuffer(b"".join(b"".join(x) for x in each), "<u4")
+        n, starts = sizes[piece], np.cumsum(sizes) - sizes
         return n.sum(axis=1), flat[runs(starts[piece].ravel(), n.ravel())]
 
     def _part(self, column: pa.Array) -> list[bytes]:

@@ -278,7 +278,7 @@ def _emit(best: Best, slots: int) -> Iterator[pa.RecordBatch]:
 
 
 def anchor_rounds(blocks: DataFrame, every: int, size: int) -> Iterator[Block]:
-    """Anchors (ids divisible by ``every``) in groups of at most about ``size``, in the blocks' order."""
+    """Anchors (ids divisible by ``every``) in groups of about ``size``."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
@@ -290,15 +290,13 @@ def anchor_rounds(blocks: DataFrame, every: int, size: int) -> Iterator[Block]:
 
     picked = arrow_map(blocks.drop("cell"), pick, "n long, ids binary, labels binary, vectors binary, norms binary, angles binary")
     picked = materialize(picked, "anchors")
-    held, count = [], 0
-    for row in picked.toLocalIterator():  # one partition of anchors at a time
-        held.append(row)
-        count += row["n"]
-        if count >= size:
-            yield _joined(held)
-            held, count = [], 0
-    if held:
-        yield _joined(held)
+    total = picked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rounds = -(-total // size)
+    for turn in range(rounds):
+        # About ``size`` anchors: blocks are dealt over the rounds by a hash of their ids.
+        got = picked.where(F.pmod(F.xxhash64("ids"), F.lit(rounds)) == turn).collect()
+        if got:
+            yield _joined(got)
 
 
 def _joined(rows: list) -> Block:

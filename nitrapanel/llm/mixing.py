@@ -47,6 +47,7 @@ MISS = 1e-3  # and largest part of the target itself
 KEEP = 10
 PATIENCE, FALL = 20, 0.75  # steps end if the last so many have not brought the largest miss down to this part
 SIGNS = ".,!?;:\"'()[]{}*$%&#|<>-_=+/\\@~`^0123456789"  # not part of a word at its ends
+SYMBOL_BYTES = np.isin(np.arange(256), [ord(s) for s in SYMBOLS])
 
 
 class Measured(NamedTuple):
@@ -64,8 +65,21 @@ SHAPES = 6
 
 def distinct(rows: np.ndarray, values: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
     """Each pair of row and value once."""
-    both = np.unique(rows * max(1, kinds) + values)
-    return both // max(1, kinds), both % max(1, kinds)
+    kinds = max(1, kinds)
+    small = not len(rows) or (int(rows[-1]) + 1) * kinds < 1 << 31  # rows ascend
+    both = np.sort((rows * kinds + values).astype(np.int32 if small else np.int64))
+    both = both[np.diff(both, prepend=-1) != 0]
+    return both // kinds, both % kinds
+
+
+def sign_counts(column: pa.Array) -> np.ndarray:
+    """Symbols in each text; they are single bytes in UTF-8."""
+    n, (_, offsets, data) = len(column), column.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + n + 1]
+    if data is None or at[-1] == at[0]:
+        return np.zeros(n, np.int64)
+    total = np.concatenate([[0], np.cumsum(SYMBOL_BYTES[np.frombuffer(data, np.uint8)[at[0] : at[-1]]], dtype=np.int64)])
+    return np.diff(total[at - at[0]])
 
 
 def measure(column: pa.Array, tool: TextCoder | None) -> Measured:
@@ -84,7 +98,7 @@ def measure(column: pa.Array, tool: TextCoder | None) -> Measured:
     some = filled[index]
     at, word = distinct(text[some], low.indices.to_numpy()[index[some]].astype(np.int64), len(low.dictionary))
     points = pc.utf8_length(column).to_numpy(zero_copy_only=False)
-    signs = sum(pc.count_substring(column, s).to_numpy(zero_copy_only=False) for s in SYMBOLS)
+    signs = sign_counts(column)
     lines = pc.split_pattern(column, "\n")
     coded_lines = lines.flatten().dictionary_encode()
     n_lines = pc.list_value_length(lines).to_numpy()
@@ -101,7 +115,7 @@ def measure(column: pa.Array, tool: TextCoder | None) -> Measured:
         ],
         axis=1,
     )
-    tokens = total if tool is None else np.bincount(text, tool.chunk_ids(chunks)[0][index], n)
+    tokens = total if tool is None else np.bincount(text, tool.chunk_sizes(chunks)[index], n)
     return Measured(shapes, at, word, low.dictionary.to_pylist(), tokens.astype(np.int64))
 
 

@@ -38,11 +38,16 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def summed(rows: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], like: np.ndarray) -> np.ndarray:
+def in_many_tasks(rows: DataFrame) -> bool:
+    """Whether more tasks read the rows than may send their sums to the driver."""
+    return rows.select(F.spark_partition_id().alias("p")).distinct().count() > DIRECT
+
+
+def summed(rows: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], like: np.ndarray, many: bool) -> np.ndarray:
     """Sum over all rows of arrays shaped as ``like``; each task adds up its own.
 
-    Many tasks' sums are added up in a few tasks before the driver gets them, so what it
-    gets is bounded by ``DIRECT`` arrays, whatever the input.
+    The sums of ``many`` tasks are added up in a few tasks before the driver gets them, so
+    what it gets is bounded by ``DIRECT`` arrays, whatever the input.
     """
     shape, kind = like.shape, like.dtype
 
@@ -60,6 +65,6 @@ def summed(rows: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], like
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
     parts = arrow_map(rows, own, "part binary")
-    if rows.rdd.getNumPartitions() > DIRECT:
+    if many:
         parts = arrow_map(parts.repartition(MEET), meet, "part binary")
     return sum((np.frombuffer(bytes(r["part"]), kind).reshape(shape) for r in parts.collect()), np.zeros(shape, kind))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from nitrapanel.llm.frames import arrow_map, record_batch
 from nitrapanel.llm.tokens import _arrow
-from nitrapanel.llm.vectors import matrix, summed, whole_vectors
+from nitrapanel.llm.vectors import in_many_tasks, matrix, summed, whole_vectors
 from nitrapanel.session import materialize
 
 SCALE, SHIFT = 64, 1_000_000  # an entry c becomes floor(SCALE * c) + SHIFT
@@ -66,13 +66,13 @@ def centred(x: np.ndarray, n: int, sums: np.ndarray) -> np.ndarray:
 
 def fit_basis(fit: DataFrame, dimension: int, components: int = COMPONENTS, seed: int = 11) -> Basis:
     """Leading eigenpairs of the covariance of the column ``x`` (arrays of longs) of a stored table."""
-    d = dimension
-    first = summed(fit, lambda b: np.concatenate([[b.num_rows], matrix(b.column(0), d).sum(axis=0)]), np.zeros(d + 1, np.int64))
+    d, many = dimension, in_many_tasks(fit)
+    first = summed(fit, lambda b: np.concatenate([[b.num_rows], matrix(b.column(0), d).sum(axis=0)]), np.zeros(d + 1, np.int64), many)
     n, sums = int(first[0]), first[1:]
     none = Basis(n, sums, np.zeros((d, 0)), np.zeros(0), 0.0, 0.0, 0.0, True)
     if not n:
         return none
-    trace = float(summed(fit, lambda b: np.square(centred(matrix(b.column(0), d), n, sums)).sum(), np.zeros(()))) / n
+    trace = float(summed(fit, lambda b: np.square(centred(matrix(b.column(0), d), n, sums)).sum(), np.zeros(()), many)) / n
     if trace == 0:
         return none
 
@@ -83,7 +83,7 @@ def fit_basis(fit: DataFrame, dimension: int, components: int = COMPONENTS, seed
             x = centred(matrix(batch.column(0), d), n, sums)
             return x.T @ (x @ q)
 
-        return summed(fit, part, q) / n
+        return summed(fit, part, q, many) / n
 
     k = min(d, components + GUARD)
     block, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, k)))
@@ -114,7 +114,7 @@ def fit_basis(fit: DataFrame, dimension: int, components: int = COMPONENTS, seed
         y = centred(matrix(batch.column(0), d), n, sums) @ into
         return y.T @ y
 
-    identity = summed(fit, white, np.zeros((len(values),) * 2)) / n
+    identity = summed(fit, white, np.zeros((len(values),) * 2), many) / n
     return Basis(n, sums, vectors, values, trace, float(np.abs(identity - np.eye(len(values))).max()), residual, residual <= 1000 * CERTIFIED * d**0.5)
 
 

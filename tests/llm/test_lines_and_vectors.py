@@ -141,6 +141,16 @@ def test_whitening_equals_a_dense_solver(spark):
     check_whitening(spark, rows)
 
 
+def test_sums_of_many_tasks_meet_before_the_driver(spark):
+    from nitrapanel.llm.vectors import in_many_tasks, summed
+
+    rows = spark.range(1000).repartition(90)
+    total = lambda b: np.array([b.num_rows, b.column(0).to_numpy().sum()])
+    assert in_many_tasks(rows) and not in_many_tasks(spark.range(10).coalesce(2))
+    for many in (True, False):
+        assert summed(rows, total, np.zeros(2, np.int64), many).tolist() == [1000, 499_500]
+
+
 def test_whitening_of_few_dimensions_and_flat_ones(spark):
     rng = np.random.default_rng(6)
     low = rng.standard_normal((50, 2)) @ rng.standard_normal((2, 5)) * 10
