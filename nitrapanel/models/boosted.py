@@ -90,7 +90,11 @@ def with_series(rows: DataFrame, figures: DataFrame, by: list[str]) -> DataFrame
     # One row for each group at most.
     pooled = figures.where(F.col(KEY).isNull()).select(*by, F.col(level).alias("_level"), F.col(spread).alias("_spread"))
     out = rows.join(own, [*by, KEY], "left")
-    out = out.join(F.broadcast(pooled), by, "left") if by else out.crossJoin(F.broadcast(pooled))
+    if by:
+        out = out.join(F.broadcast(pooled), by, "left")
+    else:
+        only = pooled.first()  # one row
+        out = out.withColumns({name: F.lit(only[name] if only else None).cast("double") for name in ("_level", "_spread")})
     out = out.withColumn(level, F.coalesce(level, "_level")).withColumn(spread, F.coalesce(spread, "_spread"))
     vector = F.array(*[F.col(c).cast("double") for c in INPUTS])
     return out.withColumn("features", vector).withColumn("key", F.xxhash64(KEY, MONTH)).drop("_level", "_spread", level, spread)

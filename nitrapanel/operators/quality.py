@@ -282,9 +282,11 @@ def parity_gate(
             F.lit("COLUMNS DIFFER").alias("verdict"),
         )
     tagged = parity_classified(left, right, cols, expected, max_expected, tol)
-    counts = tagged.agg(F.count_if(F.col("tag") == "UNEXPLAINED").alias("n_unexplained"))
-    # Two aggregates of one row each.
-    both = counts.crossJoin(F.broadcast(rows))
+    # Two tables of one row each, laid over each other.
+    counts = tagged.agg(F.count_if(F.col("tag") == "UNEXPLAINED").alias("n_unexplained")).withColumn("n_unexpected", F.lit(0).cast("long"))
+    both = counts.unionByName(rows.withColumn("n_unexplained", F.lit(0).cast("long"))).agg(
+        F.sum("n_unexplained").alias("n_unexplained"), F.sum("n_unexpected").alias("n_unexpected")
+    )
     passed = F.col("n_unexplained") + F.col("n_unexpected") == 0
     return both.select(
         F.lit(True).alias("columns_agree"), "n_unexplained", "n_unexpected", F.when(passed, "PASS").otherwise("UNEXPLAINED").alias("verdict")
