@@ -18,6 +18,7 @@ DAILY_FEATURES = [
     "ng_ma_cross_30_90",
     "ng_daily_vol_1m",
 ]
+# Names and order of the features.
 FEATURE_COLS = [
     "urea",
     "dap",

@@ -33,6 +33,7 @@ def pct_change_t2(t2: Column, current: Column) -> Column:
 
 def rule(pct: Column, prob: Column) -> Column:
     """Ordered rules; every bound is strict."""
+    # The thresholds of the rule.
     return (
         F.when((pct > 0.08) & (prob > 0.65), "BUY_NOW")
         .when((pct > 0.04) | (prob > 0.55), "CONSIDER_BUYING")
