@@ -25,7 +25,7 @@ from nitrapanel.operators.legacy import ingest_legacy
 from nitrapanel.operators.signal import generate_signal
 from nitrapanel.operators.simulate import bands, monte_carlo
 from nitrapanel.plans import refresh as job
-from nitrapanel.plans.forecast import bundle_from, panel_from, spine_panel
+from nitrapanel.plans.forecast import bundle_from, panel_from, spine_panel, tree_bundle_from
 from nitrapanel.session import materialize, scratch_path
 from nitrapanel.sources import tables as t
 
@@ -882,6 +882,50 @@ case(
     keep="name status status_class",
 )
 
+# Trees to bundle -----------------------------------------------------------------------
+
+
+def tree_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """The bundle of the boosted trees: what follows from the tables, and whether bands and signal are sound."""
+    f = c.feeds(spark, sf)
+    p = materialize(spine_panel(f), "spine")
+    feats = materialize(build_features(p, daily_features(f.daily)), "features")
+    written = F.lit("2002-01-01 00:00:00Z").cast("timestamp")
+    b = tree_bundle_from(p, feats, written, t.HOLDOUT_START, t.SHOCK_START, t.HISTORY_START)
+    low, mean, high = (F.col(f"forecast.{x}") for x in ("low", "mean", "high"))
+    ordered = F.forall(F.arrays_zip(low.alias("low"), mean.alias("mean"), high.alias("high")), lambda x: (x["low"] <= x["mean"]) & (x["mean"] <= x["high"]))
+    return b.select(
+        KEY, "generated_at", "as_of_date",
+        F.element_at("forecast.labels", 1).alias("label_t1"),
+        F.element_at("forecast.months", 3).alias("month_t3"),
+        F.size("urea_history.labels").alias("n_history"),
+        F.size("sim_t2_distribution").alias("n_sample"),
+        "model_metadata.training_window_start", "model_metadata.training_window_end", "model_metadata.holdout_end",
+        "model_metadata.n_test_preshock_t2", "model_metadata.n_test_shock_t1",
+        ordered.alias("bands_ordered"),
+        F.col("signal.signal").isin("BUY_NOW", "CONSIDER_BUYING", "WAIT", "NEUTRAL").alias("signal_known"),
+        ((F.col("model_metadata.cv_residual_std_t2") > 0) & (F.col("model_metadata.residual_std_t2") > 0)).alias("spread"),
+    )
+
+
+case(
+    "k19_tree_bundle",
+    tree_bundle,
+    f"""SELECT s.series, '2002-01-01T00:00:00Z' AS generated_at, strftime(s.month, '%Y-%m') AS as_of_date,
+         strftime(s.month + INTERVAL 1 MONTH, '%b %Y') AS label_t1, strftime(s.month + INTERVAL 3 MONTH, '%Y-%m') AS month_t3,
+         h.n AS n_history, 1000 AS n_sample, w.a AS training_window_start, '1999-12' AS training_window_end, w.b AS holdout_end,
+         m.n AS n_test_preshock_t2, k.n AS n_test_shock_t1, TRUE AS bands_ordered, TRUE AS signal_known, TRUE AS spread
+       FROM latest s
+       JOIN (SELECT series, count(*) AS n FROM spine WHERE urea IS NOT NULL AND ng_spot IS NOT NULL
+             AND month >= DATE '{t.HISTORY_START}' GROUP BY 1) h USING (series)
+       JOIN (SELECT series, strftime(min(month), '%Y-%m') AS a, strftime(max(month), '%Y-%m') AS b
+             FROM features WHERE {c.TRAINABLE} GROUP BY 1) w USING (series)
+       JOIN holdout_metrics m ON m.series = s.series AND m.horizon = 2 AND m.bucket = 'preshock'
+       JOIN holdout_metrics k ON k.series = s.series AND k.horizon = 1 AND k.bucket = 'shock'""",
+    keep="series generated_at as_of_date label_t1 month_t3 training_window_start training_window_end holdout_end bands_ordered signal_known spread",
+    ints="n_history n_sample n_test_preshock_t2 n_test_shock_t1",
+)
+
 # Refresh -----------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nitrapanel.constants import DRAWS, HOLDOUT_START, SEED, SHOCK_TARGET_START
 from nitrapanel.functions.clean import iso_utc
+from nitrapanel.models import boosted
 from nitrapanel.models.baseline import holdout_predictions, labelled, latest_forecast
 from nitrapanel.models.metrics import evaluate, residual_stats
 from nitrapanel.operators.bundle import (
@@ -16,7 +17,7 @@ from nitrapanel.operators.bundle import (
     metadata_from_metrics,
     training_window,
 )
-from nitrapanel.operators.features import build_features, complete_rows, daily_features
+from nitrapanel.operators.features import build_features, complete_rows, daily_features, latest_complete
 from nitrapanel.operators.signal import generate_signal
 from nitrapanel.operators.simulate import monte_carlo, with_residuals
 from nitrapanel.operators.spine import reindex_months
@@ -66,6 +67,26 @@ def signals(features: DataFrame, holdout_start: str, shock_start: str) -> DataFr
     return generate_signal(simulated(features, holdout_start, shock_start))
 
 
+def tree_bundle_from(
+    panel: DataFrame,
+    features: DataFrame,
+    generated_at: Column | None = None,
+    holdout_start: str = HOLDOUT_START,
+    shock_start: str = SHOCK_TARGET_START,
+    history_start: str = HISTORY_START,
+    iterations: int = boosted.ITERATIONS,
+) -> DataFrame:
+    """Bundle per series from the boosted trees: their forecasts, holdout residuals and metrics."""
+    trained = boosted.train(features, holdout_start, shock_start, iterations)
+    metrics = materialize(trained.metrics, "metrics")
+    point = boosted.forecast_long(boosted.predict(trained.models, latest_complete(features)))
+    mc = monte_carlo(with_residuals(materialize(point, "point"), residual_stats(metrics)))
+    window = training_window(complete_rows(features, True), holdout_start, shock_start)
+    written = iso_utc(F.current_timestamp() if generated_at is None else generated_at)
+    facts = metadata_from_metrics(metrics, window, trained.cv)
+    return build_bundle(materialize(mc, "monte_carlo"), history_payload(panel, history_start), facts, written)
+
+
 def bundle_from(
     panel: DataFrame,
     features: DataFrame,
