@@ -13,10 +13,14 @@ inside within the radius of the border goes to the outer side as well, so every
 meets in some shard.  The lower levels are searched inside the shard's task by the same
 rule.  Each leaf returns only a spanning forest of its links.
 
-Equal fingerprints are collapsed first, so copies never meet each other.  A shard with
-many members (one dense ball) is dealt into tiles of bounded size which meet pairwise,
-and a leaf that no vantage point splits is searched breadth-first: what is linked already
-is not compared again.  Forests are joined by rounds of large-star and small-star over
+Equal fingerprints are collapsed first, so copies never meet each other.  A block has 65,536
+values only, so with more rows its shards grow.  A linked pair has few differing bits on a
+second block too (one at most, for four in all), so the members of a dense shard go on to
+the shards of the trees over the other three blocks, as deep as the largest shard asks for,
+wherever their counts say that less is moved then.  What stays dense (one ball of alike
+fingerprints) is dealt into tiles of bounded size which meet pairwise, and a leaf that no
+vantage point splits is searched breadth-first: what is linked already is not compared
+again.  Forests are joined by rounds of large-star and small-star over
 tables in the shared folder; no link, component or fingerprint reaches the driver apart
 from a bounded sample that shapes the tree (its quality affects speed only).
 
@@ -46,9 +50,9 @@ BLOCKS = 4  # 16 bits each; four to seven differing bits leave one block with at
 BLOCK_BITS = 16
 SAMPLE = 20_000  # fingerprints that shape the trees
 SHARD_ROWS = 4_000  # members a shard is meant to have
-MOST_LEVELS = 12  # of shards; the rest of the tree is inside the tasks
+MOST_LEVELS = 12  # of shards, for the first block and again for the second; the rest of the tree is inside the tasks
 LEAF = 96  # members that are compared all with all
-TILE = 20_000  # members of a tile of a dense shard
+TILE = 20_000  # members of a group: of a part of a dense shard, or of a tile
 
 
 # -- fingerprints ------------------------------------------------------------------
@@ -150,9 +154,9 @@ def routes(node: Node, radius: int) -> list[np.ndarray]:
     return out
 
 
-def routing(sample: np.ndarray, total: int, radius: int, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+def routing(sample: np.ndarray, total: int, radius: int, seed: int = 5, shard_rows: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each block (offsets, shards): the shards of block value *v* are ``shards[offsets[v]:offsets[v + 1]]``."""
-    levels = int(min(MOST_LEVELS, max(0, np.ceil(np.log(max(total, 1) / SHARD_ROWS) / np.log(1 / 0.6)))))
+    levels = int(min(MOST_LEVELS, max(0, np.ceil(np.log(max(total, 1) / (shard_rows or SHARD_ROWS)) / np.log(1 / 0.6)))))
     rng, out = np.random.default_rng(seed), []
     for block in range(BLOCKS):
         values = block_of(sample, block)
@@ -165,6 +169,16 @@ def routing(sample: np.ndarray, total: int, radius: int, seed: int = 5) -> list[
     return out
 
 
+def members(fps: np.ndarray, block: int, table: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, shards): every shard of the block to which each fingerprint goes."""
+    offsets, shards = table[block]
+    values = block_of(fps, block).astype(np.int64)
+    counts = offsets[values + 1] - offsets[values]
+    rows = np.repeat(np.arange(len(fps)), counts)
+    first = np.repeat(offsets[values] - (np.cumsum(counts) - counts), counts)
+    return rows, shards[first + np.arange(len(rows))]
+
+
 class Forest:
     """Union-find over positions; the root is the least position."""
 
@@ -184,9 +198,10 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def links(fps: np.ndarray, block: int, forest: Forest, most_bits: int = MOST_BITS, seed: int = 3) -> None:
+def links(fps: np.ndarray, block: int, forest: Forest, most_bits: int = MOST_BITS, seed: int = 3, radius: int | None = None) -> None:
     """Join all members within ``most_bits`` that agree within the radius on the block."""
-    values, rng, radius = block_of(fps, block), np.random.default_rng(seed), most_bits // BLOCKS
+    values, rng = block_of(fps, block), np.random.default_rng(seed)
+    radius = most_bits // BLOCKS if radius is None else radius
     todo = [np.arange(len(fps))]
     while todo:
         rows = todo.pop()
@@ -241,34 +256,20 @@ def forest_edges(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """
     spark = prints.sparkSession
     total = prints.count()
-    sample = hash_sample(prints.select("fp"), "fp", SAMPLE).collect()  # bounded by SAMPLE
-    table = routing(np.array([r["fp"] for r in sample], dtype=np.int64).view(np.uint64), total, most_bits // BLOCKS)
-    sent = spark.sparkContext.broadcast(table)  # block values x shards: its size depends on the levels only
-    placed_schema = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("fp", pa.int64()), ("rep", pa.int64())])
+    got = hash_sample(prints.select("fp"), "fp", SAMPLE).collect()  # bounded by SAMPLE
+    sample = np.array([r["fp"] for r in got], dtype=np.int64).view(np.uint64)
+    # Block values x shards: its size depends on the levels only.
+    sent = spark.sparkContext.broadcast(routing(sample, total, most_bits // BLOCKS))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            reps = batch.column(1).to_numpy(zero_copy_only=False)
-            for block, (offsets, shards) in enumerate(sent.value):
-                values = block_of(fps, block).astype(np.int64)
-                counts = offsets[values + 1] - offsets[values]
-                rows = np.repeat(np.arange(len(fps)), counts)
-                first = np.repeat(offsets[values] - (np.cumsum(counts) - counts), counts)
-                shard = shards[first + np.arange(len(rows))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), block, np.int32)), pa.array(shard), pa.array(fps[rows].view(np.int64)), pa.array(reps[rows])],
-                    schema=placed_schema,
-                )
+            for block in range(BLOCKS):
+                rows, shard = members(fps, block, sent.value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), block, np.int32)), pa.array(shard), *batch.take(pa.array(rows)).columns], ["block", "shard", "fp", "rep"])
 
     placed = arrow_map(prints.select("fp", "rep"), place, "block int, shard int, fp long, rep long")
-    # Dense shards: members are dealt into tiles by a hash, and every pair of tiles meets once.
-    size = placed.groupBy("block", "shard").agg(F.count("*").alias("n"))
-    size = materialize(size.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).where("tiles > 1").select("block", "shard", "tiles"), "dense")
-    placed = placed.join(size, ["block", "shard"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least(o, tile) * F.col("tiles") + F.greatest(o, tile))
-    dealt = placed.withColumn("meet", F.explode(pairs)).select("block", "shard", "meet", "fp", "rep")
+    narrow = most_bits // (BLOCKS - 1)  # of four blocks the second best differs in no more bits
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         """Spanning forest of the links in one shard (or one pair of tiles)."""
@@ -277,12 +278,62 @@ def forest_edges(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
         order = np.argsort(reps, kind="stable")
         fps, reps = fps[order], reps[order]
         forest = Forest(len(fps))
-        links(fps, int(key[0].as_py()), forest, most_bits)
+        block, second = key[0].as_py(), key[2].as_py()
+        links(fps, block if second < 0 else second, forest, most_bits, radius=most_bits // BLOCKS if second < 0 else narrow)
         up = np.array([forest.find(i) for i in range(len(fps))], dtype=np.int64)
         child = np.flatnonzero(up != np.arange(len(up)))
         return pa.table({"a": pa.array(reps[child]), "b": pa.array(reps[up[child]])})
 
-    return dealt.groupBy("block", "shard", "meet").applyInArrow(search, "a long, b long").distinct()
+    dealt = deal(placed, sample, narrow)
+    return dealt.groupBy("block", "shard", "second", "part", "meet").applyInArrow(search, "a long, b long").distinct()
+
+
+def deal(placed: DataFrame, sample: np.ndarray, narrow: int) -> DataFrame:
+    """``block, shard, second, part, meet, fp, rep``: groups of bounded size in which every linked pair meets.
+
+    ``second`` is -1 in a shard that is not split by another block; ``part`` is the shard of
+    the second block's tree; ``meet`` numbers the pairs of tiles.
+    """
+    home, finer_home = ["block", "shard"], ["block", "shard", "second", "part"]
+    tiles = lambda n: F.ceil(F.col(n) / TILE)
+    # Shards and parts with more than one tile: rows of counts, one for each.
+    dense = materialize(placed.groupBy(*home).agg(F.count("*").alias("n")).where(F.col("n") > TILE), "dense")
+    largest = dense.agg(F.max("n")).first()[0] or 0
+    whole = placed.withColumns({"second": F.lit(-1), "part": F.lit(0)})
+    if not largest:
+        return whole.select(*finer_home, F.lit(0).cast("long").alias("meet"), "fp", "rep")
+    # Three other blocks make three copies at least, so fewer tiles than that cannot gain.
+    wide = dense.where(tiles("n") >= BLOCKS)
+    sent = placed.sparkSession.sparkContext.broadcast(routing(sample, largest, narrow, seed=6, shard_rows=TILE))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            home_block = batch.column(0).to_numpy()
+            for second in range(BLOCKS):
+                rows, part = members(fps, second, sent.value)
+                other = home_block[rows] != second
+                rows, part = rows[other], part[other]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.take(pa.array(rows)).columns, pa.array(np.full(len(rows), second, np.int32)), pa.array(part)],
+                    ["block", "shard", "fp", "rep", "second", "part"],
+                )
+
+    def parts_of(shards: DataFrame) -> DataFrame:
+        own = placed.join(shards.select(*home), home, "left_semi").select(*home, "fp", "rep")
+        return arrow_map(own, split, "block int, shard int, fp long, rep long, second int, part int")
+
+    counts = materialize(parts_of(wide).groupBy(*finer_home).agg(F.count("*").alias("m")), "parts")
+    moved = counts.groupBy(*home).agg(F.sum(F.col("m") * tiles("m")).alias("moved"))
+    finer = materialize(wide.join(moved, home).where(F.col("moved") < F.col("n") * tiles("n")).select(*home), "finer")
+    size = dense.join(finer, home, "left_anti").select(*home, F.lit(-1).alias("second"), F.lit(0).alias("part"), tiles("n").alias("tiles"))
+    size = size.unionByName(counts.where(tiles("m") > 1).select(*finer_home, tiles("m").alias("tiles")))
+    rows = whole.join(finer, home, "left_anti").unionByName(parts_of(finer))
+    rows = rows.join(size, finer_home, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)).cast("int"))
+    # Members are dealt into tiles by a hash, and every pair of tiles meets once.
+    tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("long")
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1), lambda o: F.least(o, tile) * F.col("tiles") + F.greatest(o, tile))
+    return rows.withColumn("meet", F.explode(pairs)).select(*finer_home, "meet", "fp", "rep")
 
 
 def components(edges: DataFrame) -> DataFrame:

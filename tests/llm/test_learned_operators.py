@@ -306,6 +306,39 @@ def test_dense_shards_are_tiled(spark, monkeypatch):
     assert [roots.get(i, i) for i in range(len(fps))] == closed(fps, 4)
 
 
+@pytest.mark.parametrize("most", [4, 7])
+def test_two_blocks_let_every_linked_pair_meet(most):
+    """Some two blocks differ in most // 4 and most // 3 bits at most, however the bits lie."""
+    rng = np.random.default_rng(9)
+    for _ in range(2000):
+        bits = rng.choice(64, rng.integers(0, most + 1), replace=False)
+        by_block = sorted(np.bincount(bits // simhash.BLOCK_BITS, minlength=simhash.BLOCKS).tolist())
+        assert by_block[0] <= most // simhash.BLOCKS and by_block[1] <= most // (simhash.BLOCKS - 1)
+
+
+@pytest.mark.parametrize("most", [4, 7])
+def test_dense_shards_go_on_to_a_second_block(spark, monkeypatch, most):
+    """No tree over the first block: its one shard is split by the others where that moves less."""
+    monkeypatch.setattr(simhash, "TILE", 60)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 1 << 30)
+    fps = balls(np.random.default_rng(10), 2400, 2, 5)
+    prints = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64))], "fp long, rep long")
+    seen, deal = [], simhash.deal
+
+    def spy(*args):
+        out = deal(*args)
+        seen.append({bool(r["split"]): r["n"] for r in out.groupBy((out["second"] >= 0).alias("split")).count().withColumnRenamed("count", "n").collect()})
+        return out
+
+    monkeypatch.setattr(simhash, "deal", spy)
+    roots = {r["id"]: r["root"] for r in simhash.components(simhash.forest_edges(prints, most)).collect()}
+    assert [roots.get(i, i) for i in range(len(fps))] == closed(fps, most)
+    tiled = len(fps) * simhash.BLOCKS * -(-len(fps) // simhash.TILE)
+    if most == 4:
+        assert set(seen[0]) == {True}
+    assert sum(seen[0].values()) <= tiled
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (5, 200)], "a long, b long")
     got = {r["id"]: r["root"] for r in simhash.components(edges).collect()}
