@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nitrapanel.constants import KEY
-from nitrapanel.sources.versions import read_version, write_version
+from nitrapanel.sources.versions import drop_folder, new_folder, publish_folder, read_version
 
 
 def stamp(feed: DataFrame, **provenance: str) -> DataFrame:
@@ -25,13 +25,17 @@ def table_path(root: str, table: str) -> str:
 def land_raw(feed: DataFrame, root: str, table: str, **provenance: str) -> DataFrame:
     """Land one table in full as its next version; an empty feed is refused.
 
-    Earlier versions stay as they are for whoever reads them.  Feeds are landed as read,
-    so the emptiness test stops at the first row.
+    Earlier versions stay as they are for whoever reads them.  A feed may be a join or an
+    aggregation of large tables: it runs once, and what it wrote is looked at before it
+    becomes a version.
     """
-    if feed.isEmpty():
+    spark, stamped, folder = feed.sparkSession, stamp(feed, **provenance), new_folder(root, table)
+    stamped.write.parquet(folder)
+    if spark.read.schema(stamped.schema).parquet(folder).isEmpty():
+        drop_folder(spark, folder)
         raise RuntimeError(f"{table}: feed has 0 rows, refusing to write an empty table")
-    version = write_version(stamp(feed, **provenance), root, table, {"provenance": provenance})
-    return read_version(feed.sparkSession, root, table, version)
+    version = publish_folder(spark, root, table, folder, {"provenance": provenance})
+    return read_version(spark, root, table, version)
 
 
 def report(table: str, landed: DataFrame, period: str = "period") -> DataFrame:

@@ -86,6 +86,12 @@ def new_folder(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}/{DATA}/{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that was written but is not to become a version."""
+    fs, to_path = _fs(spark, folder)
+    fs.delete(to_path(folder), True)
+
+
 def append(spark: SparkSession, folder: str, facts: dict) -> int:
     """Commit facts under the next number of a folder of manifests."""
     while True:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 import pytest
+from conftest import rows_of
 
+from nitrapanel.catalog import cases, jobs
 from nitrapanel.models import boosted
 from nitrapanel.operators import bundle
 from nitrapanel.plans.refresh import STAGES, Run, StepFailed, published, refresh
@@ -68,6 +71,35 @@ def test_refresh_is_resumed_and_published_last(spark, registry, tmp_path):
         run(spark, empty, root, run="000003")
 
 
+def test_the_query_joins_the_raw_tables_once_for_all_feeds(spark, tmp_path, monkeypatch):
+    # Keys repeat and are missing, as are days and prices.
+    orders = [(k, p, 8e4 * (k or 1), dt.datetime(2000, 1, 1 + i)) for i, (k, p) in enumerate([(1, "a"), (2, "a"), (3, None), (3, "b"), (None, "b")])]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string, o_totalprice double, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [
+        (k, 5.0 + i, None if i == 4 else 100.0 * i, "FO"[i % 2], None if i == 7 else dt.datetime(2000, 1 + i % 3, 3 + i))
+        for i, k in enumerate([1, 1, 2, 3, 3, None, 2, 1, 9])
+    ]
+    spark.createDataFrame(lines, "l_orderkey long, l_quantity double, l_extendedprice double, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    given, joined, ship_days = {}, [], t.ship_days
+
+    class Stop(Exception):
+        pass
+
+    def only_land(spark, registry, *settings, **more):
+        assert not joined
+        given.update({name: get() for name, get in registry.items()})
+        raise Stop
+
+    monkeypatch.setattr(jobs.job, "refresh", only_land)
+    monkeypatch.setattr(t, "ship_days", lambda *a: joined.append(a) or ship_days(*a))
+    with pytest.raises(Stop):
+        cases()["k37_refresh"].run(spark, str(tmp_path))
+    assert len(joined) == 1 and set(given) == set(t.Feeds._fields)
+    for name, want in t.lazy_feeds(spark, str(tmp_path))._asdict().items():
+        assert not [f for f in given[name].inputFiles() if str(tmp_path) in f]
+        assert given[name].schema == want.schema and rows_of(given[name], "series", "period") == rows_of(want, "series", "period")
+
+
 def test_a_registry_must_be_whole(spark, tmp_path):
     with pytest.raises(ValueError):
         refresh(spark, {}, str(tmp_path))

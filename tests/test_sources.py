@@ -78,6 +78,25 @@ def test_landing_adds_versions_and_refuses_empty(spark, tmp_path):
         versions.read_version(spark, root, "one")
 
 
+def test_a_feed_runs_once_when_it_is_landed(spark, tmp_path):
+    root, seen = str(tmp_path), spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(value):
+        seen.add(1)
+        return value >= 0
+
+    # Counts of a task are known when it has read all its rows, as ahead of a shuffle.
+    moved = feed(spark, 5).where(counted("value")).repartition(2, "period")
+    assert landing.land_raw(moved, root, "t").count() == 5
+    assert seen.value == 5
+    # Nothing of a refused feed is kept, also where it has neither rows nor partitions.
+    for empty in (feed(spark, 2).where("value < 0"), spark.createDataFrame([], feed(spark, 1).schema)):
+        with pytest.raises(RuntimeError, match="refusing"):
+            landing.land_raw(empty, root, "t")
+    assert versions.versions(spark, root, "t") == [1] and len(versions.names(spark, f"{root}/t/{versions.DATA}")) == 1
+
+
 def test_a_torn_landing_is_not_seen(spark, tmp_path):
     root = str(tmp_path)
     landing.land_raw(feed(spark, 3), root, "t")
